@@ -6,7 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from actionline.llm.lattice import op3_lattice
 from actionline.llm.minhash import op8_minhash
+from actionline.llm.mixing import OP5_SQL, op5_mixing
+from actionline.llm.ogg import op10_ogg
+from actionline.llm.packing import op6_packing
+from actionline.llm.secrets import op7_secrets
+from actionline.llm.tokens import op1_tokens
+from actionline.llm.toxicity import op2_toxicity
+from actionline.llm.warc import OP9_SQL, op9_warc
+from actionline.llm.wrappers import op4_wrappers
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_minhash": op8_minhash}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokens": op1_tokens,
+    "op2_toxicity": op2_toxicity,
+    "op3_lattice": op3_lattice,
+    "op4_wrappers": op4_wrappers,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op7_secrets": op7_secrets,
+    "op8_minhash": op8_minhash,
+    "op9_warc": op9_warc,
+    "op10_ogg": op10_ogg,
+}
+
+#: Twins in SQL, where SQL can express the result.
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_warc": OP9_SQL}
