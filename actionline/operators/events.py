@@ -23,7 +23,7 @@ def detect_events(frames: DataFrame, only_green: bool = False, noise: float = 0.
     runs = f.where("changed").withColumn("next_t", F.lead("t").over(w)).withColumn("next_status", F.lead("status").over(w))
     cut = F.col("next_t").isNull() | (F.col("next_status") == "red") | (F.col("next_t") - F.col("t") > noise)
     stop = F.coalesce("next_t", "last_t")
-    green = runs.where((F.col("status") == "green") & cut).select("take_id", stop.alias("at"), F.lit(0).alias("rank"), F.lit("duration").alias("type"), F.col("t").alias("start"), stop.alias("end"), F.col("next_t").isNull().alias("open"))
+    green = runs.where((F.col("status") == "green") & cut).select("take_id", stop.alias("at"), F.when(F.col("next_t").isNull(), 3).otherwise(0).alias("rank"), F.lit("duration").alias("type"), F.col("t").alias("start"), stop.alias("end"), F.col("next_t").isNull().alias("open"))
     number = F.row_number().over(Window.partitionBy("take_id").orderBy("at", "rank")) - 1
     if only_green:
         out = green.withColumn("event_no", number)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def pass_stats(steps: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def parse_actions(column: str, mode: str = "strict") -> Column:
     return F.when((F.size(read) > 0) & ~F.exists(read, lambda a: a["action"] == ""), read)
 
 
-@F.pandas_udf("array<struct<action:string,target:string,value:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField(n, StringType()) for n in ("action", "target", "value")])))
 def parse_nested_actions(text: pd.Series) -> pd.Series:
     """X5 for values that hold brackets themselves, matched by depth."""
 

@@ -34,7 +34,7 @@ def query(name: str, *names: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from actionline.plans import annotate_queries, assemble_queries, explore_queries, frame_queries, package_queries, score_queries, timeline_queries  # noqa: F401
+    from actionline.plans import annotate_queries, assemble_queries, explore_queries, frame_queries, package_queries, score_queries, source_queries, timeline_queries  # noqa: F401
 
 
 _load()

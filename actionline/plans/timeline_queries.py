@@ -163,7 +163,7 @@ def t15(takes: DataFrame) -> DataFrame:
 #: Marker events of v_frames by runs, for the SQL twins.
 RUNS = """f AS (SELECT take_id, frame_no, (frame_no + 1) / CASE WHEN fps > 0 THEN fps ELSE 30.0::DOUBLE END AS t, status, lag(status) OVER (PARTITION BY take_id ORDER BY frame_no) AS prev, max((frame_no + 1) / fps::DOUBLE) OVER (PARTITION BY take_id) AS lt FROM v_frames),
 r AS (SELECT *, lead(t) OVER (PARTITION BY take_id ORDER BY frame_no) AS nt, lead(status) OVER (PARTITION BY take_id ORDER BY frame_no) AS ns FROM f WHERE prev IS NULL OR prev <> status),
-mk AS (SELECT take_id, coalesce(nt, lt) AS tm, 0 AS rk, 'duration' AS type, t AS start, coalesce(nt, lt) AS "end" FROM r WHERE status = 'green' AND (nt IS NULL OR ns = 'red' OR nt - t > 0.1)
+mk AS (SELECT take_id, coalesce(nt, lt) AS tm, CASE WHEN nt IS NULL THEN 3 ELSE 0 END AS rk, 'duration' AS type, t AS start, coalesce(nt, lt) AS "end" FROM r WHERE status = 'green' AND (nt IS NULL OR ns = 'red' OR nt - t > 0.1)
   UNION ALL SELECT take_id, t, 1, 'point', t, t FROM r WHERE status = 'red' UNION ALL SELECT take_id, coalesce(nt, lt), 2, 'scroll', coalesce(nt, lt), coalesce(nt, lt) FROM r WHERE status = 'orange'),
 nm AS (SELECT *, (sum(CASE WHEN type <> 'scroll' THEN 1 ELSE 0 END) OVER (PARTITION BY take_id ORDER BY tm, rk) - 1)::INT AS event_no FROM mk),
 sc AS (SELECT take_id, event_no, max("end") AS scroll_end FROM nm WHERE type = 'scroll' AND event_no >= 0 GROUP BY ALL),
