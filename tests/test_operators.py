@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import random
 
 from hypothesis import given, settings
@@ -117,6 +118,8 @@ def test_streamed_events_equal_batch(spark, tmp_path):
         mine = [r for r in rows if r["frame_no"] * 4 // 80 == part or (part == 3 and r["frame_no"] >= 80)]
         (tmp_path / "in" / f"{part}.json").write_text("\n".join(map(json.dumps, mine)))
     (tmp_path / "in" / "late.json").write_text("\n".join(json.dumps({"take_id": "end", "frame_no": k, "fps": 16, "status": "blue", "ts": f"2024-01-02T0{k}:00:00Z"}) for k in range(3)))
+    for k, name in enumerate(["0", "1", "2", "3", "late"]):  # files are taken by their age
+        os.utime(tmp_path / "in" / f"{name}.json", (1_700_000_000 + 100 * k,) * 2)
     src = spark.readStream.schema("take_id string, frame_no int, fps int, status string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
     q = stream.stream_events(src).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
