@@ -13,7 +13,6 @@ from functools import lru_cache
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,16 +56,16 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
 @lru_cache
 def _multipliers() -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.default_rng(8)
-    return draw.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**63, HASHES, dtype=np.uint64)
+    return draw.integers(0, 2**31, (HASHES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1), draw.integers(0, 2**32, (HASHES, 1), dtype=np.uint32)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
+    """The least value of each hash function over the set; 32-bit arithmetic on the upper half of the hashes."""
     a, b = _multipliers()
+    x = (s >> np.uint64(32)).astype(np.uint32)
     out = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(s), 2048):  # long sets in pieces: bounded memory
-        part = s[lo : lo + 2048]
-        for k in range(HASHES):
-            out[k] = min(out[k], ((part * a[k] + b[k]) >> np.uint64(32)).min())
+    for lo in range(0, len(x), 512):  # a piece that stays in the processor's cache
+        np.minimum(out, (x[None, lo : lo + 512] * a + b).min(1), out=out)
     return out
 
 
@@ -191,34 +190,80 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
     as_small = m.where("small").select("*", F.pmod("h", F.col("smalls")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("l"), F.lit(0).alias("side"))
     as_any = m.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("smalls") - 1)).alias("s"), F.pmod(F.shiftright("h", 20), F.col("alls")).alias("l"), F.lit(1).alias("side"))
     need = least_matches(similarity, miss)
+    order = ["bucket", "s", "l"]
+    dealt = as_small.union(as_any).select(*order, "side", "key", "comp", "n", "sig").repartition(*order).sortWithinPartitions(*order, "side", "key")
+
+    def decide(u: np.ndarray, v: np.ndarray, group: np.ndarray, key: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the pairs of rows (u, v) those of different components that sizes and bounds keep."""
+        ok = (comp[u] != comp[v]) & (np.minimum(n[u], n[v]) >= similarity * np.maximum(n[u], n[v]) - 1e-9)
+        u, v, group = u[ok], v[ok], group[ok]
+        k = np.zeros(len(u), int)
+        for step, least in enumerate(need):
+            at = slice(step * BATCH, (step + 1) * BATCH)
+            k = k + (sig[u, at] == sig[v, at]).sum(1)
+            ok = k >= least
+            u, v, group, k = u[ok], v[ok], group[ok], k[ok]
+        if best and len(u):
+            lo, hi = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
+            by = np.lexsort((key[v], key[u], -k, hi, lo, group))
+            first = np.r_[True, (np.diff(group[by]) != 0) | (np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0)]
+            u, v = u[by[first]], v[by[first]]
+        return key[u], key[v]
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        u, v = (block[block.side == i] for i in (0, 1))
-        if not len(u) or not len(v):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        x, y = (np.frombuffer(b"".join(p.sig), np.uint32).reshape(-1, HASHES) for p in (u, v))
-        uc, vc, un, vn, uk, vk = u.comp.to_numpy(), v.comp.to_numpy(), u.n.to_numpy(), v.n.to_numpy(), u.key.to_numpy(), v.key.to_numpy()
-        rows: list[tuple] = []
-        for i in range(len(x)):
-            # different components; sizes that allow the similarity
-            left = np.flatnonzero((vc != uc[i]) & (np.minimum(vn, un[i]) >= similarity * np.maximum(vn, un[i]) - 1e-9))
-            k = np.zeros(len(left), int)
-            for step, least in enumerate(need):
-                at = slice(step * BATCH, (step + 1) * BATCH)
-                k = k + (y[left, at] == x[i, at]).sum(1)
-                left, k = left[k >= least], k[k >= least]
-            rows.extend(zip(vc[left], k, [uk[i]] * len(left), vk[left], [uc[i]] * len(left), strict=True))
-        out = pd.DataFrame(rows, columns=["vc", "k", "a", "b", "uc"])
-        if best and len(out):
-            lo, hi = np.minimum(out.uc, out.vc), np.maximum(out.uc, out.vc)
-            out = out.assign(lo=lo, hi=hi).sort_values(["k", "a", "b"], ascending=[False, True, True]).drop_duplicates(["lo", "hi"])
-        return out[["a", "b"]].astype("int64")
-
-    pairs = as_small.union(as_any).select("bucket", "s", "l", "side", "key", "comp", "n", "sig").groupBy("bucket", "s", "l").applyInPandas(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list = []
+        at, spans, first = None, [], 0  # spans of whole groups among the rows that wait
+
+        def flush(rows: list, spans: list) -> pa.RecordBatch:
+            side, key, comp, n = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(-1, HASHES)
+            pairs: list[tuple] = []
+            held: list[tuple] = []
+
+            def close() -> None:
+                if held:
+                    pairs.append(decide(*(np.concatenate(x) for x in zip(*held, strict=True)), key, comp, n, sig))
+                    held.clear()
+
+            waiting = 0
+            for g, (lo, hi) in enumerate(spans):
+                cut = lo + int((side[lo:hi] == 0).sum())
+                if best:  # a group's pairs have to be seen together
+                    parts = [np.arange(lo, cut)]
+                else:
+                    step = max(1, 200_000 // max(1, hi - cut))
+                    parts = [np.arange(i, min(i + step, cut)) for i in range(lo, cut, step)]
+                for u in parts:
+                    size = len(u) * (hi - cut)
+                    if waiting + size > 200_000:
+                        close()
+                        waiting = 0
+                    held.append((np.repeat(u, hi - cut), np.tile(np.arange(cut, hi), len(u)), np.full(size, g)))
+                    waiting += size
+            close()
+            a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.empty(0, np.int64) for i in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for b in batches:
+            cols = [b.column(i).to_pylist() for i in range(8)]
+            for row in zip(*cols, strict=True):
+                if row[:3] != at:
+                    if at is not None:
+                        spans.append((first, len(left)))
+                    if len(left) >= 4000:
+                        yield flush(left, spans)
+                        left, spans = [], []
+                    at, first = row[:3], len(left)
+                left.append(row[3:])
+        if at is not None:
+            spans.append((first, len(left)))
+            yield flush(left, spans)
+
+    pairs = dealt.mapInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Sets and links as in the module's contract (five words, 100 * intersection >= percent * union). miss
@@ -246,8 +291,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6) -> D
     star = star.join(sig("a"), "a").join(sig("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     edges = written(_exact(written(_bayes(star, similarity, miss), "pairs"), sets, percent), "links")
     found = components(edges)
-    for best in (True, False):
-        named = members.join(found, members.key == found.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
+    # each bucket's pivot has been held against all others by now, so most buckets are done
+    rest = members.where("key != pivot")
+    for best in (True, True, False):
+        named = rest.join(found, rest.key == found.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
         pairs = written(_across(named.join(nodes.select("key", "n", "sig"), "key"), similarity, miss, best), "pairs")
         more = written(_exact(pairs, sets, percent), "links")
         edges = edges.union(more)
