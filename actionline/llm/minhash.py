@@ -179,8 +179,9 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
     """Candidate pairs between different components within a bucket, by signature.
 
     members: bucket, key, comp, n, sig. In a bucket, the component with most members is the large side;
-    all others are held against it and against each other, in blocks of BLOCK x BLOCK rows. best: of
-    each two components in a block only the likeliest pair; else every pair that the bounds keep.
+    all others are held against it and against each other, in blocks of BLOCK x BLOCK rows. best: (a, b),
+    of each two components in a block only the likeliest pair. Else (a, comp): each class of a smaller
+    component with every other component in which the bounds keep any class of the block.
     """
     size = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     size = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
@@ -203,7 +204,10 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
             k = k + (sig[u, at] == sig[v, at]).sum(1)
             ok = k >= least
             u, v, group, k = u[ok], v[ok], group[ok], k[ok]
-        if best and len(u):
+        if not best:
+            found = np.unique(np.stack([key[u], comp[v]], 1), axis=0)
+            return found[:, 0], found[:, 1]
+        if len(u):
             lo, hi = np.minimum(comp[u], comp[v]), np.maximum(comp[u], comp[v])
             by = np.lexsort((key[v], key[u], -k, hi, lo, group))
             first = np.r_[True, (np.diff(group[by]) != 0) | (np.diff(lo[by]) != 0) | (np.diff(hi[by]) != 0)]
@@ -260,9 +264,62 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
             yield flush(left, spans)
 
     pairs = dealt.mapInArrow(run, "a long, b long")
+    if not best:
+        return pairs.select("a", F.col("b").alias("comp")).distinct()
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _blocks(probes: DataFrame, named: DataFrame, sets: DataFrame, percent: int, part: int = 500) -> DataFrame:
+    """Links (a, b) between classes a and the components that probes (a, comp) name, by full sets.
+
+    A component's classes are dealt into parts; the probes for it go to each part, in parts of their own.
+    A task holds one part of probes and reads the classes one by one: each set is sent once, not once
+    for each pair. Of the links of a class within a part one is enough.
+    """
+    parts = lambda df: df.groupBy("comp").agg(F.ceil(F.count("*") / part).cast("long").alias("n"))
+    sizes = parts(named.join(probes.select("comp").distinct(), "comp", "left_semi")).withColumnRenamed("n", "cs").join(parts(probes).withColumnRenamed("n", "ps"), "comp")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = probes.join(sizes, "comp").withColumn("p", F.pmod(F.xxhash64("a"), F.col("ps"))).withColumn("c", spread("cs")).join(sets.withColumnRenamed("key", "a"), "a")
+    right = named.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("key"), F.col("cs"))).withColumn("p", spread("ps")).join(sets, "key")
+    order = ["comp", "c", "p"]
+    rows = left.select(*order, F.lit(0).alias("kind"), F.col("a").alias("key"), "set").union(right.select(*order, F.lit(1).alias("kind"), "key", "set"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, raw, index = None, [], [], None
+        for b in batches:
+            out_a, out_b = [], []
+            for comp, c, p, kind, key, s in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if (comp, c, p) != at:
+                    at, keys, raw, index = (comp, c, p), [], [], None
+                s = np.frombuffer(s, np.uint64)
+                if kind == 0:
+                    keys.append(key)
+                    raw.append(s)
+                    continue
+                if index is None:  # which probes hold each hash
+                    sizes = np.array([len(x) for x in raw])
+                    flat, owner = (np.concatenate(raw), np.repeat(np.arange(len(raw)), sizes)) if raw else (np.empty(0, np.uint64), np.empty(0, int))
+                    by = np.argsort(flat, kind="stable")
+                    values, first, counts = np.unique(flat[by], return_index=True, return_counts=True)
+                    index = (values, first, counts, owner[by], sizes, np.ones(len(raw), bool))
+                values, first, counts, owner, sizes, open_ = index
+                if not open_.any():
+                    continue
+                i = np.searchsorted(values, s)
+                i = i[i < len(values)] if len(i) and i[-1] >= len(values) else i
+                i = i[values[i] == s[: len(i)]]
+                n = counts[i]
+                spots = np.repeat(first[i] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(i) else np.empty(0, int)
+                both = np.bincount(owner[spots], minlength=len(sizes))
+                for j in np.flatnonzero(open_ & (100 * both >= percent * (sizes + len(s) - both))):
+                    out_a.append(keys[j])
+                    out_b.append(key)
+                    open_[j] = False
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return rows.repartition(*order).sortWithinPartitions(*order, "kind", "key").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -293,11 +350,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> D
     found = components(edges)
     # each bucket's pivot has been held against all others by now, so most buckets are done
     rest = members.where("key != pivot")
-    for best in (True, True, False):
+    for best in (True, False):
         named = rest.join(found, rest.key == found.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
         pairs = written(_across(named.join(nodes.select("key", "n", "sig"), "key"), similarity, miss, best), "pairs")
-        more = written(_exact(pairs, sets, percent), "links")
-        edges = edges.union(more)
+        if best:
+            more = _exact(pairs, sets, percent)
+        else:
+            classes_of = nodes.select("key").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("comp"))
+            more = _blocks(pairs, classes_of, sets, percent)
+        edges = edges.union(written(more, "links"))
         found = components(edges)
     named = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     named = named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
