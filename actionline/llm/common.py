@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +52,7 @@ class ChunkEncoder:
     #: Punctuation that may be cut off a word's end: the tokenizers split there themselves.
     TAIL = ".,!?;:%*#$&"
 
-    def __init__(self, path: str, keep_space: bool, width: int = 4, limit: int = 1_000_000):
+    def __init__(self, path: str, keep_space: bool, width: int = 4, limit: int = 1_500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -60,7 +62,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         # a chunk is a run without white space (with the one blank before it, where blanks count)
         self.split = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if keep_space else rf"[^{WHITE}]+").findall
-        self.type, self.limit, self.fold, self.cache = f"<u{width}", limit, not keep_space, {}
+        self.type, self.limit, self.fold, self.cache = {2: "H", 4: "I"}[width], limit, not keep_space, {}
 
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk as word and cut-off punctuation; the word in lower case where case is lost anyway."""
@@ -70,8 +72,6 @@ class ChunkEncoder:
         return word.lower() if self.fold and word.isascii() else word, chunk[len(word) :]
 
     def __call__(self, text: str | None) -> bytes:
-        import numpy as np
-
         if not text:
             return b""
         chunks, cache = self.split(text), self.cache
@@ -84,12 +84,18 @@ class ChunkEncoder:
         new = {x: self.parts(x) for x in set(chunks) if x not in cache}
         words = [x for x in {y for pair in new.values() for y in pair} if x and x not in cache]
         for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, dtype=self.type).tobytes()
+            cache[x] = array(self.type, e.ids).tobytes()
         for x, (word, tail) in new.items():
             cache[x] = cache[word] + cache[tail] if tail else cache[word]
         return b"".join(map(cache.__getitem__, chunks))
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, keep_space: bool, width: int = 4) -> ChunkEncoder:
+    """One encoder for all tasks of a worker process, so what one has learned serves the next."""
+    return ChunkEncoder(path, keep_space, width)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

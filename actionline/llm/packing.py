@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from actionline.llm.common import ChunkEncoder, id_text, table, tokenizer_path
+from actionline.llm.common import encoder, id_text, table, tokenizer_path
 
 CAPACITY = 1024
 #: What a document leaves over its full windows is cut into pieces of this many tokens at most.
@@ -79,7 +79,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> Da
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkEncoder(path, keep_space=True), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path, keep_space=True), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 36
         waiting: list[tuple] = []
         tokens = 0

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actionline.llm.common import ChunkEncoder, id_text, shared_dir, table, tokenizer_path
+from actionline.llm.common import encoder, id_text, shared_dir, table, tokenizer_path
 
 BLOCK_BYTES, DICTIONARY_BYTES = 1 << 20, 64 << 10
 INDEX = "doc_ids array<long>, offsets array<long>, n_tokens array<long>, local_start array<long>"
@@ -31,8 +31,10 @@ def train(docs: DataFrame, path: str, width: int, sample: int) -> bytes:
     """A dictionary from the serialized ids of at most ``sample`` documents, those with the least hashes."""
     import zstandard
 
-    rows = docs.where("length(text) between 1 and 20000").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").collect()
-    encode = ChunkEncoder(path, keep_space=False, width=width)
+    ids = docs.where("text <> ''").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").limit(2 * sample).collect()
+    rows = [(r["text"],) for r in sorted(rows)]
+    encode = encoder(path, keep_space=False, width=width)
     parts = [encode(r[0]) for r in rows]
     if len(parts) >= 50:
         try:
@@ -60,7 +62,7 @@ def write_tokens(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None,
     spark.createDataFrame([(name, bytearray(made), width)], "hash string, dictionary binary, width int").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = ChunkEncoder(path, keep_space=False, width=width), int(end_id).to_bytes(width, "little")
+        encode, end = encoder(path, keep_space=False, width=width), int(end_id).to_bytes(width, "little")
         compress = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(made), write_content_size=True).compress
         shard, block, local, size = TaskContext.get().partitionId(), 0, 0, 0
         frames, ids, offsets, counts, starts = [], [], [], [], []
