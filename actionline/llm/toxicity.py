@@ -123,7 +123,7 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     """The words of a token in lower case: as it stands, and as restored where it looks disguised."""
     plain = _WORDS(token)
     inner = token.strip(_EDGE)
-    if not _DISGUISED(inner):
+    if " " not in inner and not _DISGUISED(inner):
         inner = token.lstrip(_EDGE)  # a sign at the end may be a letter: once or twice
         if not (inner[-1:] in ("$", "@", "!", "|") and 0 < len(inner.rstrip("$@!|")) >= len(inner) - 2 and _WORDS(inner)):
             return plain
