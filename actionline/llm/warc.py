@@ -30,6 +30,7 @@ def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # only digests that occur more than once go into the join
     copies = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    copies = written(copies, "copies")  # a table of known size: Spark broadcasts a small one, so html is not shuffled
     p = p.join(copies, "digest", "left")
     return p.withColumn("refers", F.when((F.col("bytes") >= least) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
 
@@ -90,6 +91,7 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
                 at += len(piece) + n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), b.column(2)], ["file", "split", "local", "piece"])
 
+    before = written(before, "splits")  # one row for each split of a file
     local = rows.mapInArrow(run, "file string, split long, local long, piece binary")
     return local.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("local")).alias("start"), "piece").where("start >= 0")
 
@@ -119,24 +121,26 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
     def successors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, ends = [], []
-            for i, (start, piece) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)):
-                if found := _header(piece.as_py()):
-                    keep.append(i)
-                    ends.append(start + len(MAGIC) + found[1] + int(found[0][b"content-length"]) + len(CLOSE))
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(ends, pa.int64())], ["file", "start", "next"])
-
-    candidates = written(pieces.mapInArrow(successors, "file string, start long, next long"), "candidates")
-    real = written(reachable(candidates), "records")
-    # the piece at a record's start, and those inside its payload that began with a false magic line
-    cover = real.select("file", "start", "next")
-    false = pieces.join(real, ["file", "start"], "left_anti")
-    owner = false.select("file", "start", "piece").withColumn("kind", F.lit(1)).drop("piece").union(cover.select("file", "start", F.lit(0).alias("kind")))
+            ends = []
+            for start, piece in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                found = _header(piece.as_py())
+                ends.append(start + len(MAGIC) + found[1] + int(found[0][b"content-length"]) + len(CLOSE) if found else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.int64())], ["file", "start", "next"])
+
+    marks = written(pieces.mapInArrow(successors, "file string, start long, next long"), "candidates")
+    real = written(reachable(marks.where("next is not null")), "records")
+    # pieces that begin with a magic line inside of a payload, and the record that each belongs to
+    false = written(marks.join(real, ["file", "start"], "left_anti").select("file", "start"), "false")
+    owner = false.withColumn("kind", F.lit(1)).union(real.join(false.select("file").distinct(), "file", "left_semi").select("file", "start", F.lit(0)))
     w = Window.partitionBy("file").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    inside = owner.withColumn("record", F.last(F.when(F.col("kind") == 0, F.col("start")), True).over(w)).where("kind = 1").select("file", "start", "record")
-    rest = pieces.join(inside, ["file", "start"]).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("rest")).withColumnRenamed("record", "start")
-    whole = pieces.join(cover, ["file", "start"]).join(rest, ["file", "start"], "left").select("file", "start", "piece", F.transform("rest", lambda x: x["piece"]).alias("rest"))
+    inside = owner.withColumn("record", F.last(F.when(F.col("kind") == 0, F.col("start")), True).over(w)).where("kind = 1 and record is not null")
+    inside = written(inside.select("file", "start", "record"), "inside")
+    cut = inside.select("file", F.col("record").alias("start")).distinct()
+    # records of one piece are read where they are; only those of several pieces meet by their record
+    single = pieces.join(false, ["file", "start"], "left_anti").join(cut, ["file", "start"], "left_anti").select("file", "start", "piece", F.lit(None).cast("array<binary>").alias("rest"))
+    rest = pieces.join(inside, ["file", "start"]).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("rest"))
+    rest = rest.select("file", F.col("record").alias("start"), F.transform("rest", lambda x: x["piece"]).alias("rest"))
+    whole = single.union(pieces.join(rest, ["file", "start"]).select("file", "start", "piece", "rest"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
