@@ -61,9 +61,21 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         # a chunk is a run without white space (with the one blank before it, where blanks count)
-        self.split = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if keep_space else rf"[^{WHITE}]+").findall
+        self.pattern = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if keep_space else rf"[^{WHITE}]+").findall
         self.type, self.limit, self.fold, self.cache = {2: "H", 4: "I"}[width], limit, not keep_space, {}
 
+    def split(self, text: str) -> list[str]:
+        """The chunks of a text. Plain texts, with single blanks and line ends alone, need no pattern."""
+        if self.fold:
+            return self.pattern(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if any(c in text for c in self.ODD) or not text.isascii() and any(c in text for c in self.WIDE):
+            return self.pattern(text)
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    #: What keeps a text from the plain way: white space beside a blank or line end, and any other white space.
+    ODD = ("  ", "\n ", " \n", "\n\n", "\0", "\t", "\x0b", "\x0c", "\r")
+    WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+
     def parts(self, chunk: str) -> tuple[str, str]:
         """A chunk as word and cut-off punctuation; the word in lower case where case is lost anyway."""
         word = chunk.rstrip(self.TAIL)
@@ -81,6 +93,7 @@ class ChunkEncoder:
             pass
         if len(cache) > self.limit:
             cache.clear()
+        cache[""] = b""
         new = {x: self.parts(x) for x in set(chunks) if x not in cache}
         words = [x for x in {y for pair in new.values() for y in pair} if x and x not in cache]
         for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -90,10 +103,25 @@ class ChunkEncoder:
         return b"".join(map(cache.__getitem__, chunks))
 
 
-@lru_cache(maxsize=2)
+_kept: list[dict] = []
+
+
+def only(cache: dict) -> None:
+    """Of the caches that last as long as a worker process, only the one in use keeps its entries."""
+    for other in _kept:
+        if other is not cache:
+            other.clear()
+    _kept[:] = [cache]
+
+
+_encoders = lru_cache(maxsize=2)(ChunkEncoder)
+
+
 def encoder(path: str, keep_space: bool, width: int = 4) -> ChunkEncoder:
     """One encoder for all tasks of a worker process, so what one has learned serves the next."""
-    return ChunkEncoder(path, keep_space, width)
+    out = _encoders(path, keep_space, width)
+    only(out.cache)
+    return out
 
 
 def tokenizer_path(name: str) -> str:

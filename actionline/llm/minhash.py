@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionline.llm.common import id_text, table, written
+from actionline.llm.common import id_text, only, table, written
 from actionline.llm.graph import components
 
 BANDS, ROWS, BATCH = 32, 4, 32
@@ -30,7 +30,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 500_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -99,6 +99,7 @@ def least_matches(similarity: float, miss: float) -> tuple[int, ...]:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    only(_words)
     for b in batches:
         ids, ns, keys, sigs, bnd = [], [], [], [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -115,6 +116,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    only(_words)
     for b in batches:
         keys, sets = [], []
         for text in b.column(0):

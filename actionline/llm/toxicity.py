@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionline.llm.common import id_text, table, written
+from actionline.llm.common import id_text, only, table, written
 
 #: Letters of the model; all else ends a word.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâæçèéêëîïôœùûÿáíñóú"
@@ -254,6 +254,7 @@ def held_out(column: str):
 def _scorer(model: Model):
     @F.pandas_udf("double")
     def score(text):
+        only(model.cache)
         return text.map(model.score)
 
     return score
