@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -45,14 +48,15 @@ class ChunkEncoder:
     """Token ids of whole texts as little-endian bytes, by a cache over white-space chunks.
 
     The two byte-pair tokenizers used here never merge across the chunks that ``split`` finds, so the
-    ids of a text are those of its chunks in a row (tests hold this against encoding whole texts). The
-    cache is bounded: it starts anew at ``limit`` entries.
+    ids of a text are those of its chunks in a row (tests hold this against encoding whole texts). Both
+    caches are bounded: that of chunks starts anew at ``limit`` entries, that of words, which are chunks
+    without the punctuation at their end and cost most to encode, at twice as many.
     """
 
     #: Punctuation that may be cut off a word's end: the tokenizers split there themselves.
     TAIL = ".,!?;:%*#$&"
 
-    def __init__(self, path: str, keep_space: bool, width: int = 4, limit: int = 1_500_000):
+    def __init__(self, path: str, keep_space: bool, width: int = 4, limit: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -63,6 +67,7 @@ class ChunkEncoder:
         # a chunk is a run without white space (with the one blank before it, where blanks count)
         self.pattern = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if keep_space else rf"[^{WHITE}]+").findall
         self.type, self.limit, self.fold, self.cache = {2: "H", 4: "I"}[width], limit, not keep_space, {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text. Plain texts, with single blanks and line ends alone, need no pattern."""
@@ -91,36 +96,49 @@ class ChunkEncoder:
             return b"".join(map(cache.__getitem__, chunks))
         except KeyError:
             pass
+        known = self.words
         if len(cache) > self.limit:
             cache.clear()
-        cache[""] = b""
+        if len(known) > 2 * self.limit:
+            known.clear()
+        cache[""] = known[""] = b""
         new = {x: self.parts(x) for x in set(chunks) if x not in cache}
-        words = [x for x in {y for pair in new.values() for y in pair} if x and x not in cache]
+        words = [x for x in {y for pair in new.values() for y in pair} if x not in known]
         for x, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            cache[x] = array(self.type, e.ids).tobytes()
+            known[x] = array(self.type, e.ids).tobytes()
         for x, (word, tail) in new.items():
-            cache[x] = cache[word] + cache[tail] if tail else cache[word]
+            cache[x] = known[word] + known[tail] if tail else known[word]
         return b"".join(map(cache.__getitem__, chunks))
 
+    def clear(self) -> None:
+        self.cache.clear()
+        self.words.clear()
 
-_kept: list[dict] = []
 
+_kept: list = []
 
-def only(cache: dict) -> None:
-    """Of the caches that last as long as a worker process, only the one in use keeps its entries."""
-    for other in _kept:
-        if other is not cache:
-            other.clear()
+
+def only(cache) -> None:
+    """Of the caches that last as long as a worker process, only the one in use keeps its entries.
+
+    What the others held goes back to the system, as the workers of an executor share its memory."""
+    if any(other is not cache for other in _kept):
+        for other in _kept:
+            if other is not cache:
+                other.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
     _kept[:] = [cache]
 
 
 _encoders = lru_cache(maxsize=2)(ChunkEncoder)
 
 
-def encoder(path: str, keep_space: bool, width: int = 4) -> ChunkEncoder:
+def encoder(path: str, keep_space: bool, width: int = 4, limit: int = 700_000) -> ChunkEncoder:
     """One encoder for all tasks of a worker process, so what one has learned serves the next."""
-    out = _encoders(path, keep_space, width)
-    only(out.cache)
+    out = _encoders(path, keep_space, width, limit)
+    only(out)
     return out
 
 

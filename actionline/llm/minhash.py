@@ -30,7 +30,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found

@@ -65,7 +65,7 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         k += 1
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, cache: int = 700_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids with end_id make as many full windows of 1024 as they can; the rest is cut into
@@ -73,13 +73,14 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> Da
     a time. Null text: empty, so one piece with end_id. Null doc_id: packed like others. Repeated rows:
     each packed by itself, as pieces with equal doc_id. Empty table: empty result. sequence_id is the
     partition's number times 2**36 plus a count, so a task that runs again gives the same. No shuffle;
-    a task holds one batch of texts and the pieces of 64 windows.
+    a task holds one batch of texts, the pieces of 64 windows and the
+    encoder's cache of ``cache`` chunks and twice as many words.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path, keep_space=True), int(end_id).to_bytes(4, "little")
+        encode, end = encoder(path, keep_space=True, limit=cache), int(end_id).to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 36
         waiting: list[tuple] = []
         tokens = 0

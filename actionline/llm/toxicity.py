@@ -156,7 +156,7 @@ class Model:
 
     def weight(self, token: str) -> float:
         if (found := self.cache.get(token)) is None:
-            if len(self.cache) > 1_000_000:
+            if len(self.cache) > 500_000:
                 self.cache.clear()
             get = self.weights.get
             found = self.cache[token] = max((get(_hash(f), 0.0) for w in readings(token, self.language) for f in features(w)), default=0.0)
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 5,
                 found: set[int] = set()
                 for t in tokens:
                     if t not in cache:
-                        if len(cache) > 1_000_000:
+                        if len(cache) > 500_000:
                             cache.clear()
                         cache[t] = [h for w in readings(t, language) for f in features(w) if (h := _hash(f)) in pos]
                     found.update(cache[t])
