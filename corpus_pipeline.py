@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
-    return packing.packed(docs)
+    """The pieces of all documents in sequences of at most 1024 tokens; a small cache, as workers have served other stages."""
+    return packing.packed(docs, cache=150_000)
 
 
 STAGES = [
