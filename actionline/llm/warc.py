@@ -30,15 +30,15 @@ def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # only digests that occur more than once go into the join
     copies = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    copies = written(copies, "copies")  # a table of known size: Spark broadcasts a small one, so html is not shuffled
-    p = p.join(copies, "digest", "left")
+    p = p.join(copies.hint("merge"), "digest", "left")  # copies grow with the pages, so they are never broadcast
     return p.withColumn("refers", F.when((F.col("bytes") >= least) & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")))
 
 
-def write_warc(pages: DataFrame) -> str:
+def write_warc(pages: DataFrame, compression: str = "gzip") -> str:
     """One record for each row, in as many archives as the rows have partitions; returns their folder.
 
     The identifier is urn:page:<page_id>. A revisit has no payload but its header names the response.
+    compression: Spark's name of a codec for whole archives, or none, which lets tasks read parts of one.
     """
     p = marked(pages)
     revisit = F.col("refers").isNotNull()
@@ -54,7 +54,7 @@ def write_warc(pages: DataFrame) -> str:
         F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string"), F.lit(CLOSE),
     )
     folder = f"{shared_dir(pages.sparkSession)}/actionline-warc-{uuid.uuid4().hex}"
-    p.select(F.concat(header, F.when(revisit, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", CLOSE).text(folder)
+    p.select(F.concat(header, F.when(revisit, "").otherwise(F.col("html"))).alias("value")).write.option("lineSep", CLOSE).option("compression", compression).text(folder)
     return folder
 
 
@@ -160,7 +160,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return whole.mapInArrow(parse, "file string, start long, page_id long, record_type string, refers_to long, digest string, bytes long, found string, payload binary")
 
 
-def archived(pages: DataFrame) -> DataFrame:
+def archived(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     """One row for each page: page_id, payload_bytes, payload_digest, record_type, refers_to, as read back.
 
     Null html: an empty payload. Empty and short payloads are always responses. Repeated rows: each has
@@ -169,7 +169,7 @@ def archived(pages: DataFrame) -> DataFrame:
     empty result. A payload that holds the magic line, or whole records, is still one payload. A task
     holds some payloads; those of a record cut by false magic lines meet again by their record only.
     """
-    records = written(read_warc(pages.sparkSession, write_warc(pages)).drop("payload"), "read")
+    records = written(read_warc(pages.sparkSession, write_warc(pages, compression)).drop("payload"), "read")
     bad = records.where("record_type = 'response' and digest <> found")
     sizes = records.where("record_type = 'response'").groupBy("page_id", "digest").agg(F.max("bytes").alias("full"))
     sizes = sizes.join(records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct(), ["page_id", "digest"], "left_semi")
