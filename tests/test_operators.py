@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from actionline.functions.rounding import py_round
 from actionline.operators import assemble, dom, events, explore, frames, package, pages, scores, timeline
 from actionline.sources import io
 from actionline.streaming import stream
@@ -251,3 +252,9 @@ def test_visual_changes_against_all_pairs(spark):
     schema = "page_id long, el int, text string, tag string, x int, y int, w int, h int"
     got = {r["el"] for r in dom.visual_changes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()}
     assert got == {n[1] for n in new if not any(o[2:4] == n[2:4] and all(abs(a - b) <= 2 for a, b in zip(o[4:], n[4:], strict=True)) for o in old)}
+
+
+def test_py_round(spark):
+    values = [2.675, 0.125, 0.025, -2.675, None, 1e20]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x double").select(py_round(F.col("x"))).collect()]
+    assert got == [None if v is None else round(v, 2) for v in values]
