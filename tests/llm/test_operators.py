@@ -202,6 +202,16 @@ def test_wrappers(spark):
     assert wrappers.main_text(pages(spark, [])).count() == 0
 
 
+def test_wrappers_with_boilerplate_marked_by_id_or_role(spark):
+    one = "<body><div id='sidebar'><p>side</p></div><div id='content'><article><p>text</p></article></div></body>"
+    two = "<body><div><article><p>other</p></article></div><div role='navigation'>go</div><div>after</div></body>"
+    three = "<body><div class='a1d'><article>kept</article></div></body>"
+    four = "<body><div class='ad'>buy</div></body>"
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, [one, two, three, four])).collect()}
+    assert got == {0: "text", 1: "other", 2: "kept", 3: ""}
+    assert [[i[3] for i in wrappers.expression(wrappers.parse(x))[0][5]] for x in (one, two)] == [[True, False], [False, True, False]]
+
+
 def test_wrapper_alignment():
     one, two = (wrappers.expression(wrappers.parse(h)) for h in ("<ul><li>a</li></ul><p>x</p>", "<ul><li>a</li><li>b</li></ul><h2>t</h2><p>x</p>"))
     both = wrappers.align(one, two)
