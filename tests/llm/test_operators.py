@@ -212,6 +212,30 @@ def test_wrappers_with_boilerplate_marked_by_id_or_role(spark):
     assert [[i[3] for i in wrappers.expression(wrappers.parse(x))[0][5]] for x in (one, two)] == [[True, False], [False, True, False]]
 
 
+def test_wrappers_of_hosts_with_mixed_templates(spark):
+    body = "<html><body><header>Site</header><nav>go</nav>{}<footer>foot</footer></body></html>"
+    mixed = {
+        body.format("<article>one</article><div class='meta'>some words about the page and more of them</div>"): "one",
+        body.format("<main><p>two</p></main>"): "two",
+        body.format("<div class='content'><p>three</p><p>more</p></div>"): "three\nmore",
+        body.format("<div class='meta'>m</div><div class='story'><header>head</header><p>four and many words</p></div>"): "m\nhead\nfour and many words",
+        body.format("five"): "five",
+        body.format(""): "",
+        "<div>six</div>": "six",
+        "seven": "seven",
+    }
+    longer = "<p>long text of the host</p>" * 9
+    paths = {
+        f"<html><body><div class='w-1/2'><div class='text'>{longer}</div></div></body></html>": "\n".join(["long text of the host"] * 9),
+        "<html><body><div class='wrap'><div class='w-1/2'><div class='text'>more</div></div></div><div>x</div></body></html>": "more",
+        "<html><body><div class='text'>fewer</div><div>x</div></body></html>": "fewer",
+        "<html><body><div class='story'>other</div></body></html>": "other",
+    }
+    for want, url in ((mixed, "http://h.example/x"), (mixed, None), (paths, "http://h.example/x")):
+        got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, list(want), url)).collect()}
+        assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_wrapper_alignment():
     one, two = (wrappers.expression(wrappers.parse(h)) for h in ("<ul><li>a</li></ul><p>x</p>", "<ul><li>a</li><li>b</li></ul><h2>t</h2><p>x</p>"))
     both = wrappers.align(one, two)
