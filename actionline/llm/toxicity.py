@@ -37,7 +37,10 @@ LIKE, REPEAT, SPACER, DROP = 1.0, 1.0, 0.5, 4.0
 
 _TOKEN = re.compile(r"\S+").findall
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*~,/-]\S){3,}(?!\S)").findall
+#: Single characters with spacers between, up to any non-letter; spacers are no such characters, so there is one way to match.
+_RUN = re.compile(r"(?<![^\W\d_])[^\s._*~,/-](?:[ ._*~,/-]+[^\s._*~,/-]){3,}(?![^\W\d_])").findall
+_WIDE = re.compile(r"[ ._*~,/-]{2,}").split
+_TWICE = re.compile(r"([^\W\d_])\1").finditer
 _DISGUISED = re.compile(r"[^\W\d_][^\s]*?[0-9@$!|+€£¥(<#.*_~-]|[0-9@$!|+€£¥(<#]+[^\W\d_]|([^\W\d_])\1\1").search
 _EDGE = ".,;:!?\"'`*%&#)]}([{<>"
 
@@ -119,11 +122,31 @@ def viterbi(token: str, model: np.ndarray) -> str:
     return min(states.values())[1].strip()
 
 
+def _spaced(text: str) -> list[str]:
+    """The spelled-out runs of a text, and of runs with wider gaps the parts of four characters or more between those."""
+    out = []
+    for run in _RUN(text):
+        out.append(run)
+        if len(parts := _WIDE(run)) > 1:
+            out += (x for x in parts if len(x) >= 7)
+    return out
+
+
+def _unlikely_double(token: str, model: np.ndarray) -> bool:
+    """Whether the likeliest path drops a doubled letter: whether that saves more than it costs."""
+    for m in _TWICE(token):
+        i, b = m.start(), _INDEX.get(m[1], 0)
+        a, n = (_INDEX.get(x, 0) for x in (token[i - 1 : i], token[i + 2 : i + 3]))
+        if b and model[a, b, b] + model[b, b, n] - model[a, b, n] > REPEAT:
+            return True
+    return False
+
+
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The words of a token in lower case: as it stands, and as restored where it looks disguised."""
     plain = _WORDS(token)
     inner = token.strip(_EDGE)
-    if " " not in inner and not _DISGUISED(inner):
+    if " " not in inner and not _DISGUISED(inner) and not _unlikely_double(inner, model):
         inner = token.lstrip(_EDGE)  # a sign at the end may be a letter: once or twice
         if not (inner[-1:] in ("$", "@", "!", "|") and 0 < len(inner.rstrip("$@!|")) >= len(inner) - 2 and _WORDS(inner)):
             return plain
@@ -166,7 +189,7 @@ class Model:
         text = (text or "").lower()
         best = max(map(self.weight, set(_TOKEN(text))), default=0.0)
         if best < 0.99:
-            best = max([best, *(self.weight(x) for x in set(_SPACED(text)))])
+            best = max([best, *(self.weight(x) for x in set(_spaced(text)))])
         return best or self.rest
 
 
@@ -174,7 +197,7 @@ def _known(text: str | None, language: np.ndarray, cache: dict) -> dict[str, str
     """feature -> the words beside its first occurrence."""
     tokens = _TOKEN((text or "").lower())
     words: list[str] = []
-    for t in tokens + _SPACED((text or "").lower()):
+    for t in tokens + _spaced((text or "").lower()):
         if t not in cache:
             if len(cache) > 500_000:
                 cache.clear()
@@ -221,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 5,
         cache, count = {}, Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                tokens = set(_TOKEN((text or "").lower())) | set(_SPACED((text or "").lower()))
+                tokens = set(_TOKEN((text or "").lower())) | set(_spaced((text or "").lower()))
                 found: set[int] = set()
                 for t in tokens:
                     if t not in cache:

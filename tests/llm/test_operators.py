@@ -355,6 +355,26 @@ def test_toxicity_learns_words_and_restores_disguises(spark):
     assert empty.score("idiot") < 0.5
 
 
+def test_toxicity_restores_words_beside_punctuation_and_doubled_letters(spark):
+    draw = random.Random(4)
+    plain = ["the", "river", "runs", "all", "over", "stones", "and", "under", "bridges", "while", "birds", "sing", "hilly", "songs"]
+    texts, labels = [], []
+    for i in range(900):
+        words = [draw.choice(plain) for _ in range(draw.randint(5, 40))]
+        if i % 4 == 0:
+            words.insert(draw.randrange(len(words)), draw.choice(["idiot", "scum"]))
+        texts.append(" ".join(words))
+        labels.append((i, int(i % 4 == 0), None))
+    model = toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int, quality int"))
+    for t in ("you s c u m!", "what s c u m.", '"s c u m" he', "s  c  u  m", "s - c - u - m", "(s c u m)", "the s c u m, and", "s c u m. a river", "sccuumm", "scuum.", "iddiot", "idiiott!"):
+        assert model.score(t) >= 0.5, t
+    assert toxicity._spaced("i d i o t, go") == ["i d i o t"]
+    for t in ("all the hilly songs", "a, b, c, d.", "1. 2. 3. 4. 5", "- - - - -", "....a", "s.u. m.c. river", "the . river . runs . over"):
+        assert model.score(t) < 0.5, t
+    assert toxicity.readings("hilly", model.language) == ["hilly"]
+    assert len(toxicity._spaced("." * 50_000 + "a" + "- " * 50_000 + "ab")) == 0
+
+
 def test_mixing_budget_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 100), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("books", "en", "d", 5000)], "domain string, lang string, source string, supply long")
     weights = {"domain": {"web": 50, "books": 50}, "lang": {"en": 50, "de": 50}, "source": {}}
