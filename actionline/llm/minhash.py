@@ -110,7 +110,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signature(s) if len(s) else None
             sigs.append(None if sig is None else sig.tobytes())
             bnd.append(None if sig is None else bands(sig))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bnd, pa.list_(pa.int64()))], ["doc_id", "n", "key", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bnd, pa.list_(pa.int64())), *b.columns[2:]], ["doc_id", "n", "key", "sig", "bands", *b.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def _blocks(probes: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
     return rows.repartition(*order).sortWithinPartitions(*order, "kind", "key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, texts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     Sets and links as in the module's contract (five words, 100 * intersection >= percent * union). miss
@@ -330,10 +330,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> D
     with a chance of 5e-6. Texts that are null or without words: n_shingles 0, alone. Repeated rows and
     ties of doc_id: each row is judged by its own text. Null doc_id: linked with nothing, component null,
     kept false. Empty table: empty result. Texts of any length are used whole; further columns are ignored.
+    With texts there are two columns more, which tell rows of one doc_id apart: text_id, xxhash64 of the text,
+    and class_id, equal for texts of one component and for equal texts without words.
     """
     similarity = percent / 100
     docs = id_text(docs)
-    rows = written(docs.mapInArrow(_signed, "doc_id long, n long, key long, sig binary, bands array<long>"), "signatures")
+    extra = ["text_id"] if texts else []
+    named = docs.withColumn("text_id", F.xxhash64("text")) if texts else docs
+    rows = written(named.mapInArrow(_signed, ", ".join(["doc_id long, n long, key long, sig binary, bands array<long>", *(f"{x} long" for x in extra)])), "signatures")
     linkable = rows.where("key is not null and doc_id is not null")
     classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     exploded = linkable.select("key", F.explode("bands").alias("bucket"))
@@ -362,10 +366,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> D
             more = _blocks(pairs, classes_of, sets, percent)
         edges = edges.union(written(more, "links"))
         found = components(edges)
-    named = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
+    named = rows.select("doc_id", "n", *extra, F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     named = named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
     least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra, *([F.coalesce("comp", "text_id").alias("class_id")] if texts else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -7,6 +7,7 @@ again as the docs of the next. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from actionline.llm import minhash, mixing, packing, secrets, toxicity
 from actionline.llm.common import table, written
@@ -21,11 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays, with null ids all.
 
-    Rows that repeat a doc_id that stays are one document; one of those rows is kept.
+    Rows that repeat a doc_id are told apart by their texts: of near-duplicates among them one row stays,
+    the one whose text has the least hash, and rows with unrelated texts are judged and kept each by itself.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, texts=True).where("kept").groupBy("doc_id", "class_id").agg(F.min("text_id").alias("__text"))
     alone = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(alone)
+    named = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
+    out = named.join(kept.select("doc_id", "__text"), ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"])
+    return out.select(docs.columns).unionByName(alone)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

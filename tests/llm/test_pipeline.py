@@ -44,3 +44,15 @@ def test_stages(spark):
         before = after
     packed = corpus_pipeline.STAGES[4][1](spark, before, SF)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in before.select("doc_id").distinct().collect()}
+
+
+def test_rows_that_repeat_a_doc_id_are_judged_by_their_texts(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(5, one), (5, two), (5, one + " more"), (5, one), (3, three), (5, three), (6, two), (7, None), (7, ""), (7, ""), (7, "few"), (None, one), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=repr)
+    first = [x for x in got if x[0] == 5 and x[1].startswith("a")]
+    assert len(first) == 1 and first[0][1] in (one, one + " more")
+    assert got == sorted([*first, (5, two), (3, three), (7, None), (7, ""), (7, "few"), (None, one), (None, one)], key=repr)
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF)
+    assert again.columns == docs.columns and again.count() == 0
