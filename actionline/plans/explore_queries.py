@@ -105,7 +105,7 @@ def x09(links: DataFrame) -> DataFrame:
 
 @query("x10_dedup_states", "v_links", sql="SELECT min(page_id) AS page_id FROM (SELECT page_id, string_agg(concat(pos, text), '|' ORDER BY pos) AS s FROM v_links WHERE pos < 2 GROUP BY page_id) GROUP BY s")
 def x10(links: DataFrame) -> DataFrame:
-    return D.dedup_states(D.state_hash(_links(links).where("node_id < 2"), "node_id", "text")).select("page_id")
+    return D.dedup_states(D.state_hash(_links(links), "node_id", "text")).select("page_id")
 
 
 @query("x11_rematch", "v_links", sql="""WITH n AS (SELECT page_id - 1 AS page_id, pos * 2 AS node_id, text, CASE WHEN pos % 2 = 0 THEN 'A' ELSE 'BUTTON' END AS tag FROM v_links WHERE page_id > 0), a AS (SELECT page_id, pos AS node_id, text, 'A' AS tag FROM v_links)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from actionline.functions.rounding import py_round
 from actionline.operators import assemble, dom, events, explore, frames, package, pages, scores, timeline
+from actionline.plans import registry
 from actionline.sources import io
 from actionline.streaming import stream
 
@@ -245,6 +246,12 @@ def test_nodes_and_actions(spark):
     assert spark.createDataFrame([("enter[2][a[0], b]",)], "t string").select(explore.parse_nested_actions("t")).first()[0][0]["value"] == "a[0], b"
 
 
+def test_states_differ_from_the_third_link_on(spark, tmp_path):
+    page = '<a href="/a">a</a><a href="/b">b</a><a href="/{0}">{0}</a>'
+    spark.createDataFrame([(i, f"http://h/{i}", page.format(x)) for i, x in enumerate("ccd")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r["page_id"] for r in registry.QUERIES["x10_dedup_states"](spark, str(tmp_path)).collect()) == [0, 2]
+
+
 def test_visual_changes_against_all_pairs(spark):
     draw = random.Random(9)
     old = [(0, i, draw.choice("ab"), "A", draw.randint(0, 9), draw.randint(0, 60), 20, 10) for i in range(60)]
