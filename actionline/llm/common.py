@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -23,20 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; set only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a session
+    in one process sets a temporary one; on a cluster that would lose data, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage and survives lost executors.
+
+    instead: a result of this function that nothing reads any more once df is written; its files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/actionline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        for file in {x.rsplit("/", 1)[0] for x in instead.inputFiles()}:
+            old = spark._jvm.org.apache.hadoop.fs.Path(file)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -47,12 +58,22 @@ def id_text(docs: DataFrame) -> DataFrame:
 class ChunkEncoder:
     """Token ids of whole texts as little-endian bytes, by a cache over white-space chunks.
 
-    The two byte-pair tokenizers used here never merge across the chunks that ``split`` finds, so the
-    ids of a text are those of its chunks in a row (tests hold this against encoding whole texts). Both
-    caches are bounded: that of chunks starts anew at ``limit`` entries, that of words, which are chunks
-    without the punctuation at their end and cost most to encode, at twice as many.
+    Tokenizers that split where one of KNOWN does never merge across the chunks that ``split`` finds, so
+    the ids of a text are those of its chunks in a row (tests hold this against encoding whole texts).
+    Texts that hold the string of an added token, and all texts of any other tokenizer, are encoded as a
+    whole. Both caches are bounded: that of chunks starts anew at ``limit`` entries, that of words, which
+    are chunks without the punctuation at their end and cost most to encode, at twice as many.
     """
 
+    #: How a tokenizer must split for its chunks to be independent, by whether blanks count.
+    KNOWN = {
+        True: (None, [{"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}]),
+        False: (
+            [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+            [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}],
+        ),
+    }
+
     #: Punctuation that may be cut off a word's end: the tokenizers split there themselves.
     TAIL = ".,!?;:%*#$&"
 
@@ -63,12 +84,21 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunked = self._independent(json.loads(self.tokenizer.to_str()), keep_space)
         # a chunk is a run without white space (with the one blank before it, where blanks count)
         self.pattern = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+" if keep_space else rf"[^{WHITE}]+").findall
         self.type, self.limit, self.fold, self.cache = {2: "H", 4: "I"}[width], limit, not keep_space, {}
         self.words: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def _independent(cls, made: dict, keep_space: bool) -> bool:
+        """Whether a tokenizer, as its file describes it, splits as one of KNOWN."""
+        flat = lambda x, parts: x[parts] if x and x["type"] == "Sequence" else x and [x]
+        plain = lambda steps: steps and [{k: v for k, v in x.items() if k != "trim_offsets"} for x in steps]
+        found = plain(flat(made["normalizer"], "normalizers")), plain(flat(made["pre_tokenizer"], "pretokenizers"))
+        return found == cls.KNOWN[keep_space] and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"])
+
     def split(self, text: str) -> list[str]:
         """The chunks of a text. Plain texts, with single blanks and line ends alone, need no pattern."""
         if self.fold:
@@ -91,6 +121,8 @@ class ChunkEncoder:
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.chunked or any(x in text for x in self.added):
+            return array(self.type, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         chunks, cache = self.split(text), self.cache
         try:
             return b"".join(map(cache.__getitem__, chunks))

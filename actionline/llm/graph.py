@@ -35,5 +35,5 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == sign or not now[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root")).union(state.select("v", "v")).distinct()
         sign = tuple(now)
-        state = written(_stars(state), "edges")
+        state = written(_stars(state), "edges", instead=state)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -28,7 +28,10 @@ INDEX = "doc_ids array<long>, offsets array<long>, n_tokens array<long>, local_s
 
 
 def train(docs: DataFrame, path: str, width: int, sample: int) -> bytes:
-    """A dictionary from the serialized ids of at most ``sample`` documents, those with the least hashes."""
+    """A dictionary from the serialized ids of at most ``sample`` documents, those with the least hashes.
+
+    Training needs eight samples, so fewer are repeated. Only where the library finds nothing to train on,
+    as in a table without texts, the samples themselves are the dictionary."""
     import zstandard
 
     ids = docs.where("text <> ''").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -36,12 +39,10 @@ def train(docs: DataFrame, path: str, width: int, sample: int) -> bytes:
     rows = [(r["text"],) for r in sorted(rows)]
     encode = encoder(path, keep_space=False, width=width)
     parts = [encode(r[0]) for r in rows]
-    if len(parts) >= 50:
-        try:
-            return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
-        except zstandard.ZstdError:  # too little to train on
-            pass
-    return b"".join(parts)[:DICTIONARY_BYTES] or b"\0" * 8  # a raw dictionary
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, parts * -(-8 // max(1, len(parts)))).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[:DICTIONARY_BYTES] or b"\0" * 8
 
 
 def write_tokens(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None, sample: int = 1000) -> str:

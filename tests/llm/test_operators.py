@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -26,12 +28,15 @@ def docs(spark, texts, **more):
 ODD = [None, "", " ", "\n\n", "a", "wörter und worte", "x" * 5000, "tab\tand\r\nline\x0b\x0c end", "two  blanks   three\n\n\nlines \n x", "\x1c\x1d a", "😀 é ̈", "<|endoftext|> x", "it's 'tis", "one two three four", "same text", "same text"]
 
 
-def ids_of(text, name, end):
+@lru_cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
+def ids_of(text, name, end):
+    return tokenizer(name).encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -41,11 +46,24 @@ def crc(ids):
 @pytest.mark.parametrize(("name", "space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_chunks_give_the_ids_of_whole_texts(name, space):
     draw, encode = random.Random(4), ChunkEncoder(tokenizer_path(name), space)
-    alphabet = " \n\t'abcsS1½²é́中​\xa0 \x1c\r<|>._%!$Éİſ"
+    assert encode.chunked
+    alphabet = [*" \n\t'abcsS1½²é́中​\xa0 \x1c\r<|>._%!$Éİſ", "<|endoftext|>"]
     for text in ODD + ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 40))) for _ in range(1500)]:
         assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(text, name, 0)[:-1], repr(text)
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # merges across blanks
+    t.save(str(tmp_path / "t.json"))
+    encode = ChunkEncoder(str(tmp_path / "t.json"), True)
+    assert not encode.chunked
+    for text in ODD:
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+
+
 def test_tokens_round_trip(spark):
     d = docs(spark, ODD)
     folder = tokens.write_tokens(d)
@@ -87,6 +105,39 @@ def test_packing_covers_every_id_once(spark):
     assert packing.packed(docs(spark, [])).count() == 0
 
 
+def plain_differencing(sizes, k):
+    """The sums that Karmarkar-Karp gives, on whole vectors from the start."""
+    heap = [[0] * (k - 1) + [n] for n in sizes]
+    while len(heap) > 1:
+        heap.sort(key=lambda v: v[0] - v[-1])
+        a, b, *heap = heap
+        heap.append(sorted(x + y for x, y in zip(a, reversed(b), strict=True)))
+    return heap[0]
+
+
+def test_differencing_against_whole_vectors():
+    for seed in range(200):
+        draw = random.Random(seed)
+        most = draw.choice([1, 3, 50, 10**6])
+        sizes, k = [draw.randint(1, most) for _ in range(draw.randint(1, 40))], draw.randint(1, 12)
+        parts = packing.differencing(sizes, k)
+        assert sorted(itertools.chain(*parts)) == list(range(len(sizes))) and len(parts) == k
+        if most == 10**6:  # without ties there is one order of merging
+            assert sorted(sum(sizes[i] for i in p) for p in parts) == plain_differencing(sizes, k)
+
+
+def test_packing_of_tiny_documents_is_fast_and_tight(spark):
+    began = time.perf_counter()
+    parts = packing.pack([1] * 65_408)
+    assert time.perf_counter() - began < 1 and len(parts) == 64 and sum(map(len, parts)) == 65_408
+    rows = packing.packed(docs(spark, [None] * 3000 + ["one two three " * (i % 90) for i in range(300)]).coalesce(1)).collect()
+    total, windows = sum(r["length"] for r in rows), len({r["sequence_id"] for r in rows})
+    assert windows <= -(-total // 1024) + 1
+    odd = docs(spark, ["a b c"] * 2, extra=[(None, "a b c", None, None, 1, 1, 1.0, "", 1), (0, "other", None, None, 1, 1, 1.0, "", 1)])
+    got = sorted(((r["doc_id"], r["length"]) for r in packing.packed(odd).collect()), key=repr)
+    assert got == [(0, 2), (0, 4), (1, 4), (None, 4)]
+
+
 def test_differencing_is_near_equal_and_rises_when_full():
     sizes = [random.Random(i).randint(1, 256) for i in range(400)]
     parts = packing.differencing(sizes, 50)
