@@ -24,45 +24,75 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """The indices of sizes in k near-equal parts.
 
     A partial partition is k parts with their sums. The two with the largest spread are merged, the
-    largest part of one with the smallest of the other, until one partition is left.
+    largest part of one with the smallest of the other, until one partition is left. A piece by itself
+    is a partition with k - 1 empty parts. As long as pieces have the largest spreads, merging them fills
+    the empty parts of one partition, one by one; so up to k of them become a partition at once. A merge
+    keeps only the order it gave the parts; which piece lies where is read off those from the last back.
     """
-    heap = []
-    for i, n in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = n  # ascending
-        heap.append((-n, i, sums, [()] * (k - 1) + [(i,)]))
-    heapq.heapify(heap)
-    count = len(sizes)
-    while len(heap) > 1:
-        (_, _, a, x), (_, _, b, y) = heapq.heappop(heap), heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        parts = [(x[j], y[k - 1 - j]) for j in order]  # trees of indices, unfolded at the end
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), count, sums, parts))
-        count += 1
-
-    def unfold(tree) -> list[int]:
-        out, stack = [], [tree]
-        while stack:
-            for x in stack.pop():
-                if isinstance(x, tuple):
-                    stack.append(x)
-                else:
-                    out.append(x)
-        return sorted(out)
-
-    return [unfold(p) for p in heap[0][3]] if heap else []
+    n = len(sizes)
+    if not n:
+        return []
+    by = sorted(range(n), key=lambda i: -sizes[i])
+    heap: list[tuple[int, int]] = []  # (minus the spread, number of the partition)
+    sums: list[np.ndarray | None] = []  # ascending
+    made: list[tuple] = []  # pieces, smallest part first; or the two that were merged and the order of their parts
+
+    def add(values: np.ndarray, how: tuple) -> None:
+        heapq.heappush(heap, (int(values[0] - values[-1]), len(made)))
+        sums.append(values)
+        made.append(how)
+
+    def pieces(at: int, most: int, least: int) -> int:
+        """A partition of the pieces from at on that are of least tokens or more; returns where they end."""
+        end = at + 1
+        while end < n and end < at + most and sizes[by[end]] >= least:
+            end += 1
+        values = np.zeros(k, np.int64)
+        values[k - (end - at) :] = [sizes[i] for i in reversed(by[at:end])]
+        add(values, (by[at:end],))
+        return end
+
+    at = 0
+    while at < n or len(heap) > 1:
+        top = -heap[0][0] if heap else -1
+        if at < n and sizes[by[at]] >= top:
+            at = pieces(at, k, top)
+            continue
+        _, x = heapq.heappop(heap)
+        if at < n and (not heap or sizes[by[at]] >= -heap[0][0]):
+            at = pieces(at, 1, 0)
+        _, y = heapq.heappop(heap)
+        both = sums[x] + sums[y][::-1]
+        order = np.argsort(both, kind="stable")
+        sums[x] = sums[y] = None
+        add(both[order], (x, y, order))
+    place: list[np.ndarray | None] = [None] * len(made)
+    place[-1] = np.arange(k)
+    parts: list[list[int]] = [[] for _ in range(k)]
+    for number in range(len(made) - 1, -1, -1):
+        here, how = place[number], made[number]
+        place[number] = None
+        if len(how) == 1:
+            for i, part in zip(how[0], here[::-1].tolist(), strict=False):
+                parts[part].append(i)
+            continue
+        x, y, order = how
+        place[x], place[y] = np.empty(k, np.int64), np.empty(k, np.int64)
+        place[x][order] = here
+        place[y][k - 1 - order] = here
+    return [sorted(p) for p in parts]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Parts that all fit the capacity: the count of windows starts at the least and rises until they do."""
+    """Parts that all fit the capacity: the count of windows starts at the least and rises until they do,
+    by as many as what lies beyond the capacity would fill."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         parts = differencing(sizes, k)
-        if all(sum(sizes[i] for i in p) <= capacity for p in parts):
+        beyond = sum(max(0, sum(sizes[i] for i in p) - capacity) for p in parts)
+        if not beyond:
             return [p for p in parts if p]
-        k += 1
+        k += -(-beyond // capacity)
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, cache: int = 700_000) -> DataFrame:
@@ -121,4 +151,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, cache
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents. Null and empty texts: one piece, the end id alone. Null and repeated doc_id: each
+    row packed by itself, under its own id. Very long texts: as many full windows as they fill, and a rest.
+    Other columns, clashing names among them, are ignored. Empty table: empty result."""
     return packed(table(spark, sf_dir, "documents"))
