@@ -43,9 +43,16 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(1) <= ((x - b) ** 2).sum(1))[:, None], a, b)
 
 
+#: How far, in units of the lattice, a vector is filed; where links reach further, the unit is made larger.
+REACH = 0.44
+
+
 @lru_cache
 def neighbours() -> np.ndarray:
-    """The 2400 vectors of E8 with squared length 2 or 4: all cells that a ball of under 0.44 can reach."""
+    """The 2400 vectors of E8 with squared length 2 or 4: all cells that a ball of REACH can touch.
+
+    A cell's points are within 1 of its centre. So the cells of 0 and of a vector v of squared length 6 or
+    more are at least |v| - 2, that is 0.449, apart."""
     out: list[list[float]] = []
 
     def grow(head: list[float], values: tuple, left: float) -> None:
@@ -103,6 +110,11 @@ def _radius(d: int, threshold: float) -> float:
     return (math.sqrt(2 - 2 * threshold) * GRID + math.sqrt(d)) / math.sqrt(d // 8)
 
 
+def _unit(d: int, threshold: float, scale: float) -> float:
+    """The lattice's unit for vectors of d coordinates: scale, or as much as keeps half the radius within REACH."""
+    return max(scale, _radius(d, threshold) / GRID / 2 / REACH)
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node that it reaches by the links (i, j)."""
     root = np.arange(n)
@@ -119,6 +131,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 def _links(c: np.ndarray, left: slice, right: slice, same: bool, t: int, cell: int, scale: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, sure) of the pairs between two row ranges of a cell that this cell has to count."""
     d = c.shape[1]
+    scale = _unit(d, threshold, scale)
     limit, unit = _radius(d, threshold) ** 2, float(GRID)
     margin = 2.5 * math.sqrt(d) / GRID
     whole = c.astype(np.float32) / unit
@@ -156,7 +169,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, scale: float = 0.3
     threshold. Vectors that are null, empty or zero or hold null or non-finite components link with
     nothing, nor do vectors of different lengths or rows with a null vec_id (component null, kept false).
     Repeated rows link with each other; vec_id names all of them. Empty table: empty result. scale is the
-    lattice's unit: smaller cells mean fewer comparisons and more filed copies, never other results.
+    lattice's unit: smaller cells mean fewer comparisons and more filed copies, never other results, as it
+    is made larger where neighbouring cells would not cover the links' reach.
     """
     wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     good = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -169,8 +183,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, scale: float = 0.3
                 pick = [k for k, v in enumerate(vectors) if len(v) == d]
                 x = np.array([vectors[k] for k in pick], float)
                 c = codes(x / np.abs(x).max(1)[:, None])  # first by the largest component: no overflow
+                unit = _unit(c.shape[1], threshold, scale)
                 for t in range(c.shape[1] // 8):
-                    rows, cell = cells(c[:, 8 * t : 8 * t + 8] / (GRID * scale), _radius(c.shape[1], threshold) / GRID / scale / 2)
+                    rows, cell = cells(c[:, 8 * t : 8 * t + 8] / (GRID * unit), _radius(c.shape[1], threshold) / GRID / unit / 2)
                     for at in range(0, len(rows), 20_000):
                         r = rows[at : at + 20_000]
                         yield pa.RecordBatch.from_arrays([pa.array([labels[pick[k]] for k in r], pa.string()), pa.array(np.full(len(r), d, np.int32)), pa.array(np.full(len(r), t, np.int32)), pa.array(cell[at : at + 20_000]), pa.array([keys[pick[k]] for k in r], pa.int64()), pa.array([c[k].tobytes() for k in r], pa.binary())], ["label", "d", "t", "cell", "key", "code"])
@@ -235,4 +250,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, scale: float = 0.3
 
 
 def op3_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of embeddings. Null label or vec_id, and vectors that are null, empty, zero or not finite:
+    linked with nothing. Very long vectors: rotated as a whole, one table for each eight coordinates. Repeated
+    rows and ties: linked with each other, one vec_id names all. Other columns, clashing names among them, are
+    ignored. Empty table: empty result."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
