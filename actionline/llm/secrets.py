@@ -124,18 +124,22 @@ def redact(text: str | None, mark: str = "[secret]") -> str | None:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with the same columns and rows; secrets in text replaced, and n_chars set anew where text changed."""
-    names = docs.columns
+    """docs with the same columns and rows; secrets in text replaced, and n_chars set anew where text changed.
+    Null texts stay null; other columns stay as they are, whatever their names."""
 
     @F.pandas_udf("string")
     def clean(text):
         return text.map(lambda x: redact(x, mark))
 
-    out = docs.withColumn("__clean", clean(F.col("text").cast("string")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(~F.col("__clean").eqNullSafe(F.col("text")), F.length("__clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", F.col("__clean")).select(names)
+    out = docs.select(F.struct("*").alias("row"), clean(F.col("text").cast("string")).alias("clean"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(~F.col("clean").eqNullSafe(F.col("row.text")), F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select([new.get(x, F.col("row")[x]).alias(x) for x in docs.columns])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents. Null and empty texts: no spans, the digest of an empty string. Null doc_id and
+    repeated rows: each its own result. Very long texts: scanned whole. Ties: spans with one start come as the kinds
+    are listed. Other columns, clashing names among them, are ignored. Empty table: empty result."""
     return scan(table(spark, sf_dir, "documents"))
