@@ -38,7 +38,9 @@ LIKE, REPEAT, SPACER, DROP = 1.0, 1.0, 0.5, 4.0
 _TOKEN = re.compile(r"\S+").findall
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Single characters with spacers between, up to any non-letter; spacers are no such characters, so there is one way to match.
-_RUN = re.compile(r"(?<![^\W\d_])[^\s._*~,/-](?:[ ._*~,/-]+[^\s._*~,/-]){3,}(?![^\W\d_])").findall
+_RUN = re.compile(r"(?<![^\W\d_])[^\s._*~,/-](?:[ ._*~,/-]+[^\s._*~,/-]){2,}(?![^\W\d_])").findall
+#: Runs of letters by ones and twos.
+_SHORT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,2}(?:(?:\s{1,3}|[._*~/-])[^\W\d_]{1,2}){2,}(?![^\W\d_])").findall
 _WIDE = re.compile(r"[ ._*~,/-]{2,}").split
 _TWICE = re.compile(r"([^\W\d_])\1").finditer
 _DISGUISED = re.compile(r"[^\W\d_][^\s]*?[0-9@$!|+€£¥(<#.*_~-]|[0-9@$!|+€£¥(<#]+[^\W\d_]|([^\W\d_])\1\1").search
@@ -123,13 +125,15 @@ def viterbi(token: str, model: np.ndarray) -> str:
 
 
 def _spaced(text: str) -> list[str]:
-    """The spelled-out runs of a text, and of runs with wider gaps the parts of four characters or more between those."""
+    """The spelled-out runs of a text, of runs with wider gaps the parts of three characters or more between
+    those, and the runs of letters by ones and twos."""
     out = []
     for run in _RUN(text):
         out.append(run)
         if len(parts := _WIDE(run)) > 1:
-            out += (x for x in parts if len(x) >= 7)
-    return out
+            out += (x for x in parts if len(x) >= 5)
+    known = set(out)
+    return out + [run for run in _SHORT(text) if run not in known]
 
 
 def _unlikely_double(token: str, model: np.ndarray) -> bool:
@@ -287,13 +291,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with a score (0 to 1) and predicted (1 from 0.5 on), from the whole text of each row alone.
 
     Null and empty texts get the rate of toxic documents among those without any known feature. Repeated
-    rows get equal scores; other columns pass through; empty tables stay empty.
+    rows get equal scores; empty tables stay empty. Other columns pass through, but for columns of these
+    two names, which are set anew.
     """
-    out = docs.withColumn("score", _scorer(model)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn("score", score_of(model)).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score_of(model: Model):
+    """The score as a column expression over text; null: empty."""
+    return _scorer(model)(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each row of documents. Null and empty texts: the rate of toxic documents without any known
+    feature. Null doc_id: scored, not held out. Very long texts: scored whole, each different token once. Ties
+    and repeated rows: equal scores. Other columns, clashing names among them, are ignored. Empty documents:
+    empty result; without labels no text is predicted toxic."""
     docs = id_text(table(spark, sf_dir, "documents"))
     out = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -14,9 +14,9 @@ from actionline.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go; all others stay as they are."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("predicted = 0").select(docs.columns)
+    """Documents that are predicted toxic go; all others stay as they are, with all columns, whatever their names.
+    Null and empty texts stay; null doc_id, repeated rows and ties are judged row by row; an empty table stays empty."""
+    return docs.where(toxicity.score_of(toxicity.fit(docs, table(spark, sf_dir, "labels"))) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,26 +24,32 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat a doc_id are told apart by their texts: of near-duplicates among them one row stays,
     the one whose text has the least hash, and rows with unrelated texts are judged and kept each by itself.
+    Null and empty texts are like nothing, so they stay, once for each doc_id. All columns stay, whatever their
+    names; an empty table stays empty.
     """
-    kept = minhash.near_duplicates(docs, texts=True).where("kept").groupBy("doc_id", "class_id").agg(F.min("text_id").alias("__text"))
-    alone = docs.where("doc_id is null")
-    named = docs.withColumn("__text", F.xxhash64(F.col("text").cast("string")))
-    out = named.join(kept.select("doc_id", "__text"), ["doc_id", "__text"], "left_semi").dropDuplicates(["doc_id", "__text"])
-    return out.select(docs.columns).unionByName(alone)
+    kept = minhash.near_duplicates(docs, texts=True).where("kept").groupBy("doc_id", "class_id").agg(F.min("text_id").alias("text_id"))
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"))
+    out = named.join(kept.select("doc_id", "text_id"), ["doc_id", "text_id"], "left_semi").dropDuplicates(["doc_id", "text_id"])
+    return out.select("row.*").union(docs.where("doc_id is null"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret found is replaced by a mark; no document goes."""
+    """Every secret found is replaced by a mark; no document goes. Null and empty texts stay as they are, as do null
+    doc_id, repeated rows and all other columns but n_chars; an empty table stays empty."""
     return secrets.redacted(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the target weights take, a row for each use."""
+    """The documents that the target weights take, a row for each use, with all columns, whatever their names. Null
+    lang, source and doc_id count as empty strings; null and empty texts have no words and go with the prefix of
+    their leaf; rows of equal doc_id stand or fall together; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens; a small cache, as workers have served other stages."""
+    """The pieces of all documents in sequences of at most 1024 tokens; a small cache, as workers have served other
+    stages. Null and empty texts: the end id alone; null doc_id and repeated rows: each packed by itself; other
+    columns are ignored; an empty table gives an empty result."""
     return packing.packed(docs, cache=150_000)
 
 
@@ -55,7 +61,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: No twin in SQL: restoring disguised words, sketches and tokenizers are beyond it. Tests hold it against brute force.
+#: No twin in SQL: restoring disguised words, sketches and tokenizers are beyond it. Tests hold its stages against plain versions.
 ORACLE_SQL = None
 
 
