@@ -27,10 +27,11 @@ def _mapped(column: str, values: Mapping[str, object], other: object) -> Column:
 
 
 def tree(docs: DataFrame, domains: Mapping[str, str] = DOMAINS) -> DataFrame:
-    """docs with __domain, __lang, __source (null: empty) and __n, the words of each text."""
-    out = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("__lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    out = out.withColumn("__domain", _mapped("__source", domains, "forum"))
-    return out.withColumn("__n", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+    """row (all columns of docs, so that none can clash), domain, lang, source (null: empty), id and n, the words of the text."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.select(F.struct("*").alias("row"), text("lang").alias("lang"), text("source").alias("source"), text("doc_id").alias("id"), words.alias("n"))
+    return out.withColumn("domain", _mapped("source", domains, "forum"))
 
 
 def _fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
@@ -69,46 +70,52 @@ def budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHT
 
 
 def chosen(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS, domains: Mapping[str, str] = DOMAINS, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The rows of docs that the mixture takes, with __copies, how often, beside the columns of tree().
+    """The rows of docs that the mixture takes, each as row, with copies, how often, beside the columns of tree().
 
     A leaf whose budget is e times its supply and some more uses every document e times, and those of the
     next epoch's order as far as their words fit the remainder; that order is by md5(seed:epoch:doc_id).
     Documents with equal doc_id stand or fall together. Null language, source or doc_id count as empty
-    strings; null and empty texts have no words and go with the prefix. Empty table: empty result. The
-    order is cut by a prefix sum over the hash's first digits, so no task holds a whole leaf, and documents
-    are then filtered where they are: no text is shuffled.
+    strings; null and empty texts have no words and go with the prefix. Empty table: empty result. Where
+    the order of a leaf is cut is found by prefix sums over two digits of the hash after another: a leaf
+    gives 256 sums a step, and only the rows that share six digits with the cut are put in order, so no
+    task holds a whole leaf. Documents are then filtered where they are: no text is shuffled.
     """
     rows = tree(docs, domains)
-    leaf = ["__domain", "__lang", "__source"]
-    names = dict(zip(leaf, LEVELS, strict=True))
-    narrow = written(rows.select(*leaf, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("__n").alias("n")), "words")
-    leaves = narrow.groupBy(*leaf).agg(F.sum("n").alias("supply")).withColumnsRenamed(names)
-    plan = budgets(leaves, weights, percent, epochs).withColumnsRenamed({v: k for k, v in names.items()})
+    narrow = written(rows.select(*LEVELS, "id", "n"), "words")
+    leaves = narrow.groupBy(*LEVELS).agg(F.sum("n").alias("supply"))
+    plan = budgets(leaves, weights, percent, epochs)
     plan = written(plan.withColumn("whole", F.expr("CASE WHEN supply > 0 THEN own div supply ELSE 0 END")).withColumn("more", F.expr("own - whole * supply")), "plan")
-    order = lambda x: F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), x).cast("binary"))
-    placed = narrow.join(plan, leaf).withColumn("h", order(F.col("id"))).withColumn("bucket", F.substring("h", 1, 3))
-    sums = placed.groupBy(*leaf, "bucket").agg(F.sum("n").alias("sum"), F.first("more").alias("more"))
-    sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*leaf).orderBy("bucket")) - F.col("sum"))
-    # the first bucket that doesn't fit as a whole, and how far its own rows fit
-    edge = sums.where("before + sum > more").groupBy(*leaf).agg(F.min("bucket").alias("bucket"), F.min("before").alias("before"))
-    inner = placed.join(edge, [*leaf, "bucket"]).withColumn("sum", F.col("before") + F.sum("n").over(Window.partitionBy(*leaf).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)))
-    cut = edge.join(inner.where("sum <= more").groupBy(*leaf).agg(F.max("h").alias("last")), leaf, "left").select(*leaf, F.coalesce("last", "bucket").alias("cut"))
-    plan = written(plan.join(cut, leaf, "left").select(*leaf, "whole", "cut"), "plan")  # a small table: read again, its size is known
-    out = rows.join(plan, leaf)
-    taken = F.col("cut").isNull() | (order(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) <= F.col("cut"))
-    return out.withColumn("__copies", F.col("whole") + taken.cast("long")).where("__copies > 0").drop("whole", "cut")
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), "id").cast("binary"))
+    edge = plan.select(*LEVELS, "whole", F.lit("").alias("prefix"), F.col("more").alias("left"))
+    near = narrow.join(edge, LEVELS).withColumn("h", order)
+    for digits in (2, 4, 6):
+        sums = near.groupBy(*LEVELS, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("n").alias("sum"), F.first("whole").alias("whole"), F.first("left").alias("left"))
+        sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("sum"))
+        # the first bucket that doesn't fit as a whole, and what is left for its own rows
+        first = sums.where("before + sum > left").groupBy(*LEVELS).agg(F.min(F.struct("bucket", "whole", (F.col("left") - F.col("before")).alias("left"))).alias("at"))
+        edge = written(first.select(*LEVELS, "at.whole", F.col("at.bucket").alias("prefix"), "at.left"), "edge")
+        near = narrow.join(edge, LEVELS).withColumn("h", order).where(F.col("h").startswith(F.col("prefix")))
+    inner = near.withColumn("sum", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("h").rangeBetween(Window.unboundedPreceding, 0)))
+    last = inner.where("sum <= left").groupBy(*LEVELS).agg(F.max("h").alias("last"))
+    cut = edge.join(last, LEVELS, "left").select(*LEVELS, F.coalesce("last", "prefix").alias("cut"))
+    plan = written(plan.join(cut, LEVELS, "left").select(*LEVELS, "whole", "cut"), "plan")  # a small table: read again, its size is known
+    taken = F.col("cut").isNull() | (order <= F.col("cut"))
+    return rows.join(plan, LEVELS).withColumn("copies", F.col("whole") + taken.cast("long")).where("copies > 0").drop("whole", "cut")
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The columns of docs; a row for each use of a document."""
-    names = docs.columns
-    out = chosen(docs, **parameters)
-    return out.withColumn("__use", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(names)
+    """The columns of docs, whatever their names; a row for each use of a document. Other cases as in chosen()."""
+    use = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("use")
+    return chosen(docs, **parameters).select("row", use).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document that the mixture takes. Null lang, source or doc_id: as empty strings. Null and
+    empty texts: no words, taken with the prefix of their leaf. Very long texts: taken only where they fit as a
+    whole. Ties (equal doc_id): stand or fall together; repeated rows: each counts. Other columns, clashing
+    names among them, are ignored. Empty table: empty result."""
     out = chosen(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__n").alias("n_tokens"), F.col("__copies").alias("copies"))
+    return out.select("row.doc_id", "domain", "lang", "source", F.col("n").alias("n_tokens"), "copies")
 
 
 def _case(column: str, values: Mapping[str, object], other: object) -> str:

@@ -294,6 +294,73 @@ def test_wrapper_alignment():
     assert both[0][5][0][:3] == ["li", False, True]
 
 
+def test_wrapper_texts_that_all_pages_share_are_the_templates(spark):
+    page = "<body><article><h1>Same title</h1><p>{0} one</p><p>{0} two</p><div class='x'><p>Printed with care.</p></div></article><div>foot</div></body>"
+    htmls = [page.format(f"words {i}") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, htmls)).collect()}
+    assert got == {i: f"Same title\nwords {i} one\nwords {i} two" for i in range(20)}
+    few = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, htmls[:5] * 6)).collect()}
+    assert few[0].endswith("Printed with care.")  # five different pages are too few to tell
+    other = htmls[:19] + [page.format("words").replace("Printed with care.", "Printed elsewhere.")]
+    assert {r["text"].splitlines()[-1] for r in wrappers.main_text(pages(spark, other)).collect()} == {"Printed with care.", "Printed elsewhere."}
+
+
+def test_wrappers_are_the_same_for_any_layout(spark):
+    draw = random.Random(6)
+    bits = ["<div>{}</div>", "<ul><li>{}</li><li>x</li></ul>", "<h2>{}</h2>", "<p>{}</p>", "<section class='s'><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"]
+    htmls = ["<body>" + "".join(draw.choice(bits).format(draw.randint(0, 3)) for _ in range(draw.randint(1, 12))) + "</body>" for _ in range(120)]
+    rows = [("h" if i % 3 else "g", x) for i, x in enumerate(htmls)]
+    found = set()
+    for parts in (1, 3, 7):
+        draw.shuffle(rows)
+        found.add(tuple(sorted(tuple(r) for r in wrappers.infer(spark.createDataFrame(rows, "host string, html string").repartition(parts)).collect())))
+    assert len(found) == 1
+
+
+def test_aligned_expressions_match_both_sequences():
+    def pattern(items):
+        return "".join(f"(?:{x[0]}{'+' if x[2] else ''}){'?' if x[1] else ''}" for x in items)
+
+    draw = random.Random(9)
+    for _ in range(500):
+        texts = ["".join(draw.choice("abcd") for _ in range(draw.randint(0, 9))) for _ in range(3)]
+        found = None
+        for text in texts:
+            one = wrappers.expression(wrappers.parse("".join(f"<{c}x></{c}x>" for c in text)))
+            for x in one:
+                x[0] = x[0][0]
+            found = one if found is None else wrappers.align(found, one)
+        assert all(re.fullmatch(pattern(found), text) for text in texts), (texts, pattern(found))
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<div>" * 50_000 + "deep" + "</div>" * 50_000, "deep"),
+        ("<div>" * 300 + "<aside>" + "<div>no" * 50 + "</div>" * 50 + "</aside><b>a</b><div>b</div>c", "a\nb\nc"),
+        ("<p>x</p>" * 100_000, "\n".join("x" * 100_000)),
+        ("t<a " * 30_000, ("t<a " * 30_000).strip()),
+        ("<a <a " * 30_000 + ">t", "t"),
+        ('<a ">' * 30_001 + "t", "t"),
+        ("<x>" * 20_000 + "</y>" * 20_000 + "t", "t"),
+        ("<p>a</p><h2>b</h2>" * 20_000, "\n".join("ab" * 20_000)),
+    ],
+)
+def test_long_and_deep_pages_take_time_in_proportion(html, want):
+    began = time.perf_counter()
+    e = wrappers.expression(wrappers.parse(html))
+    wrappers.align(e, [["q", False, False, False, 1, [], 0], *e])
+    assert wrappers.read(html, [[]]) == want
+    assert time.perf_counter() - began < 20
+
+
+def test_wrappers_on_odd_rows(spark):
+    rows = [(None, "http://h.example/1", "<p>a</p>"), (1, None, "<div>b</div>"), (1, None, "<div>b</div>"), (2, "no url", None), (3, "", "x" * 200_000)]
+    d = spark.createDataFrame([(*r, "h", "r", 7) for r in rows], "page_id long, url string, html string, host string, roots string, n_chars int")
+    got = sorted(((r["page_id"], r["text"]) for r in wrappers.main_text(d).collect()), key=repr)
+    assert got == sorted([(None, "a"), (1, "b"), (1, "b"), (2, ""), (3, "x" * 200_000)], key=repr)
+
+
 def test_lattice_cells_against_search():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(40, 8)) * 2
@@ -438,7 +505,7 @@ def test_mixing_counts_and_edges(spark):
     d = docs(spark, texts, extra=[(None, "a b", None, None, 1, 1, 1.0, "", 1), (0, "", None, None, 1, 1, 1.0, "", 1)])
     out = mixing.mixed(d)
     assert out.columns == d.columns
-    chosen = {r["doc_id"]: r["__copies"] for r in mixing.chosen(d).collect()}
+    chosen = {r["row"]["doc_id"]: r["copies"] for r in mixing.chosen(d).collect()}
     assert all(1 <= c <= 3 for c in chosen.values()) and mixing.mixed(d.limit(0)).count() == 0
-    total, used = sum(len((t or "").split()) for t in texts), mixing.chosen(d).selectExpr("sum(__n * __copies)").first()[0]
+    total, used = sum(len((t or "").split()) for t in texts), mixing.chosen(d).selectExpr("sum(n * copies)").first()[0]
     assert 0.6 * total < used <= 0.81 * total
