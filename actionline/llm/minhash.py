@@ -96,35 +96,55 @@ def least_matches(similarity: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set; where sets of different second hashes share the first, _renamed tells them apart."""
     import xxhash
 
+    raw = s.tobytes()
+    return int(np.uint64(xxhash.xxh3_64_intdigest(raw)).astype(np.int64)), int(np.uint64(xxhash.xxh3_64_intdigest(raw, 1)).astype(np.int64))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set size, key and check of each row; signature and bands once for each class of a task, so exact
+    copies are not dealt out. A task remembers the classes of its own rows."""
     only(_words)
+    seen: set[tuple[int, int]] = set()
     for b in batches:
-        ids, ns, keys, sigs, bnd = [], [], [], [], []
+        ids, ns, keys, checks, sigs, bnd = [], [], [], [], [], []
         for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             s = shingles(text.as_py())
             ids.append(i)
             ns.append(len(s))
-            keys.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None)
-            sig = signature(s) if len(s) else None
+            key = _key(s) if len(s) else (None, None)
+            keys.append(key[0])
+            checks.append(key[1])
+            sig = None
+            if len(s) and i is not None and key not in seen:
+                seen.add(key)
+                sig = signature(s)
             sigs.append(None if sig is None else sig.tobytes())
             bnd.append(None if sig is None else bands(sig))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bnd, pa.list_(pa.int64())), *b.columns[2:]], ["doc_id", "n", "key", "sig", "bands", *b.schema.names[2:]])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bnd, pa.list_(pa.int64())), *b.columns[2:]], ["doc_id", "n", "key", "check", "sig", "bands", *b.schema.names[2:]])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     only(_words)
     for b in batches:
-        keys, sets = [], []
+        keys, checks, sets = [], [], []
         for text in b.column(0):
             s = shingles(text.as_py())
             if len(s):
-                keys.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
+                key, check = _key(s)
+                keys.append(key)
+                checks.append(check)
                 sets.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["key", "set"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(sets, pa.binary())], ["key", "check", "set"])
+
+
+def _renamed(df: DataFrame, shared: DataFrame) -> DataFrame:
+    """df (key, check and more) without check; keys that several sets share are made anew from both hashes."""
+    out = df.join(shared.select("key", F.lit(True).alias("many")), "key", "left")
+    return out.withColumn("key", F.when(F.col("many"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("check", "many")
 
 
 def _bayes(pairs: DataFrame, similarity: float, miss: float) -> DataFrame:
@@ -187,7 +207,8 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
     """
     size = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     size = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
-    size = size.select("bucket", "top", F.ceil(F.col("total") / BLOCK).cast("long").alias("alls"), F.ceil((F.col("total") - F.col("c")) / BLOCK).cast("long").alias("smalls"))
+    # written, so that the join below meets it as a table of known size, and can deal a hot bucket's rows to several tasks
+    size = written(size.select("bucket", "top", F.ceil(F.col("total") / BLOCK).cast("long").alias("alls"), F.ceil((F.col("total") - F.col("c")) / BLOCK).cast("long").alias("smalls")), "buckets")
     m = members.join(size, "bucket").withColumn("small", F.col("comp") != F.col("top")).withColumn("h", F.xxhash64("key"))
     # block (s, l): the s-th part of the smaller components against the l-th part of all rows
     as_small = m.where("small").select("*", F.pmod("h", F.col("smalls")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("l"), F.lit(0).alias("side"))
@@ -337,15 +358,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, text
     docs = id_text(docs)
     extra = ["text_id"] if texts else []
     named = docs.withColumn("text_id", F.xxhash64("text")) if texts else docs
-    rows = written(named.mapInArrow(_signed, ", ".join(["doc_id long, n long, key long, sig binary, bands array<long>", *(f"{x} long" for x in extra)])), "signatures")
+    rows = written(named.mapInArrow(_signed, ", ".join(["doc_id long, n long, key long, check long, sig binary, bands array<long>", *(f"{x} long" for x in extra)])), "signatures")
+    # with 128 bits for a class, unrelated sets never become one; of 64 bits alone, some of 10**10 sets would be equal
+    shared = written(rows.where("key is not null").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a < b").select("key"), "shared")
+    rows = _renamed(rows, shared)
     linkable = rows.where("key is not null and doc_id is not null")
-    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig", True).alias("sig"))
     exploded = linkable.select("key", F.explode("bands").alias("bucket"))
     # a bucket's classes, not its rows: min and max differ where there are two
     multi = exploded.groupBy("bucket").agg(F.min("key").alias("pivot"), F.max("key").alias("last")).where("pivot < last").select("bucket", "pivot")
     members = written(exploded.join(multi, "bucket").distinct(), "members")
     nodes = written(members.select("key").distinct().join(classes.select("key", "rep", "n", "sig"), "key"), "classes")
-    sets = written(docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "key long, set binary").join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = written(_renamed(docs.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(_sets, "key long, check long, set binary"), shared).join(nodes.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
 
     def sig(name: str) -> DataFrame:
         return nodes.select(F.col("key").alias(name), F.col("sig").alias(f"sig_{name}"), F.col("n").alias(f"n_{name}"))
@@ -374,4 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, text
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents. Null and empty texts, and those of white space: n_shingles 0, alone.
+    Null doc_id: component null, not kept. Very long texts: whole sets. Ties of doc_id and repeated rows: each
+    judged by its own text. Other columns, clashing names among them, are ignored. Empty table: empty result."""
     return near_duplicates(table(spark, sf_dir, "documents"))
