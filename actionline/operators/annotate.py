@@ -22,17 +22,18 @@ def _blank(c: str) -> Column:
     return F.when(F.col(c) != "", F.col(c))
 
 
-def describe_action(action: str = "action", text: str = "dom_text", value: str | None = None) -> Column:
-    """The action in words, with the element's text or a generic name for it; a scroll without action."""
+def describe_action(action: str = "action", text: str = "dom_text", value: str | None = None, chosen: str | None = None) -> Column:
+    """The action in words, with the element's text or a generic name for it; a scroll without action.
+    value: the column of what was typed; chosen: that of what was selected."""
     target = _blank(text)
     for k, v in GENERIC.items():
         target = F.coalesce(target, F.when(F.col(action) == k, v))
     target = F.coalesce(target, F.lit("an element"))
-    given = F.coalesce(F.col(value), F.lit("")) if value else F.lit("")
+    given, picked = (F.coalesce(F.col(c), F.lit("")) if c else F.lit("") for c in (value, chosen))
     return (
         F.when(F.col(action).isNull(), "scrolls the page without a mouse operation").when(F.col(action) == "click", F.concat(F.lit("clicks '"), target, F.lit("'")))
         .when(F.col(action) == "input", F.concat(F.lit("enters '"), given, F.lit("' into '"), target, F.lit("'")))
-        .when(F.col(action) == "select", F.concat(F.lit("selects '"), given, F.lit("' in '"), target, F.lit("'")))
+        .when(F.col(action) == "select", F.concat(F.lit("selects '"), picked, F.lit("' in '"), target, F.lit("'")))
         .otherwise(F.concat(F.lit("does "), F.col(action), F.lit(" on '"), target, F.lit("'")))
     )
 
@@ -70,12 +71,13 @@ def build_annotation_inputs(ops: DataFrame, frames: DataFrame, variant: str = "r
 
     variant: tool_call (times, only operations with frames are told), reasoning (all operations, each
     frame told), page_code (by segment). legacy: the page-code variant then tells every action as a
-    scroll, as data without action details does. frames: the grouped frames of C4.
+    scroll, as data without action details does. frames: the grouped frames of C4. ops: typed and selected
+    values are told where it has the columns input_val and value.
     """
     o = ops.join(frames, ["id", "seg_idx", "op_idx"], "left").withColumn("n_frames", F.coalesce(F.size("extracted_frames"), F.lit(0)))
     o = o.withColumn("n_frames", F.greatest("n_frames", F.lit(0)))
     o = number_ops_images(o, skip_open=variant == "tool_call")
-    action = F.lit("scrolls the page without a mouse operation") if legacy and variant == "page_code" else describe_action()
+    action = F.lit("scrolls the page without a mouse operation") if legacy and variant == "page_code" else describe_action(value="input_val" if "input_val" in ops.columns else None, chosen="value" if "value" in ops.columns else None)
     span = F.format_string("images %d to %d", "first_img", "last_img")
     told = F.transform("extracted_frames", lambda f, i: F.concat(F.lit("    * image "), (F.col("first_img") + i).cast("string"), F.lit(": "), _label_of(f["frame_type"])))
     if variant == "tool_call":

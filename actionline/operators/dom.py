@@ -15,93 +15,139 @@ ROLES, CLASSES = frozenset(("button", "link", "menuitem", "tab")), ("cursor-poin
 #: Fixed values: (zone, tag, parts of id or class); the first that fits counts.
 ZONES = (("header", "header", ("header",)), ("footer", "footer", ("footer",)), ("nav", "nav", ("nav",)), ("sidebar", "aside", ("sidebar",)), ("modal", "dialog", ("modal", "dialog")), ("main", "main", ("main",)), ("form", "form", ("form",)))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NODES = "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string, zone string, can_interact boolean"
+#: Input types that hold no typed text.
+UNTYPED = frozenset("button submit reset radio checkbox range file color hidden image".split())
+NODES = (
+    "page_id long, node_id int, parent_id int, depth int, tag string, attrs map<string,string>, text string, zone string, can_interact boolean, "
+    "input_value string, options array<struct<value:string,text:string,selected:boolean>>, address string"
+)
 
 
-def _page(source: str) -> list[tuple]:
+def _tree(source: str) -> tuple[dict, list[str]]:
+    """The root of a page's elements, and all its texts; an element's own are those from its first to its last."""
     from html.parser import HTMLParser
 
     class Tree(HTMLParser):
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
-            self.root = {"tag": "", "attrs": {}, "children": [], "text": []}
+            self.texts: list[str] = []
+            self.root = {"tag": "", "attrs": {}, "children": [], "first": 0, "last": None}
             self.stack, self.skip = [self.root], 0
+            self.open: dict[str, int] = {}
+
+        def cut(self, i: int) -> None:
+            for n in self.stack[i:]:
+                n["last"] = len(self.texts)
+                self.open[n["tag"]] -= 1
+            del self.stack[i:]
 
         def handle_starttag(self, tag, attrs):
             if tag == "script":
                 self.skip += 1
                 return
-            if tag == "p" and self.stack[-1]["tag"] == "p" or tag == "li" and self.stack[-1]["tag"] == "li":
-                self.stack.pop()
-            node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "children": [], "text": []}
+            if tag in ("p", "li", "option") and self.stack[-1]["tag"] == tag:
+                self.cut(len(self.stack) - 1)
+            node = {"tag": tag, "attrs": {k: v or "" for k, v in attrs}, "children": [], "first": len(self.texts), "last": len(self.texts)}
             self.stack[-1]["children"].append(node)
             if tag not in VOID:
                 self.stack.append(node)
+                self.open[tag] = self.open.get(tag, 0) + 1
 
         def handle_endtag(self, tag):
             if tag == "script":
                 self.skip = max(0, self.skip - 1)
-                return
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i]["tag"] == tag:
-                    del self.stack[i:]
-                    return
+            elif self.open.get(tag):
+                self.cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i]["tag"] == tag))
 
         def handle_data(self, data):
             if not self.skip:
-                for n in self.stack:
-                    n["text"].append(data)
+                self.texts.append(data)
 
-    t = Tree()
-    t.feed(source)
+    t, end = Tree(), source.rfind(">") + 1
+    t.feed(source[:end])
     t.close()
-    body = t.root
-    found = [t.root]
+    t.handle_data(source[end:])  # where no tag ends any more, all is text
+    t.cut(1)
+    t.root["last"] = len(t.texts)
+    return t.root, t.texts
+
+
+def _interactive(n: dict) -> bool:
+    a = n["attrs"]
+    if n["tag"] in TAGS or n["tag"] == "input" and (a.get("type") or "text").lower() in INPUTS:
+        return True
+    return any(c in a.get("class", "").lower() for c in CLASSES) or a.get("role") in ROLES or "onclick" in a
+
+
+def _page(source: str) -> list[tuple]:
+    root, texts = _tree(source)
+    body, found = root, [root]
     while found:  # the body element, if there is one
         n = found.pop()
         if n["tag"] == "body":
             body = n
             break
         found += n["children"]
-    rows: list[tuple] = []
-
-    def interactive(n: dict) -> bool:
-        a = n["attrs"]
-        if n["tag"] in TAGS or n["tag"] == "input" and (a.get("type") or "text").lower() in INPUTS:
-            return True
-        return any(c in a.get("class", "").lower() for c in CLASSES) or a.get("role") in ROLES or "onclick" in a
-
-    def walk(n: dict, zone: str, depth: int) -> int | None:
-        names = f"{n['attrs'].get('id', '')} {n['attrs'].get('class', '')}".lower()
-        zone = next((z for z, tag, parts in ZONES if n["tag"] == tag or any(p in names for p in parts)), zone)
-        keep = interactive(n)
-        children = [c for c in (walk(x, zone, depth + 1) for x in n["children"]) if c is not None]
-        if not keep and not children:
-            return None
-        me = len(rows)  # after its children: post-order
-        hidden = "hidden" in n["attrs"] or "disabled" in n["attrs"]
-        rows.append([me, None, depth, n["tag"].upper(), n["attrs"], " ".join("".join(n["text"]).split()) if keep else None, zone if keep else None, keep and not hidden])
-        for c in children:
-            rows[c][1] = me
-        return me
-
-    walk(body, "body", 0)
+    words = lambda n: " ".join("".join(texts[n["first"] : n["last"]]).split())
+    rows: list[list] = []
+
+    def listed(n: dict) -> list[tuple]:
+        """The options of a select box: value (its text where there is none), text, and whether it is chosen."""
+        out, todo = [], [n]
+        while todo:
+            c = todo.pop()
+            todo += reversed(c["children"])
+            if c["tag"] == "option":
+                out.append((c["attrs"].get("value", words(c)), words(c), "selected" in c["attrs"]))
+        return out
+
+    def row(n: dict, zone: str, depth: int, keep: bool) -> list:
+        a, tag = n["attrs"], n["tag"]
+        if not keep:
+            return [len(rows), None, depth, tag.upper(), a, None, None, False, None, None, None]
+        free = "hidden" not in a and "disabled" not in a
+        typed = a.get("value", "") if tag == "input" and (a.get("type") or "text").lower() not in UNTYPED else "".join(texts[n["first"] : n["last"]]) if tag == "textarea" else None
+        return [len(rows), None, depth, tag.upper(), a, words(n), zone, free, typed, listed(n) if tag == "select" else None, zone + "--"]
+
+    # down the page, then up: an element gets its number after those in it
+    todo: list[tuple] = [(body, "body", 0, None)]
+    above: list[list[int]] = []
+    while todo:
+        n, zone, depth, keep = todo.pop()
+        if keep is None:
+            names = f"{n['attrs'].get('id', '')} {n['attrs'].get('class', '')}".lower()
+            zone = next((z for z, tag, parts in ZONES if n["tag"] == tag or any(p in names for p in parts)), zone)
+            todo.append((n, zone, depth, _interactive(n)))
+            above.append([])
+            todo += [(c, zone, depth + 1, None) for c in reversed(n["children"])]
+            continue
+        children = above.pop()
+        if keep or children:
+            rows.append(row(n, zone, depth, keep))
+            for c in children:
+                rows[c][1] = len(rows) - 1
+            if above:
+                above[-1].append(len(rows) - 1)
     return rows
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
     """The flat node table of each page: interactive elements and what holds them, numbered post-order.
 
-    Scripts are left out; zones go down to what has none itself. Without a browser an element can be acted
-    on unless it is hidden or disabled, and there are no coordinates."""
+    Scripts are left out; zones go down to what has none itself. input_value is what a text field holds at
+    first, options what a select box offers. Without a browser an element can be acted on unless it is hidden
+    or disabled, and an address is the zone without coordinates. Deep and long pages take time in proportion,
+    but for the texts of interactive elements in each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "node_id", "parent_id", "depth", "tag", "attrs", "text", "zone", "can_interact"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.bool_()]
+        names = ["page_id", "node_id", "parent_id", "depth", "tag", "attrs", "text", "zone", "can_interact", "input_value", "options", "address"]
+        option = pa.struct([("value", pa.string()), ("text", pa.string()), ("selected", pa.bool_())])
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.list_(option), pa.string()]
         for b in batches:
             rows = [(i, *r) for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True) for r in _page(x.as_py() or "")]
             cols = [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names]
             cols[5] = [list(a.items()) for a in cols[5]]
+            cols[10] = [None if o is None else [dict(zip(("value", "text", "selected"), x, strict=True)) for x in o] for o in cols[10]]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(run, NODES)
@@ -117,6 +163,11 @@ def nodes_by_id(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
 
 
+def options_of(nodes: DataFrame) -> DataFrame:
+    """page_id, node_id, pos, value, text of the options of page_nodes' select boxes."""
+    return nodes.select("page_id", "node_id", F.posexplode("options").alias("pos", "o")).select("page_id", "node_id", "pos", "o.value", "o.text")
+
+
 def select_values(options: DataFrame) -> DataFrame:
     """The values of each select box in order; an empty value gives its text. options: page_id, node_id, pos, value, text."""
     value = F.coalesce(F.when(F.col("value") != "", F.col("value")), F.col("text"))

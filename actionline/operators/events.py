@@ -21,17 +21,19 @@ def detect_events(frames: DataFrame, only_green: bool = False, noise: float = 0.
         f = f.withColumn("status", F.when(F.col("status") == "green", "green").otherwise("other"))
     f = f.withColumn("changed", F.lag("status").over(w).isNull() | (F.lag("status").over(w) != F.col("status"))).withColumn("last_t", F.max("t").over(Window.partitionBy("take_id")))
     runs = f.where("changed").withColumn("next_t", F.lead("t").over(w)).withColumn("next_status", F.lead("status").over(w))
-    cut = F.col("next_t").isNull() | (F.col("next_status") == "red") | (F.col("next_t") - F.col("t") > noise)
-    stop = F.coalesce("next_t", "last_t")
-    green = runs.where((F.col("status") == "green") & cut).select("take_id", stop.alias("at"), F.when(F.col("next_t").isNull(), 3).otherwise(0).alias("rank"), F.lit("duration").alias("type"), F.col("t").alias("start"), stop.alias("end"), F.col("next_t").isNull().alias("open"))
-    number = F.row_number().over(Window.partitionBy("take_id").orderBy("at", "rank")) - 1
+    stop, open_ = F.coalesce("next_t", "last_t"), F.col("next_t").isNull()
+    green = (F.col("status") == "green") & (open_ | (F.col("next_status") == "red") | (F.col("next_t") - F.col("t") > noise))
+    red, orange = F.col("status") == "red", F.col("status") == "orange"
+    # a run makes one mark at most, so marks are rows of the same frame, with no union that would have to be dealt anew
+    marks = runs.where(green | red | orange).select(
+        "take_id", F.when(red, F.col("t")).otherwise(stop).alias("at"), F.when(red, 1).when(orange, 2).when(open_, 3).otherwise(0).alias("rank"),
+        F.when(red, "point").when(orange, "scroll").otherwise("duration").alias("type"), F.when(orange, stop).otherwise(F.col("t")).alias("start"),
+        F.when(red, F.col("t")).otherwise(stop).alias("end"), open_.alias("open"),
+    )
+    order = Window.partitionBy("take_id").orderBy("at", "rank")
     if only_green:
-        out = green.withColumn("event_no", number)
+        out = marks.withColumn("event_no", F.row_number().over(order) - 1)
         return out.select("take_id", "event_no", "type", "start", "end", F.when(~F.col("open"), F.col("end")).alias("scroll_end"), (~F.col("open")).alias("if_scroll"))
-    red = runs.where("status = 'red'").select("take_id", F.col("t").alias("at"), F.lit(1).alias("rank"), F.lit("point").alias("type"), F.col("t").alias("start"), F.col("t").alias("end"), F.lit(False).alias("open"))
-    orange = runs.where("status = 'orange'").select("take_id", stop.alias("at"), F.lit(2).alias("rank"), F.lit("scroll").alias("type"), stop.alias("start"), stop.alias("end"), F.lit(False).alias("open"))
-    marks = green.union(red).union(orange)
-    order = Window.partitionBy("take_id").orderBy("at", "rank")
     event = F.col("type") != "scroll"
     marks = marks.withColumn("event_no", F.sum(event.cast("int")).over(order) - 1)
     scrolls = marks.where(~event & (F.col("event_no") >= 0)).groupBy("take_id", "event_no").agg(F.max("end").alias("scroll_end"))

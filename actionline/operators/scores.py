@@ -105,6 +105,16 @@ def match_tasks(pages: DataFrame, frames: DataFrame, key: str = "id") -> tuple[D
     return p.join(f, key, "left_semi"), only
 
 
+def frame_sets(frames: DataFrame) -> DataFrame:
+    """Id and its segments ARRAY<STRUCT<segment_name, operations>>, both in the order of the numbers that
+    their names end in. frames: id, segment_name, operation_name; names without a number come last, by name."""
+    number = lambda c: F.coalesce(F.regexp_extract(c, r"_(\d+)$", 1).try_cast("long"), F.lit((1 << 63) - 1))
+    rows = frames.select("id", "segment_name", "operation_name").distinct()
+    ops = rows.groupBy("id", "segment_name").agg(F.sort_array(F.collect_list(F.struct(number("operation_name").alias("no"), F.col("operation_name").alias("name")))).alias("ops"))
+    ops = ops.select("id", F.struct(number("segment_name").alias("no"), "segment_name", F.transform("ops", lambda x: x["name"]).alias("operations")).alias("s"))
+    return ops.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: F.struct(s["segment_name"].alias("segment_name"), s["operations"].alias("operations"))).alias("segments"))
+
+
 def replay_set(solid: DataFrame, matched: DataFrame, key: str = "id") -> DataFrame:
     """Tasks to run again: solid-coloured ones that can be matched."""
     return matched.join(solid.select(key), key, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ SCROLL_WEIGHT, TARGET, PADDING, GAP = 4, 10, 0.5, 1.0
 #: The time fields of an operation that move with its recording's clock.
 OP_TIMES = ("start", "end", "global_start_time", "global_end_time", "global_scroll_end_time")
 UNKNOWN_DURATION = 999999.0
+#: What the operations of a take are called.
+LABELS = {"init": "Init Scroll Operation", "old": "Old Operation", "new": "New Operation"}
 
 
 def normalize_time(t: Column, unit: float = 0.1) -> Column:
@@ -62,29 +65,38 @@ def assign_parts(weights: Column, target: int = TARGET) -> Column:
     """T5: the part (from 0) of each segment, from the array of segment weights.
 
     ceil(total / target) parts of contiguous segments; a part closes where it is nearer to the even share
-    without the next segment; the last takes the rest. A fold over the recording's own array: no shuffle.
+    without the next segment; the last takes the rest. Each step needs the one before, so it is one pass over
+    the recording's own array in Arrow batches, in time proportional to its length, and no shuffle.
     """
-    total = F.aggregate(weights, F.lit(0), lambda s, w: s + w)
-    count = F.when(total <= target, 1).otherwise(F.ceil(total / target)).cast("int")
-    share = total / count
-    state = F.struct(F.array().cast("array<int>").alias("parts"), F.lit(0).alias("part"), F.lit(0).alias("now"))
 
-    def step(s: Column, w: Column) -> Column:
-        close = (s["part"] < count - 1) & (s["now"] > 0) & (F.abs(s["now"] - share) < F.abs(s["now"] + w - share))
-        part = s["part"] + close.cast("int")
-        return F.struct(F.concat(s["parts"], F.array(part)).alias("parts"), part.alias("part"), (F.when(close, 0).otherwise(s["now"]) + w).alias("now"))
+    @F.pandas_udf("array<int>")
+    def walk(arrays: pd.Series) -> pd.Series:
+        def parts(found: list[int] | None) -> list[int] | None:
+            if found is None:
+                return None
+            total = int(sum(found))
+            count = 1 if total <= target else -(-total // target)
+            share, part, now, out = total / count, 0, 0, []
+            for w in found:
+                if part < count - 1 and now > 0 and abs(now - share) < abs(now + w - share):
+                    part, now = part + 1, 0
+                out.append(part)
+                now += w
+            return out
 
-    return F.aggregate(weights, state, step, lambda s: s["parts"])
+        return arrays.map(parts)
+
+    return walk(weights)
 
 
 def split_recordings(recordings: DataFrame) -> DataFrame:
     """id, part, segments of each part, from nested recordings."""
     weights = F.transform("segments", lambda s: segment_weight(s["ops"]))
     placed = recordings.withColumn("parts", assign_parts(weights))
-    numbers = F.array_distinct("parts")
-    out = placed.withColumn("part", F.explode(numbers))
-    mine = F.transform(F.filter(F.arrays_zip("segments", "parts"), lambda z: z["parts"] == F.col("part")), lambda z: z["segments"])
-    return out.withColumn("segments", mine).select("id", "part", "segments")
+    first = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: (i == 0) | (F.get("parts", i) != F.get("parts", i - 1)))
+    placed = placed.where(F.size("parts") > 0).withColumn("first", first)
+    pieces = F.transform("first", lambda at, k: F.slice("segments", at + 1, F.coalesce(F.get("first", k + 1), F.size("parts")) - at))
+    return placed.select("id", F.posexplode(pieces).alias("part", "segments"))
 
 
 def part_bounds(parts: DataFrame, durations: DataFrame) -> DataFrame:
@@ -151,7 +163,7 @@ def apply_cuts(t: Column, cuts: Column) -> Column:
 
 def keep_intervals(cuts: DataFrame, durations: DataFrame, least: float = 0.1) -> DataFrame:
     """What the cuts leave of [0, duration): id, start, end; pieces of ``least`` seconds or less go."""
-    marks = cuts.select("id", "start", "end").unionByName(durations.select("id", F.col("duration").alias("start"), F.col("duration").alias("end")))
+    marks = cuts.select("id", "start", "end").unionByName(durations.select("id", F.col("duration").alias("start"), F.col("duration").alias("end"))).repartition("id")
     before = F.coalesce(F.lag("end").over(Window.partitionBy("id").orderBy("start", "end")), F.lit(0.0))
     kept = marks.withColumn("before", before).select("id", F.col("before").alias("start"), F.col("start").alias("end"))
     return kept.where(F.col("end") - F.col("start") > least)
@@ -181,27 +193,52 @@ def drop_prefix_takes(takes: DataFrame) -> DataFrame:
     return takes.join(gone, ["id", "name"], "left_anti")
 
 
-def accept_takes(takes: DataFrame) -> DataFrame:
-    """Passed takes with as many detected events as expected operations."""
-    return takes.where(F.col("pass_flag") & (F.col("n_expected") == F.col("n_detected")))
+def op_labels() -> Column:
+    """The operations that a take should show, of is_init_scroll, old_moments and new_moments."""
+    many = lambda label, c: F.array_repeat(F.lit(label), F.size(F.coalesce(F.col(c), F.array().cast("array<double>"))))
+    return F.when(F.coalesce("is_init_scroll", F.lit(False)), F.array(F.lit(LABELS["init"]))).otherwise(F.concat(many(LABELS["old"], "old_moments"), many(LABELS["new"], "new_moments")))
+
+
+def take_events(takes: DataFrame, events: DataFrame, green: DataFrame) -> DataFrame:
+    """The events (T16) of each take by id and take_no; take_id names a take's frames.
+
+    Of a take that is the first scroll all green durations are one, from the first start to the last end."""
+    named = takes.select("id", "take_no", "take_id", F.coalesce("is_init_scroll", F.lit(False)).alias("init"))
+    whole = green.groupBy("take_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = whole.select("take_id", F.lit(0).alias("event_no"), F.lit("duration").alias("type"), "start", "end", F.col("end").alias("scroll_end"), F.lit(True).alias("if_scroll"))
+    out = events.join(named.where(~F.col("init")), "take_id").unionByName(whole.join(named.where("init"), "take_id"))
+    return out.select("id", "take_no", "event_no", "type", "start", "end", "scroll_end", "if_scroll")
+
+
+def accept_takes(takes: DataFrame, events: DataFrame) -> DataFrame:
+    """Passed takes with as many events (take_events) as operations they should show."""
+    n = events.groupBy("id", "take_no").agg(F.count("*").alias("__n"))
+    return takes.where("pass_flag").join(n, ["id", "take_no"], "left").where(F.size(op_labels()) == F.coalesce("__n", F.lit(0))).drop("__n")
 
 
-def assemble_timeline(takes: DataFrame) -> DataFrame:
-    """The segments of a recording's timeline: accepted takes one after another."""
-    w = Window.partitionBy("id").orderBy("take_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("duration").over(w), F.lit(0.0))
-    seg = F.row_number().over(Window.partitionBy("id").orderBy("take_no")) - 1
-    return takes.select("id", "take_no", "name", seg.alias("segment_index"), F.round(start, 3).alias("segment_start_time"), F.round(start + F.col("duration"), 3).alias("segment_end_time"))
+def assemble_timeline(takes: DataFrame, accepted: DataFrame | None = None) -> DataFrame:
+    """The segments of a recording's timeline: accepted takes (all without accepted) one after another.
+    A segment's index counts the takes that were not accepted too."""
+    t = takes.withColumn("__ok", F.lit(True))
+    if accepted is not None:
+        t = takes.join(accepted.select("id", "take_no", F.lit(True).alias("__ok")), ["id", "take_no"], "left").withColumn("__ok", F.coalesce("__ok", F.lit(False)))
+    order = Window.partitionBy("id").orderBy("take_no")
+    start = F.coalesce(F.sum(F.when(F.col("__ok"), F.col("duration")).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    t = t.withColumn("__start", start).withColumn("segment_index", F.row_number().over(order) - 1).where("__ok")
+    return t.select("id", "take_no", "name", "segment_index", F.round("__start", 3).alias("segment_start_time"), F.round(F.col("__start") + F.col("duration"), 3).alias("segment_end_time"))
 
 
-def assemble_operations(timeline: DataFrame, events: DataFrame) -> DataFrame:
-    """Operation rows of the timeline. events: take key (id, take_no), event_no, type, time or start
-    and end. A point's global start is one second after its mark; its global end has no such second."""
-    e = timeline.join(events, ["id", "take_no"])
-    point = F.col("type") == "point"
-    base = F.col("segment_start_time")
+def assemble_operations(timeline: DataFrame, events: DataFrame, takes: DataFrame) -> DataFrame:
+    """Operation rows of the timeline: the events of each take (take_events) with its labels and
+    actions_detail by position. A point's global start is one second after its mark; its global end has no
+    such second. The first scroll has no action and always scrolls."""
+    labels = takes.select("id", "take_no", op_labels().alias("labels"), "actions_detail")
+    e = timeline.join(events, ["id", "take_no"]).join(labels, ["id", "take_no"]).withColumn("label", F.get("labels", F.col("event_no"))).where("label is not null")
+    point, init = F.col("type") == "point", F.col("label") == LABELS["init"]
+    base, scroll = F.col("segment_start_time"), F.coalesce("if_scroll", F.lit(False)) | init
     return e.select(
-        "id", "segment_index", F.col("event_no").alias("op_idx"), F.when(point, "click").otherwise("input_duration").alias("subtype"), (~point).alias("is_duration"),
-        F.round(base + F.when(point, F.col("start") + 1.0).otherwise(F.col("start")), 3).alias("global_start_time"), F.round(base + F.col("end"), 3).alias("global_end_time"),
-        F.when(F.col("scroll_end").isNotNull(), F.round(base + F.col("scroll_end"), 3)).alias("global_scroll_end_time"), F.coalesce("if_scroll", F.lit(False)).alias("if_scroll"),
+        "id", "segment_index", F.col("event_no").alias("op_idx"), F.col("label").alias("type"), F.when(point, "click").when(init, "init_scroll").otherwise("input_duration").alias("subtype"),
+        (~point | scroll).alias("is_duration"), scroll.alias("if_scroll"), F.round(base + F.when(point, F.col("start") + 1.0).otherwise(F.col("start")), 3).alias("global_start_time"),
+        F.round(base + F.col("end"), 3).alias("global_end_time"), F.when(scroll, F.round(base + F.col("scroll_end"), 3)).alias("global_scroll_end_time"),
+        F.when(~point, F.round(F.col("end") - F.col("start"), 3)).alias("duration_seconds"), F.when(~init, F.get("actions_detail", F.col("event_no"))).alias("action_detail"),
     )

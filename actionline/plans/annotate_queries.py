@@ -10,10 +10,11 @@ from actionline.operators import frames as C
 from actionline.operators import timeline as T
 from actionline.plans.frame_queries import SCHEDULE
 from actionline.plans.registry import query
+from actionline.sources.shared import stored
 
 TARGET = "coalesce(nullif(dom_text, ''), CASE action WHEN 'click' THEN 'a button' WHEN 'input' THEN 'an input field' WHEN 'select' THEN 'a select box' ELSE 'an element' END)"
 ACTION = f"""CASE WHEN action IS NULL THEN 'scrolls the page without a mouse operation' WHEN action = 'click' THEN concat('clicks ''', {TARGET}, '''')
-  WHEN action = 'input' THEN concat('enters '''' into ''', {TARGET}, '''') WHEN action = 'select' THEN concat('selects '''' in ''', {TARGET}, '''') ELSE concat('does ', action, ' on ''', {TARGET}, '''') END"""
+  WHEN action = 'input' THEN concat('enters ''', input_val, ''' into ''', {TARGET}, '''') WHEN action = 'select' THEN concat('selects ''', value, ''' in ''', {TARGET}, '''') ELSE concat('does ', action, ' on ''', {TARGET}, '''') END"""
 NATURE = """CASE WHEN subtype = 'init_scroll' THEN 'scroll' WHEN subtype = 'click' AND if_scroll THEN 'instant then scroll' WHEN subtype = 'input_duration' AND coalesce(action = 'select', false) AND {0} THEN CASE WHEN if_scroll THEN 'selection then scroll' ELSE 'selection' END
   WHEN subtype = 'input_duration' AND if_scroll THEN 'continuous then scroll' WHEN subtype = 'input_duration' THEN 'continuous' ELSE 'instant' END"""
 LABEL = "CASE " + " ".join(f"WHEN frame_type = '{k}' THEN '{v}'" for k, v in A.FRAME_LABELS.items()) + " ELSE 'transition' END"
@@ -21,7 +22,7 @@ LABEL = "CASE " + " ".join(f"WHEN frame_type = '{k}' THEN '{v}'" for k, v in A.F
 
 @query("p01_describe_action", "v_ops", sql=f"SELECT id, seg_idx, op_idx, {ACTION} AS description FROM v_ops")
 def p01(ops: DataFrame) -> DataFrame:
-    return ops.select("id", "seg_idx", "op_idx", A.describe_action().alias("description"))
+    return ops.select("id", "seg_idx", "op_idx", A.describe_action(value="input_val", chosen="value").alias("description"))
 
 
 @query("p02_op_nature", "v_ops", sql=f"SELECT id, seg_idx, op_idx, {NATURE.format('true')} AS reasoning, {NATURE.format('false')} AS tool_call FROM v_ops")
@@ -39,7 +40,7 @@ def p03(ops: DataFrame) -> DataFrame:
 
 
 NUMBERS = f"""{SCHEDULE}, fc AS (SELECT id, seg_idx, op_idx, count(*) AS n FROM fr GROUP BY ALL),
-nb AS (SELECT w.*, v_ops.dom_text, coalesce(n, 0) AS n, count(*) OVER q AS op_no, sum(coalesce(n, 0)) OVER q AS upto FROM w JOIN v_ops USING (id, seg_idx, op_idx) LEFT JOIN fc USING (id, seg_idx, op_idx)
+nb AS (SELECT w.*, v_ops.dom_text, v_ops.input_val, v_ops.value, coalesce(n, 0) AS n, count(*) OVER q AS op_no, sum(coalesce(n, 0)) OVER q AS upto FROM w JOIN v_ops USING (id, seg_idx, op_idx) LEFT JOIN fc USING (id, seg_idx, op_idx)
   WINDOW q AS (PARTITION BY w.id ORDER BY w.seg_idx, w.op_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
@@ -85,10 +86,10 @@ def p06(think: DataFrame, code: DataFrame) -> DataFrame:
 @query("p07_run_rounds", "v_calls", sql="SELECT id, CASE WHEN length(function_call_generate) % 3 = 0 THEN 0 WHEN length(function_call_generate) % 3 = 1 THEN 1 END AS round FROM v_calls WHERE length(function_call_generate) % 3 < 2")
 def p07(calls: DataFrame) -> DataFrame:
     step = lambda left, k: left.where(F.length("function_call_generate") % 3 == k).select("id", F.lit(k).alias("round"))
-    return A.run_rounds(calls, step, lambda df, k: df, max_rounds=2)
+    return A.run_rounds(calls, step, lambda df, k: stored(df, f"round{k}"), max_rounds=2)
 
 
-@query("p08_quality_gate", "v_calls", "v_ops", sql="""WITH n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, function_call_generate AS t FROM v_calls), o AS (SELECT id, 1 + length(t) % 3 AS n_ops, t FROM n) SELECT id, n_ops FROM o WHERE length(t) >= CASE WHEN n_ops >= 2 THEN 60 ELSE 40 END""")
-def p08(calls: DataFrame, ops: DataFrame) -> DataFrame:
+@query("p08_quality_gate", "v_calls", sql="""WITH n AS (SELECT id, row_number() OVER (ORDER BY id) AS k, function_call_generate AS t FROM v_calls), o AS (SELECT id, 1 + length(t) % 3 AS n_ops, t FROM n) SELECT id, n_ops FROM o WHERE length(t) >= CASE WHEN n_ops >= 2 THEN 60 ELSE 40 END""")
+def p08(calls: DataFrame) -> DataFrame:
     t = calls.withColumn("n_ops", 1 + F.length("function_call_generate") % 3)
     return A.quality_gate(t, "function_call_generate", "n_ops", 40, 60).select("id", F.col("n_ops").cast("long").alias("n_ops"))

@@ -103,7 +103,12 @@ def _host(kind: str) -> str:
     return f"{M.HOSTS[kind]}[{_pick(len(M.HOSTS[kind]), 'id', repr(f':host_{kind}:7'))} + 1]"
 
 
-@query("m12_synthetic_url", "v_code", sql=f"""SELECT id, CASE WHEN s < 40 THEN concat('https://', {_host("file")}, '/u/', substr(md5(concat(id, ':a:7')), 1, 8), '/', substr(md5(concat(id, ':b:7')), 1, 16), '.mp4')
+def _one(values: list[str], what: str) -> str:
+    return f"{values}[{_pick(len(values), 'id', repr(f':{what}:7'))} + 1]"
+
+
+@query("m12_synthetic_url", "v_code", sql=f"""SELECT id, CASE WHEN s < 40 THEN concat('https://', {_host("file")}, CASE WHEN {_pick(2, 'id', "':named:7'")} = 1 THEN concat('/', {_one(M.FOLDERS, 'folder')}, '/2024/', lpad(({_pick(12, 'id', "':month:7'")} + 1)::VARCHAR, 2, '0'), '/', {_one(M.WORDS, 'word')}, '_', {_pick(99, 'id', "':no:7'")} + 1)
+    ELSE concat('/u/', substr(md5(concat(id, ':a:7')), 1, 8), '/', substr(md5(concat(id, ':b:7')), 1, 16)) END, {_one(M.SUFFIXES, 'suffix')})
   WHEN s < 60 THEN concat('https://', {_host("short")}, '/', substr(md5(concat(id, ':a:7')), 1, 6)) WHEN s < 80 THEN concat('https://', {_host("short")}, '/api/v1/res/', {_pick(9_900_000, 'id', "':res:7'")})
   ELSE concat('https://', {_host("long")}, '/', substr(md5(concat(id, ':a:7')), 1, 4), '/', substr(md5(concat(id, ':b:7')), 1, 24), '?auth=', substr(md5(concat(id, ':c:7')), 1, 8)) END AS url FROM (SELECT id, {_pick(100, 'id', "':style:7'")} AS s FROM v_code)""")
 def m12(code: DataFrame) -> DataFrame:
@@ -122,25 +127,43 @@ def m17(calls: DataFrame) -> DataFrame:
     return M.extract_tool_payload(calls).select("id", "payload", "rest")
 
 
-@query("m18_compact_json", "v_calls")
+@query("m18_compact_json", "v_calls", sql=rf"WITH {PAYLOAD} SELECT id, CASE WHEN json_valid(payload) THEN json(payload)::VARCHAR ELSE regexp_replace(payload, '\n\s*', '', 'g') END AS arguments FROM pl WHERE payload IS NOT NULL")
 def m18(calls: DataFrame) -> DataFrame:
     return M.extract_tool_payload(calls).where("payload is not null").select("id", M.compact_json("payload").alias("arguments"))
 
 
+TOOL = {"name": "extract_segments", "parameters": {"video_url": "string", "segments": "array"}}
+
+
 def _talks(calls: DataFrame, code: DataFrame, media: DataFrame) -> DataFrame:
     r = M.extract_tool_payload(calls).join(code.select("id", F.md5(F.col("mllm_generate").cast("binary")).alias("answer")), "id")
-    n = F.length("answer") % 3 + F.length("payload") % 2
-    clips = F.transform(F.sequence(F.lit(1), F.coalesce(n, F.lit(1)) + 1), lambda i: F.concat(F.lit("c/"), F.col("id"), F.lit("_"), i.cast("string"), F.lit(".mp4")))
+    clips = F.transform(F.sequence(F.lit(1), F.coalesce(F.length("payload") % 3, F.lit(1)) + 1), lambda i: F.concat(F.lit("c/"), F.col("id"), F.lit("_"), i.cast("string"), F.lit(".mp4")))
     r = r.withColumn("clip_video_list", clips).withColumn("clip_urls", F.transform("clip_video_list", lambda c: F.md5(c.cast("binary"))))
-    r = r.withColumn("video_path", F.concat(F.lit("./videos/"), "id", F.lit(".mp4"))).withColumn("question", F.lit("Rebuild the page.")).withColumn("shard_uuid", F.concat(F.lit("s"), (F.length("rest") % 5).cast("string")))
-    info = r.select(F.concat("id", F.lit(".mp4")).alias("name"), F.lit(720).alias("h"), F.lit(1280).alias("w"), F.lit(9).alias("sec"))
-    return M.to_conversations(r, info)
-
-
-@query("m19_to_conversations", "v_calls", "v_code", "v_media")
+    r = r.withColumn("video_path", F.concat(F.lit("./videos/rec_"), (F.length("function_call_generate") % 97).cast("string"), F.lit(".mp4")))
+    r = r.withColumn("question", F.lit("Rebuild the page.")).withColumn("shard_uuid", F.concat(F.lit("s"), (F.length("rest") % 5).cast("string")))
+    info = media.select(F.concat("id", F.lit(".mp4")).alias("name"), F.lit(720).alias("h"), F.lit(1280).alias("w"), F.col("duration").alias("sec"))
+    return M.to_conversations(r, info, M.system_prompt([TOOL]))
+
+
+@query("m19_to_conversations", "v_calls", "v_code", "v_media", sql=rf"""WITH {PAYLOAD}, k AS (SELECT pl.*, function_call_generate AS t, md5(c.mllm_generate) AS answer, concat('rec_', length(function_call_generate) % 97, '.mp4') AS name,
+    [concat(id, '_', i, '.mp4') FOR i IN range(1, coalesce(length(payload) % 3, 1)::INT + 2)] AS clips FROM pl JOIN v_code c USING (id) JOIN v_calls USING (id)),
+  g AS (SELECT k.*, CASE WHEN json_valid(payload) THEN json(payload)::VARCHAR ELSE regexp_replace(payload, '
+\s*', '', 'g') END AS args, floor(m.duration)::INT AS sec FROM k LEFT JOIN v_media m ON concat(m.id, '.mp4') = k.name)
+  SELECT id, array_to_string(list_concat([concat('video0=', name)], [concat('video', i, '=', clips[i]) FOR i IN range(1, len(clips) + 1)]), ',') AS media,
+    array_to_string(list_concat([CASE WHEN sec IS NULL THEN 'video0=0/0/0' ELSE concat('video0=720/1280/', sec) END], [concat('video', i, '=0/0/0') FOR i IN range(1, len(clips) + 1)]), ',') AS sizes,
+    CASE WHEN payload IS NOT NULL THEN md5(concat('system:false:', '{M.system_prompt([TOOL])}', e'
+user:false:<|media=video0|>Rebuild the page.
+assistant:true:', rest, '{{"name":"extract_segments","arguments":', to_json(args), '}}', e'
+observation:false:',
+      array_to_string([concat('<|media=video', i, '|><url>', md5(concat('c/', clips[i])), '</url>') FOR i IN range(1, len(clips) + 1)], ''), e'
+assistant:true:', answer)) END AS talk, concat('./videos/', name) AS source FROM g""")
 def m19(calls: DataFrame, code: DataFrame, media: DataFrame) -> DataFrame:
     t = _talks(calls, code, media)
-    return t.select("id", F.to_json("media_map").alias("media_map"), F.to_json("media_size").alias("media_size"), F.to_json("conversations").alias("conversations"))
+    listed = lambda c, show: F.array_join(F.transform(F.array_sort(F.map_entries(c)), show), ",")
+    turn = lambda x: F.concat(x["role"], F.lit(":"), x["if_train"].cast("string"), F.lit(":"), x["text"], F.coalesce(x["tool_call"], F.lit("")))
+    names = listed("media_map", lambda e: F.concat(e["key"], F.lit("="), F.element_at(e["value"], -1)))
+    sizes = listed("media_size", lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"].cast("array<string>"), "/")))
+    return t.select("id", names.alias("media"), sizes.alias("sizes"), F.md5(F.array_join(F.transform("conversations", turn), "\n").cast("binary")).alias("talk"), F.col("metadata.source_path").alias("source"))
 
 
 @query("m20_conversion_stats", "v_calls", "v_code", "v_media", sql=f"WITH {PAYLOAD} SELECT concat('s', length(rest) % 5) AS shard_uuid, count_if(payload IS NOT NULL)::BIGINT AS converted, count_if(payload IS NULL)::BIGINT AS filtered FROM pl JOIN v_code USING (id) WHERE rest IS NOT NULL GROUP BY 1 UNION ALL SELECT NULL, 0, count(*) FROM pl JOIN v_code USING (id) WHERE rest IS NULL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actionline.operators import dom as D
@@ -66,9 +66,16 @@ def x06(v: DataFrame) -> DataFrame:
     return joined.select("doc_id", X.format_actions(X.parse_actions("seq", "tolerant")).alias("actions"))
 
 
-@query("x07_page_nodes", "pages")
-def x07(pages: DataFrame) -> DataFrame:
-    return D.page_nodes(pages).drop("attrs")
+#: What v_forms puts before each page, as its nodes (in SQL: the page's own links follow).
+@query("x07_page_nodes", "v_forms", "v_links", sql=r"""WITH o AS (SELECT page_id, 0 AS ord, CASE page_id % 5 WHEN 1 THEN 'INPUT' WHEN 2 THEN 'A' WHEN 3 THEN 'SELECT' WHEN 4 THEN 'TEXTAREA' END AS tag,
+    CASE page_id % 5 WHEN 2 THEN 'go' WHEN 3 THEN 'onenonethree' WHEN 4 THEN 'a b' ELSE '' END AS text, 'form' AS zone, CASE page_id % 5 WHEN 1 THEN 'v' WHEN 4 THEN 'a b' END AS input_value FROM pages WHERE page_id % 5 > 0
+  UNION ALL SELECT page_id, 1, 'BUTTON', 'send', 'form', NULL FROM pages WHERE page_id % 5 = 4
+  UNION ALL SELECT page_id, 2 + pos, 'A', trim(text), 'nav', NULL FROM v_links)
+  SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY ord) - 1)::INT AS place, tag, text, zone, input_value, concat(zone, '--') AS address FROM o""")
+def x07(forms: DataFrame, links: DataFrame) -> DataFrame:
+    nodes = D.page_nodes(forms).where("address is not null")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")) - 1
+    return nodes.select("page_id", place.alias("place"), "tag", "text", "zone", "input_value", "address")
 
 
 def _links(links: DataFrame) -> DataFrame:
@@ -87,15 +94,16 @@ def x08b(links: DataFrame) -> DataFrame:
     return D.nodes_by_id(n, n.select("page_id", (F.col("page_id") % 6).cast("int").alias("node_id")).distinct()).select("page_id", "node_id", "text")
 
 
-@query("x08_select_values", "v_links", sql="SELECT page_id, (pos // 3)::INT AS node_id, string_agg(CASE WHEN pos % 2 = 0 THEN text ELSE concat('v', pos) END, '|' ORDER BY pos) AS vals FROM v_links GROUP BY ALL")
-def x08c(links: DataFrame) -> DataFrame:
-    o = links.select("page_id", F.floor(F.col("pos") / 3).cast("int").alias("node_id"), "pos", F.when(F.col("pos") % 2 == 0, "").otherwise(F.concat(F.lit("v"), F.col("pos").cast("string"))).alias("value"), "text")
-    return D.select_values(o).select("page_id", "node_id", F.array_join("values", "|").alias("vals"))
+@query("x08_select_values", "v_forms", sql="WITH z AS (SELECT 1) SELECT page_id, 'one|none|three' AS texts, '1|none|three' AS vals FROM pages WHERE page_id % 5 = 3")
+def x08c(forms: DataFrame) -> DataFrame:
+    o = D.options_of(D.page_nodes(forms))
+    return D.select_values(o).join(D.select_values(o.withColumn("value", F.lit(""))).withColumnRenamed("values", "texts"), ["page_id", "node_id"]).select("page_id", F.array_join("texts", "|").alias("texts"), F.array_join("values", "|").alias("vals"))
 
 
-@query("x08_can_operate", "pages", "v_links", sql="SELECT page_id, false AS has_form, true AS has_click FROM v_links GROUP BY page_id")
-def x08d(pages: DataFrame, links: DataFrame) -> DataFrame:
-    return D.can_operate(D.page_nodes(pages))
+@query("x08_can_operate", "v_forms", sql=r"""SELECT page_id, regexp_matches(h, '<select|<textarea|<input type="text"') AS has_form, regexp_matches(h, '<a href|<button') AS has_click FROM (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>', '', 'g') AS h FROM v_forms)
+  WHERE regexp_matches(h, '<select|<textarea|<input type="text"|<a href|<button')""")
+def x08d(forms: DataFrame) -> DataFrame:
+    return D.can_operate(D.page_nodes(forms))
 
 
 @query("x09_distinct_clickables", "v_links", sql="SELECT page_id, text, min(pos) AS node_id FROM (SELECT page_id, trim(text) AS text, pos FROM v_links WHERE pos % 5 <> 4) GROUP BY ALL")
@@ -103,7 +111,7 @@ def x09(links: DataFrame) -> DataFrame:
     return D.distinct_clickables(_links(links)).select("page_id", F.trim("text").alias("text"), "node_id")
 
 
-@query("x10_dedup_states", "v_links", sql="SELECT min(page_id) AS page_id FROM (SELECT page_id, string_agg(concat(pos, text), '|' ORDER BY pos) AS s FROM v_links WHERE pos < 2 GROUP BY page_id) GROUP BY s")
+@query("x10_dedup_states", "v_links", sql="SELECT min(page_id) AS page_id FROM (SELECT page_id, string_agg(concat(pos, text), '|' ORDER BY pos) AS s FROM v_links GROUP BY page_id) GROUP BY s")
 def x10(links: DataFrame) -> DataFrame:
     return D.dedup_states(D.state_hash(_links(links), "node_id", "text")).select("page_id")
 

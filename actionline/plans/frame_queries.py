@@ -68,15 +68,14 @@ def c06(frames: DataFrame) -> DataFrame:
     return C.uniform_frames(frames, 24).select("take_id", "frame_no")
 
 
-CAP = """WITH f AS (SELECT *, CASE WHEN status = 'red' THEN 'expected' ELSE 'actual' END AS side FROM v_frames WHERE frame_no < 20 + right(take_id, 1)::INT * 12),
+CAP = """WITH f AS (SELECT *, CASE WHEN status = 'red' THEN 'expected' ELSE 'actual' END AS side FROM v_frames),
   n AS (SELECT *, row_number() OVER (PARTITION BY take_id, side ORDER BY frame_no) - 1 AS rn, count(*) OVER (PARTITION BY take_id, side) AS n, count(*) FILTER (WHERE side = 'expected') OVER (PARTITION BY take_id) AS e0 FROM f),
   e AS (SELECT *, CASE WHEN e0 > 30 THEN 26 ELSE e0 END AS e, 49 - CASE WHEN e0 > 30 THEN 26 ELSE e0 END AS lft FROM n)
   SELECT take_id, frame_no, side FROM e WHERE CASE WHEN side = 'expected' THEN rn < e ELSE {} END"""
 
 
 def _sides(frames: DataFrame) -> DataFrame:
-    cut = frames.where(F.col("frame_no") < 20 + F.substring("take_id", -1, 1).cast("int") * 12)
-    return cut.withColumn("side", F.when(F.col("status") == "red", "expected").otherwise("actual"))
+    return frames.withColumn("side", F.when(F.col("status") == "red", "expected").otherwise("actual"))
 
 
 @query("c07_cap_frames_head", "v_frames", sql=CAP.format("rn < lft"))

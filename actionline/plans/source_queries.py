@@ -1,13 +1,17 @@
-"""Queries over sources: what can be had from the tables without files of their own."""
+"""Queries over sources and sinks: what the tables give is written to the shared folder and read back."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actionline.operators import package
+from actionline.operators import scores as E
 from actionline.plans.registry import query
+from actionline.plans.timeline_queries import RUNS
 from actionline.sources import io
-from actionline.streaming.stream import stream_progress
+from actionline.sources.shared import shared_folder
+from actionline.streaming import stream
 
 
 @query("s04_load_urls", "v_urls", sql="SELECT min(line_no) AS line_no, trim(url) AS url FROM v_urls WHERE trim(coalesce(url, '')) <> '' GROUP BY 2")
@@ -20,11 +24,19 @@ def s04b(urls: DataFrame) -> DataFrame:
     return io.load_urls(urls)[1]
 
 
-@query("s05_merge_worker_outputs", "v_results", sql="SELECT count(*) AS n, count_if(type = 'success')::BIGINT AS n_success FROM v_results")
+@query("s05_merge_worker_outputs", "v_results", sql="SELECT CASE WHEN event_id % 4 = 1 THEN concat('e', event_id) ELSE event_id::VARCHAR END AS id, type = 'success' AS success, CASE WHEN event_id % 3 = 2 THEN reason END AS reason, row_number() OVER (ORDER BY try_cast(CASE WHEN event_id % 4 <> 1 THEN event_id END AS BIGINT) NULLS LAST, concat('e', event_id)) AS place FROM v_results")
 def s05(results: DataFrame) -> DataFrame:
-    r = results.select(F.col("event_id").cast("string").alias("id"), (F.col("type") == "success").alias("success"))
-    shards = [r.where(F.col("id").cast("long") % 3 == k) for k in range(3)]
-    return io.success_counts(io.merge_worker_outputs(shards))
+    number = F.col("event_id").cast("string")
+    r = results.select(F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("e"), number)).otherwise(number).alias("id"), (F.col("type") == "success").alias("success"), (F.col("event_id") % 3).alias("worker"), "reason")
+    workers = [r.where(F.col("worker") == k).select("id", "success", *(["reason"] if k == 2 else [])) for k in range(3)]
+    merged = io.merge_worker_outputs(workers)
+    # the place of each row in the merged order, as ranges are numbered from their offsets
+    return io.placed(merged)
+
+
+@query("s05_success_counts", "v_results", sql="SELECT count(*) AS n, count_if(type = 'success')::BIGINT AS n_success FROM v_results")
+def s05b(results: DataFrame) -> DataFrame:
+    return io.success_counts(results.select((F.col("type") == "success").alias("success")))
 
 
 def _paths(ops: DataFrame) -> DataFrame:
@@ -43,4 +55,66 @@ def s07b(ops: DataFrame, media: DataFrame) -> DataFrame:
 
 @query("r03_stream_progress", "v_results", sql="SELECT type, count(*) AS n FROM v_results GROUP BY 1")
 def r03(results: DataFrame) -> DataFrame:
-    return stream_progress(results)
+    return stream.stream_progress(results)
+
+
+@query("s01_read_recordings", "v_ops", sql="WITH z AS (SELECT 1) SELECT id, seg_idx, op_idx, subtype, action, if_scroll, global_start_time, dom_text, input_val FROM v_ops")
+def s01(ops: DataFrame) -> DataFrame:
+    detail = F.struct("action", "input_val", "value", F.struct(F.col("dom_text").alias("visible_text")).alias("dom_info")).alias("action_detail")
+    o = ops.groupBy("id", "seg_idx").agg(F.sort_array(F.collect_list(F.struct("op_idx", "subtype", "if_scroll", "global_start_time", detail))).alias("operations"))
+    o = o.groupBy(F.col("id").alias("html_file")).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_idx").alias("segment_index"), "operations"))).alias("action_frames_timeline_filtered"))
+    path = shared_folder(ops.sparkSession, "recordings")
+    o.write.option("maxRecordsPerFile", 1).json(path)
+    found = io.read_recordings(ops.sparkSession, path)
+    return io.recording_ops(found.withColumn("id", F.col("html_file"))).select("id", F.col("seg_idx").cast("int"), F.col("op_idx").cast("int"), "subtype", "action", "if_scroll", "global_start_time", "dom_text", "input_val")
+
+
+@query("s02_read_jsonl", "v_urls", sql="SELECT line_no, url FROM v_urls WHERE url IS NOT NULL AND line_no % 7 <> 3")
+def s02(urls: DataFrame) -> DataFrame:
+    whole = F.to_json(F.struct("line_no", "url"))
+    path = shared_folder(urls.sparkSession, "lines")
+    urls.select(F.when(F.col("url").isNull(), "").when(F.col("line_no") % 7 == 3, F.expr("left(to_json(struct(line_no, url)), 9)")).otherwise(whole).alias("value")).write.text(path)
+    return io.read_jsonl(urls.sparkSession, path, "line_no long, url string")
+
+
+@query("s08_write_jsonl", "v_think", sql="SELECT id, line_no, md5(mllm_generate) AS md5 FROM v_think")
+def s08(think: DataFrame) -> DataFrame:
+    path = shared_folder(think.sparkSession, "jsonl")
+    io.write_jsonl(think, path)
+    back = io.read_jsonl(think.sparkSession, path, "id string, line_no long, mllm_generate string")
+    return back.select("id", "line_no", F.md5(F.col("mllm_generate").cast("binary")).alias("md5"))
+
+
+@query("s09_write_shards", "v_media", sql="""WITH p AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 20 + 1 AS part, starts_with(id, 'rec_') AS present FROM v_media)
+  SELECT part, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(*) AS n_media, count_if(present)::BIGINT AS n_present FROM p GROUP BY part""")
+def s09(media: DataFrame) -> DataFrame:
+    records = package.assign_shards(media.select("id", F.col("path").alias("video_path")).withColumn("clip_video_list", F.array().cast("array<string>")), limit=20)
+    path = shared_folder(media.sparkSession, "shards")
+    io.write_shards(records, path, manifest=package.media_manifest(records, media.where(F.col("id").startswith("rec_"))))
+    read = lambda p, schema: media.sparkSession.read.schema(schema).json(p)
+    n = read(path, "id string, part long").groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return n.join(read(f"{path}-manifest", "name string, present boolean, part long").groupBy("part").agg(F.count("*").alias("n_media"), F.count_if("present").alias("n_present")), "part")
+
+
+@query("e10_frame_sets", "v_ops", sql="""WITH s AS (SELECT id, seg_idx, concat('segment_', seg_idx, ':', string_agg(concat('operation_', op_idx), ',' ORDER BY op_idx)) AS t FROM v_ops GROUP BY id, seg_idx) SELECT id, string_agg(t, '|' ORDER BY seg_idx) AS layout FROM s GROUP BY id""")
+def e10b(ops: DataFrame) -> DataFrame:
+    f = ops.select("id", F.concat(F.lit("segment_"), F.col("seg_idx").cast("string")).alias("segment_name"), F.concat(F.lit("operation_"), F.col("op_idx").cast("string")).alias("operation_name"))
+    return E.frame_sets(f).select("id", F.array_join(F.transform("segments", lambda s: F.concat(s["segment_name"], F.lit(":"), F.array_join(s["operations"], ","))), "|").alias("layout"))
+
+
+@query("r01_stream_records", "v_think", sql="SELECT DISTINCT id FROM v_think")
+def r01(think: DataFrame) -> DataFrame:
+    spark, folder = think.sparkSession, shared_folder(think.sparkSession, "stream")
+    io.write_jsonl(think, f"{folder}/in")
+    stream.ingest(stream.stream_records(spark, f"{folder}/in", "id string, mllm_generate string"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("id string, mllm_generate string").parquet(f"{folder}/out").select("id")
+
+
+@query("r02_stream_events", "v_frames", sql=f"WITH {RUNS} SELECT * FROM ev")
+def r02(frames: DataFrame) -> DataFrame:
+    spark, folder = frames.sparkSession, shared_folder(frames.sparkSession, "stream")
+    timed = frames.withColumn("ts", F.timestamp_seconds(1_600_000_000 + F.col("frame_no") * 60))
+    timed.write.parquet(f"{folder}/in")
+    out = stream.stream_events(spark.readStream.schema(timed.schema).parquet(f"{folder}/in"), timeout="1 minute")
+    out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.EVENTS).parquet(f"{folder}/out")

@@ -149,17 +149,6 @@ def t13(takes: DataFrame) -> DataFrame:
     return T.drop_prefix_takes(takes).select("id", "take_no", "name")
 
 
-@query("t14_accept_takes", "v_takes", sql="WITH z AS (SELECT 1) SELECT id, take_no FROM v_takes WHERE pass_flag AND n_expected = n_detected")
-def t14(takes: DataFrame) -> DataFrame:
-    return T.accept_takes(takes).select("id", "take_no")
-
-
-@query("t15_assemble_timeline", "v_takes", sql=f"""WITH {KEPT}, a AS (SELECT * FROM kept WHERE pass_flag), b AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY id ORDER BY take_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM a)
-  SELECT id, take_no, name, (row_number() OVER (PARTITION BY id ORDER BY take_no) - 1)::INT AS segment_index, round(s, 3) AS segment_start_time, round(s + duration, 3) AS segment_end_time FROM b""")
-def t15(takes: DataFrame) -> DataFrame:
-    return T.assemble_timeline(T.drop_prefix_takes(takes).where("pass_flag"))
-
-
 #: Marker events of v_frames by runs, for the SQL twins.
 RUNS = """f AS (SELECT take_id, frame_no, (frame_no + 1) / CASE WHEN fps > 0 THEN fps ELSE 30.0::DOUBLE END AS t, status, lag(status) OVER (PARTITION BY take_id ORDER BY frame_no) AS prev, max((frame_no + 1) / fps::DOUBLE) OVER (PARTITION BY take_id) AS lt FROM v_frames),
 r AS (SELECT *, lead(t) OVER (PARTITION BY take_id ORDER BY frame_no) AS nt, lead(status) OVER (PARTITION BY take_id ORDER BY frame_no) AS ns FROM f WHERE prev IS NULL OR prev <> status),
@@ -170,15 +159,48 @@ sc AS (SELECT take_id, event_no, max("end") AS scroll_end FROM nm WHERE type = '
 ev AS (SELECT take_id, event_no, type, start, "end", scroll_end, scroll_end IS NOT NULL AS if_scroll FROM (SELECT * FROM nm WHERE type <> 'scroll') LEFT JOIN sc USING (take_id, event_no))"""
 
 
-@query("t15_assemble_operations", "v_takes", "v_frames", sql=f"""WITH {RUNS}, a AS (SELECT *, concat('take_', take_no * 7 % 60) AS take_id FROM v_takes WHERE pass_flag),
-  b AS (SELECT *, round(coalesce(sum(duration) OVER (PARTITION BY id ORDER BY take_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS s, (row_number() OVER (PARTITION BY id ORDER BY take_no) - 1)::INT AS segment_index FROM a)
-  SELECT id, segment_index, event_no AS op_idx, CASE WHEN type = 'point' THEN 'click' ELSE 'input_duration' END AS subtype, type <> 'point' AS is_duration,
-    round(s + CASE WHEN type = 'point' THEN start + 1.0 ELSE start END, 3) AS global_start_time, round(s + "end", 3) AS global_end_time, round(s + scroll_end, 3) AS global_scroll_end_time, if_scroll FROM b JOIN ev USING (take_id) WHERE event_no < 3""")
+#: Green runs of v_frames alone.
+GREEN = """gf AS (SELECT take_id, frame_no, (frame_no + 1) / fps::DOUBLE AS t, status = 'green' AS g, lag(status = 'green') OVER (PARTITION BY take_id ORDER BY frame_no) AS prev, max((frame_no + 1) / fps::DOUBLE) OVER (PARTITION BY take_id) AS lt FROM v_frames),
+gr AS (SELECT *, lead(t) OVER (PARTITION BY take_id ORDER BY frame_no) AS nt FROM gf WHERE prev IS NULL OR prev <> g),
+gn AS (SELECT take_id, (row_number() OVER (PARTITION BY take_id ORDER BY t) - 1)::INT AS event_no, 'duration' AS type, t AS start, coalesce(nt, lt) AS "end", nt AS scroll_end, nt IS NOT NULL AS if_scroll FROM gr WHERE g AND (nt IS NULL OR nt - t > 0.1))"""
+#: Takes with their events; accepted ones; the segments of the timeline.
+TAKES = f"""{RUNS}, {GREEN}, te AS (SELECT id, take_no, event_no, type, start, "end", scroll_end, if_scroll FROM ev JOIN v_takes USING (take_id) WHERE NOT is_init_scroll
+  UNION ALL SELECT id, take_no, 0, 'duration', s, e, e, true FROM (SELECT take_id, min(start) AS s, max("end") AS e FROM gn GROUP BY take_id) JOIN v_takes USING (take_id) WHERE is_init_scroll),
+ac AS (SELECT id, take_no FROM v_takes WHERE pass_flag AND CASE WHEN is_init_scroll THEN 1 ELSE n_old + n_new END = (SELECT count(*) FROM te WHERE te.id = v_takes.id AND te.take_no = v_takes.take_no)),
+tb AS (SELECT v.*, (v.id, v.take_no) IN (SELECT (id, take_no) FROM ac) AS ok FROM v_takes v WHERE pass_flag),
+tl AS (SELECT *, (row_number() OVER (PARTITION BY id ORDER BY take_no) - 1)::INT AS segment_index, coalesce(sum(CASE WHEN ok THEN duration ELSE 0 END) OVER (PARTITION BY id ORDER BY take_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM tb)"""
+
+
+def _takes(takes: DataFrame) -> DataFrame:
+    """v_takes with its moments and actions as arrays."""
+    moments = lambda n: F.array_repeat(F.lit(0.0), F.col(n))
+    action = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_old") + F.col("n_new"))), lambda i: F.concat(F.lit("action "), i.cast("string")))
+    return takes.withColumn("old_moments", moments("n_old")).withColumn("new_moments", moments("n_new")).withColumn("actions_detail", action)
+
+
+def _take_events(takes: DataFrame, frames: DataFrame) -> DataFrame:
+    return T.take_events(takes, EV.detect_events(frames), EV.detect_events(frames, only_green=True))
+
+
+@query("t14_accept_takes", "v_takes", "v_frames", sql=f"WITH {TAKES} SELECT id, take_no FROM ac")
+def t14(takes: DataFrame, frames: DataFrame) -> DataFrame:
+    return T.accept_takes(_takes(takes), _take_events(takes, frames)).select("id", "take_no")
+
+
+@query("t15_assemble_timeline", "v_takes", "v_frames", sql=f"WITH {TAKES} SELECT id, take_no, name, segment_index, round(s, 3) AS segment_start_time, round(s + duration, 3) AS segment_end_time FROM tl WHERE ok")
+def t15(takes: DataFrame, frames: DataFrame) -> DataFrame:
+    t = _takes(takes)
+    return T.assemble_timeline(t.where("pass_flag"), T.accept_takes(t, _take_events(takes, frames)))
+
+
+@query("t15_assemble_operations", "v_takes", "v_frames", sql=f"""WITH {TAKES}, o AS (SELECT id, segment_index, event_no AS op_idx, CASE WHEN is_init_scroll THEN 'Init Scroll Operation' WHEN event_no < n_old THEN 'Old Operation' ELSE 'New Operation' END AS type,
+    te.type = 'point' AS point, is_init_scroll, coalesce(if_scroll, false) OR is_init_scroll AS if_scroll, s, start, "end", scroll_end FROM (SELECT *, round(s, 3) AS r FROM tl WHERE ok) JOIN te USING (id, take_no))
+  SELECT id, segment_index, op_idx, type, CASE WHEN point THEN 'click' WHEN is_init_scroll THEN 'init_scroll' ELSE 'input_duration' END AS subtype, NOT point OR if_scroll AS is_duration, if_scroll,
+    round(round(s, 3) + CASE WHEN point THEN start + 1.0 ELSE start END, 3) AS global_start_time, round(round(s, 3) + "end", 3) AS global_end_time, CASE WHEN if_scroll THEN round(round(s, 3) + scroll_end, 3) END AS global_scroll_end_time,
+    CASE WHEN NOT point THEN round("end" - start, 3) END AS duration_seconds, CASE WHEN NOT is_init_scroll THEN concat('action ', op_idx + 1) END AS action_detail FROM o""")
 def t15b(takes: DataFrame, frames: DataFrame) -> DataFrame:
-    passed = takes.where("pass_flag")
-    named = passed.select("id", "take_no", F.concat(F.lit("take_"), (F.col("take_no") * 7 % 60).cast("string")).alias("take_id"))
-    events = EV.detect_events(frames).where("event_no < 3").join(named, "take_id").drop("take_id")
-    return T.assemble_operations(T.assemble_timeline(passed), events)
+    t, events = _takes(takes), _take_events(takes, frames)
+    return T.assemble_operations(T.assemble_timeline(t.where("pass_flag"), T.accept_takes(t, events)), events, t)
 
 
 @query("t16_detect_events", "v_frames", sql=f"WITH {RUNS} SELECT * FROM ev")
@@ -186,8 +208,6 @@ def t16(frames: DataFrame) -> DataFrame:
     return EV.detect_events(frames)
 
 
-@query("t16_only_green", "v_frames", sql="""WITH f AS (SELECT take_id, frame_no, (frame_no + 1) / fps::DOUBLE AS t, status = 'green' AS g, lag(status = 'green') OVER (PARTITION BY take_id ORDER BY frame_no) AS prev, max((frame_no + 1) / fps::DOUBLE) OVER (PARTITION BY take_id) AS lt FROM v_frames),
-  r AS (SELECT *, lead(t) OVER (PARTITION BY take_id ORDER BY frame_no) AS nt FROM f WHERE prev IS NULL OR prev <> g)
-  SELECT take_id, (row_number() OVER (PARTITION BY take_id ORDER BY t) - 1)::INT AS event_no, 'duration' AS type, t AS start, coalesce(nt, lt) AS "end", nt AS scroll_end, nt IS NOT NULL AS if_scroll FROM r WHERE g AND (nt IS NULL OR nt - t > 0.1)""")
+@query("t16_only_green", "v_frames", sql=f"WITH {GREEN} SELECT * FROM gn")
 def t16b(frames: DataFrame) -> DataFrame:
     return EV.detect_events(frames, only_green=True)

@@ -22,52 +22,56 @@ SELECT id, seg_idx, cast(row_number() OVER (PARTITION BY id, seg_idx ORDER BY rn
   CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN NULL ELSE t END AS global_start_time,
   CASE WHEN event_id % 17 = 0 THEN NULL ELSE t + cast(event_id % 9 AS double) / 8 END AS global_end_time,
   CASE WHEN event_id % 3 = 0 AND event_id % 19 <> 0 THEN t + cast(event_id % 9 AS double) / 8 + 1.5 END AS global_scroll_end_time,
-  CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(event_type, '_', event_id % 13) END AS dom_text
+  CASE WHEN event_id % 4 = 0 THEN '' ELSE concat(event_type, '_', event_id % 13) END AS dom_text, concat('typed ', event_id % 7) AS input_val, concat('option ', event_id % 5) AS value
 FROM o
 """,
     "v_media": r"""
-SELECT concat('./videos/rec_', user_id, '.mp4') AS path, concat('rec_', user_id) AS id,
-  cast(sum(10 + event_id % 50) AS double) / 10 + 2 AS duration, count(*) * 1000 AS length
-FROM events WHERE user_id % 10 <> 3 GROUP BY user_id
+SELECT concat('./videos/', id, '.mp4') AS path, id, duration, length FROM (
+  SELECT concat(CASE WHEN user_id % 10 = 3 THEN 'old_' ELSE 'rec_' END, user_id) AS id, cast(sum(10 + event_id % 50) AS double) / 10 + 2 AS duration, count(*) * 1000 AS length FROM events GROUP BY user_id)
 """,
     "v_frames": r"""
-SELECT concat('take_', user_id % 60) AS take_id,
-  row_number() OVER (PARTITION BY user_id % 60 ORDER BY ts, event_id) - 1 AS frame_no, 16 AS fps,
+SELECT take_id, row_number() OVER (PARTITION BY take_id ORDER BY ts, event_id) - 1 AS frame_no, 16 AS fps,
   CASE event_type WHEN 'click' THEN 'red' WHEN 'signup' THEN 'green' WHEN 'purchase' THEN 'orange' WHEN 'view' THEN 'blue' ELSE 'green' END AS status
-FROM events
+FROM (SELECT concat('take_', CASE WHEN user_id % 60 < 30 THEN user_id % 2 ELSE user_id % 60 END, '_', cast(floor(event_id / 1500) AS bigint)) AS take_id, ts, event_id, event_type FROM events)
 """,
     "v_takes": r"""
 SELECT concat('rec_', conv_id) AS id, turn AS take_no,
   concat(substr(md5(concat('n', conv_id, '_', turn % 3)), 1, 4), CASE WHEN turn >= 3 THEN concat('_', substr(md5(concat('s', turn)), 1, 3)) ELSE '' END) AS name,
-  (conv_id + turn) % 7 <> 0 AS pass_flag, cast(1 + length(text) % 40 AS double) / 4 AS duration,
-  cast(1 + (conv_id + turn) % 3 AS int) AS n_expected, cast(1 + (conv_id * 3 + turn) % 3 AS int) AS n_detected
+  (conv_id + turn) % 7 <> 0 AS pass_flag, cast(1 + length(text) % 40 AS double) / 4 AS duration, (conv_id + turn) % 5 = 0 AS is_init_scroll,
+  cast((conv_id + turn) % 3 AS int) AS n_old, cast(1 + (conv_id * 3 + turn) % 11 AS int) AS n_new,
+  concat('take_', CASE WHEN (conv_id * 7 + turn) % 60 < 30 THEN (conv_id * 7 + turn) % 2 ELSE (conv_id * 7 + turn) % 60 END, '_', conv_id % (SELECT cast(floor(max(event_id) / 1500) AS bigint) + 1 FROM events)) AS take_id
 FROM conversations
 """,
     "v_reports": r"""
 SELECT concat('run_', l_returnflag) AS dir, concat(l_suppkey % 40) AS task_id, concat('timeline_', l_partkey % 12) AS base_timeline,
-  l_linenumber % 2 = 0 AS is_candidate, concat(l_orderkey, '_', l_linenumber) AS path,
+  l_partkey % 12 = 5 OR l_linenumber % 2 = 0 AND l_partkey % 12 NOT IN (3, 7) AS is_candidate, concat(l_orderkey, '_', l_linenumber) AS path,
   CASE WHEN l_orderkey % 7 < 4 THEN 'success' WHEN l_orderkey % 7 < 6 THEN 'failed' END AS functional_score,
   CASE WHEN l_orderkey % 11 = 0 THEN -1 WHEN l_orderkey % 13 = 0 THEN NULL ELSE cast(l_quantity * 2 AS int) END AS visual_score,
   CASE WHEN l_linenumber = 1 AND l_partkey % 12 = 0 THEN cast(l_quantity AS int) END AS homepage_score,
   CASE WHEN l_orderkey % 23 = 0 THEN 1 ELSE 0 END AS no_action
-FROM lineitem WHERE NOT (l_linenumber % 2 = 0 AND l_partkey % 12 IN (3, 7)) AND NOT (l_linenumber % 2 = 1 AND l_partkey % 12 = 5)
+FROM lineitem
 """,
     "v_think": r"""
-SELECT concat('d', doc_id % 900) AS id, doc_id AS line_no,
-  CASE doc_id % 6 WHEN 0 THEN substr(text, 1, 80) WHEN 1 THEN concat('<THINK a="1">', substr(text, 1, 60), '</think> tail') ELSE concat('pre <think>', substr(text, 1, 60), '</think>') END AS mllm_generate
-FROM documents WHERE doc_id % 10 <> 9
+SELECT concat('d', CASE WHEN doc_id % 10 = 9 THEN doc_id - 1 ELSE doc_id END) AS id, doc_id AS line_no,
+  CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN concat('<THINK a="1">', text, '</think> tail') ELSE concat('pre <think>', text, '</think>') END AS mllm_generate
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
 """,
     "v_code": r"""
-SELECT concat('d', d.doc_id) AS id, d.doc_id AS line_no,
-  CASE d.doc_id % 7 WHEN 0 THEN substr(d.text, 1, 80) WHEN 1 THEN concat('<answer>', p.html, '</answer>') WHEN 2 THEN concat('```html', p.html, '```') WHEN 3 THEN concat('``` x ', substr(d.text, 1, 40), '```') ELSE concat('note ', p.html) END AS mllm_generate
-FROM documents d JOIN pages p ON p.page_id = d.doc_id % 50 WHERE d.doc_id % 11 <> 5
+SELECT concat(CASE WHEN d.doc_id % 11 = 5 THEN 'x' ELSE 'd' END, d.doc_id) AS id, d.doc_id AS line_no,
+  CASE d.doc_id % 7 WHEN 0 THEN d.text WHEN 1 THEN concat('<answer>', p.html, '</answer>') WHEN 2 THEN concat('```html', p.html, '```') WHEN 3 THEN concat('``` x ', d.text, '```') ELSE concat('note ', p.html) END AS mllm_generate
+FROM (SELECT doc_id, coalesce(text, '') AS text, doc_id % (SELECT max(page_id) + 1 FROM pages) AS page_id FROM documents) d
+JOIN (SELECT page_id, coalesce(html, '') AS html FROM pages) p ON p.page_id = d.page_id
 """,
     "v_calls": r"""
-SELECT concat('d', doc_id) AS id,
-  CASE doc_id % 5 WHEN 0 THEN concat('<think>', substr(text, 1, 40), '</think> <tool>{"video_url":"u', doc_id, '","segments":[{"start":1.5,"end":3.0}]}</tool>')
-    WHEN 1 THEN concat(substr(text, 1, 40), ' <tool>{"segments":[]}</tool>') WHEN 2 THEN concat('<think>x</think> ```json {"segments": [1]} ```')
-    WHEN 3 THEN concat('<think>x</think> {"a": ', doc_id, '} end') ELSE substr(text, 1, 40) END AS function_call_generate
-FROM documents WHERE doc_id % 13 <> 0
+SELECT concat(CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE 'd' END, doc_id) AS id,
+  CASE doc_id % 5 WHEN 0 THEN concat('<think>', text, '</think> <tool>{"video_url":"u', doc_id, '","segments":[{"start":1.5,"end":3.0}]}</tool>')
+    WHEN 1 THEN concat(text, ' <tool>{"segments":[]}</tool>') WHEN 2 THEN concat('<think>x</think> ```json {"segments": [1]} ```')
+    WHEN 3 THEN concat('<think>x</think> {"a": ', doc_id, '} end') ELSE text END AS function_call_generate
+FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+""",
+    "v_forms": r"""
+SELECT page_id, replace(coalesce(html, ''), '<body>', concat('<body>', CASE page_id % 5 WHEN 0 THEN '<p>' ELSE '<div id="page-form"><p>' END, page_id, CASE page_id % 5 WHEN 0 THEN '</p>' WHEN 1 THEN '</p><input type="text" value="v"></div>' WHEN 2 THEN '</p><a href="/a">go</a><input type="hidden" value="no"></div>'
+  WHEN 3 THEN '</p><select id="s"><option value="1">one<option value="">none</option><option selected>three</select></div>' ELSE '</p><textarea>a b</textarea><button>send</button></div>' END)) AS html FROM pages
 """,
     "v_urls": r"""
 SELECT page_id * 2 AS line_no, CASE WHEN page_id % 9 = 0 THEN '   ' ELSE concat(' ', url, ' ') END AS url FROM pages
@@ -83,7 +87,7 @@ SELECT user_id % 50 AS page_id, event_id AS el, event_type AS text, CASE WHEN ev
 """,
     "v_snap_old": r"""
 SELECT user_id % 50 AS page_id, event_id AS el, event_type AS text, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'BUTTON' END AS tag,
-  cast(floor(value) AS int) % 40 AS x, cast(event_id % 300 AS int) * 10 + cast(event_id % 3 AS int) AS y, 20 AS w, 11 AS h FROM events WHERE event_id % 3 <> 0
+  cast(floor(value) AS int) % 40 AS x, CASE WHEN event_id % 3 = 0 THEN 100000 ELSE cast(event_id % 300 AS int) * 10 + cast(event_id % 3 AS int) END AS y, 20 AS w, 11 AS h FROM events
 """,
     "v_verifier": r"""
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('ok \score{', doc_id % 140, '} \passed{success}') WHEN 1 THEN concat('x \score{ -1 } \passed{ Failed }')

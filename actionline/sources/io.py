@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actionline.operators.assemble import last_by_id, strip  # noqa: F401
 from actionline.schemas import RECORDING, REPORT
+from actionline.sources.shared import stored
 
 
 def read_recordings(spark: SparkSession, path: str) -> DataFrame:
@@ -19,7 +20,9 @@ def recording_ops(recordings: DataFrame) -> DataFrame:
     """Operation rows (id, seg_idx, op_idx, the operation's fields) of recordings as read."""
     s = recordings.select("id", F.posexplode("action_frames_timeline_filtered").alias("seg_idx", "s"))
     o = s.select("id", "seg_idx", F.posexplode("s.operations").alias("op_idx", "o"))
-    return o.select("id", "seg_idx", "op_idx", "o.*").withColumn("action", F.col("action_detail.action"))
+    text = F.coalesce(F.when(F.col("action_detail.dom_info.attrs")["text"] != "", F.col("action_detail.dom_info.attrs")["text"]), F.col("action_detail.dom_info.visible_text"))
+    out = o.select("id", "seg_idx", "op_idx", "o.*").withColumn("dom_text", F.coalesce(text, F.lit("")))
+    return out.withColumns({x: F.col(f"action_detail.{x}") for x in ("action", "input_val", "value")})
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, count_bad: bool = False) -> DataFrame:
@@ -45,6 +48,17 @@ def merge_worker_outputs(outputs: list[DataFrame], key: str = "id") -> DataFrame
     return out.orderBy(F.col(key).try_cast("long").asc_nulls_last(), key)
 
 
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """The place (from 1) of each row of a sorted frame. Rows keep their order in partitions and partitions
+    keep theirs; they are stored with it once, so only the partitions' sizes meet in one task."""
+    local = stored(df.withColumn("__at", F.monotonically_increasing_id()), "placed").withColumn("__part", F.shiftright("__at", 33))
+    sizes = local.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__part", before.alias("__before"))  # a row for each partition
+    rank = F.col("__at") - F.shiftleft(F.col("__part"), 33) + 1
+    return local.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + rank).drop("__at", "__part", "__before")
+
+
 def success_counts(merged: DataFrame) -> DataFrame:
     """Rows and successful ones."""
     return merged.agg(F.count("*").alias("n"), F.count_if("success").alias("n_success"))
@@ -88,9 +102,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path, ignoreNullFields=False)
 
 
-def write_shards(df: DataFrame, path: str, part: str = "part") -> None:
-    """One folder of JSON lines for each part."""
+def write_shards(df: DataFrame, path: str, part: str = "part", manifest: DataFrame | None = None) -> None:
+    """One folder of JSON lines for each part; with a manifest (M14, M15) one of its rows for each part
+    beside it, in <path>-manifest."""
     df.repartition(part).write.partitionBy(part).json(path, ignoreNullFields=False)
+    if manifest is not None:
+        manifest.repartition(part).write.partitionBy(part).json(f"{path}-manifest", ignoreNullFields=False)
 
 
 def first_occurrence(df: DataFrame, key: str, order: str) -> DataFrame:
