@@ -78,6 +78,11 @@ def language_model(docs: DataFrame) -> np.ndarray:
     counts = np.zeros(K**3)
     for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[r["gram"]] = r["n"]
+    return language_model_of(counts)
+
+
+def language_model_of(counts: np.ndarray) -> np.ndarray:
+    """The negative log-probabilities that counts of all character triples give, smoothed by pairs."""
     cube = counts.reshape(K, K, K)
     pair = cube.sum(0)  # what follows one character alone
     back = (pair + 0.1) / (pair + 0.1).sum(1, keepdims=True)

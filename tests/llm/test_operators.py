@@ -402,8 +402,21 @@ def test_near_vectors(spark):
     assert lattice.near_vectors(d.limit(0)).count() == 0
 
 
+def plain_shingles(text):
+    """The contract's words and shingles, by a pattern and tuples."""
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_shingles_against_a_plain_version():
+    draw = random.Random(8)
+    bits = [*"aAbBzZ", "É", "ſ", "İ", "\x1c", "\x85", "\xa0", "\u2003", " ", "  ", "\n", "\t", "\x0b", "\r", "-", "word", "Word"]
+    for text in ODD + ["".join(draw.choice(bits) for _ in range(draw.randint(0, 60))) for _ in range(2000)]:
+        assert len(minhash.shingles(text)) == len(plain_shingles(text)), repr(text)
+
+
 def brute(texts):
-    sets = {i: set(minhash.shingles(t).tolist()) for i, t in texts.items()}
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -438,6 +451,18 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_copies_in_one_task_and_keys_that_several_sets_share(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(80))
+    texts = [long] * 30 + [long + " end"] * 30 + ["quite another text of more than five words", "and one more text that is like none of them"] * 10
+    want = brute(dict(enumerate(texts)))
+    for same in (False, True):
+        if same:  # every set has the same first hash
+            plain = minhash._key
+            monkeypatch.setattr(minhash, "_key", lambda s: (7, plain(s)[1]))
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+        assert all((got[i]["n_shingles"], got[i]["component_id"]) == x for i, x in want.items())
+
+
 def test_bounds_of_sequential_verification():
     need = minhash.least_matches(0.75, 1e-4)
     assert list(need) == sorted(need) and need[-1] < 0.75 * minhash.HASHES
@@ -473,6 +498,37 @@ def test_toxicity_learns_words_and_restores_disguises(spark):
     assert empty.score("idiot") < 0.5
 
 
+def test_viterbi_is_the_cheapest_of_all_paths():
+    model = toxicity.language_model_of(np.random.default_rng(3).integers(0, 50, toxicity.K**3))
+
+    def cost(letters):
+        a = b = 0
+        total, text = 0.0, ""
+        for c, price in [*letters, (" ", 0.0)]:
+            total += price
+            if not c or c == " " and b == 0:
+                continue
+            i = toxicity._INDEX.get(c, 0)
+            total += float(model[a, b, i])
+            a, b, text = b, i, text + c
+        return total, text.strip()
+
+    draw = random.Random(5)
+    for _ in range(150):
+        token = "".join(draw.choice("aabio10!$. _7é") for _ in range(draw.randint(1, 6)))
+        best = min(cost(path)[0] for path in itertools.product(*toxicity.options(token)))
+        found = toxicity.viterbi(token, model)
+        assert any(abs(t - best) < 1e-9 and x == found for t, x in map(cost, itertools.product(*toxicity.options(token)))), token
+
+
+def test_toxicity_on_odd_tables(spark):
+    d = docs(spark, ["fine words here", None, "", "fine words here", "x" * 300_000], extra=[(None, "fine", None, None, 1, 1, 2.0, "x", 3), (0, "other", None, None, 1, 1, 2.0, "x", 3)])
+    model = toxicity.fit(d, spark.createDataFrame([(0, None)], "doc_id long, toxic int"))
+    rows = toxicity.scored(d, model).collect()
+    assert len(rows) == 7 and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in rows) and rows[0]["h"] == "x"
+    assert toxicity.scored(d.limit(0), model).count() == 0
+
+
 def test_toxicity_restores_words_beside_punctuation_and_doubled_letters(spark):
     draw = random.Random(4)
     plain = ["the", "river", "runs", "all", "over", "stones", "and", "under", "bridges", "while", "birds", "sing", "hilly", "songs"]
@@ -487,6 +543,7 @@ def test_toxicity_restores_words_beside_punctuation_and_doubled_letters(spark):
     for t in ("you s c u m!", "what s c u m.", '"s c u m" he', "s  c  u  m", "s - c - u - m", "(s c u m)", "the s c u m, and", "s c u m. a river", "sccuumm", "scuum.", "iddiot", "idiiott!"):
         assert model.score(t) >= 0.5, t
     assert toxicity._spaced("i d i o t, go") == ["i d i o t"]
+    assert toxicity._spaced("a m o r and mo ro n, he said") == ["a m o r", "mo ro n"]
     for t in ("all the hilly songs", "a, b, c, d.", "1. 2. 3. 4. 5", "- - - - -", "....a", "s.u. m.c. river", "the . river . runs . over"):
         assert model.score(t) < 0.5, t
     assert toxicity.readings("hilly", model.language) == ["hilly"]

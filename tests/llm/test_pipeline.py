@@ -56,3 +56,45 @@ def test_rows_that_repeat_a_doc_id_are_judged_by_their_texts(spark):
     assert got == sorted([*first, (5, two), (3, three), (7, None), (7, ""), (7, "few"), (None, one), (None, one)], key=repr)
     again = corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF)
     assert again.columns == docs.columns and again.count() == 0
+
+
+#: Names that the operators use inside, as columns of the input.
+CLASHES = "row whole cut copies use domain n id h sum before left bucket prefix clean score predicted key check sig bands many comp rows text_id class_id component_id __text __clean __n __copies host roots held_out".split()
+
+
+def odd(spark, long=40_000):
+    """Documents with nulls everywhere, empty and long texts, repeated rows and ids, and clashing columns."""
+    words = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(1, words("a"), "en", "src0", 5), (1, words("a"), "en", "src0", 5), (1, words("b"), None, None, None), (2, None, "de", "src1", 0), (3, "", None, "src1", 0), (None, words("c"), "en", None, 1), (None, None, None, None, None), (4, "word " * long, "fr", "src2", 5 * long), (5, "password = abcdef123456", "en", "src4", 23)]
+    names = ", ".join(f"`{c}` double" for c in CLASHES)
+    return spark.createDataFrame([(*r, *[7.0] * len(CLASHES)) for r in rows], f"doc_id long, text string, lang string, source string, n_chars int, {names}")
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows_and_clashing_columns(spark, stage):
+    f, d = dict(corpus_pipeline.STAGES)[stage], odd(spark)
+    rows = f(spark, d, SF).collect()
+    if stage == "packing":
+        assert {r["doc_id"] for r in rows} == {None, 1, 2, 3, 4, 5} and sum(r["start"] == 0 for r in rows) == 9
+    else:
+        assert rows[0].__fields__ == d.columns and all(r[c] == 7.0 for r in rows for c in CLASHES)
+        want = {"toxicity": 9, "minhash": 8, "secrets": 9}
+        assert stage not in want or len(rows) == want[stage]
+        assert stage != "secrets" or [r["text"] for r in rows if r["doc_id"] == 5] == ["[secret]"]
+    assert f(spark, d.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op1_tokens", "op2_toxicity", "op5_mixing", "op6_packing", "op7_secrets", "op8_minhash", "op10_ogg"])
+def test_queries_on_odd_tables(spark, tmp_path, name):
+    """Each query over documents with odd rows and clashing columns, and over none, beside the other tables."""
+    for folder, d in ((tmp_path / "odd", odd(spark)), (tmp_path / "none", odd(spark).limit(0))):
+        d.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        rows = QUERIES[name](spark, str(folder)).collect()
+        ids = sorted(str(r["doc_id"]) for r in rows)
+        if folder.name == "none":
+            assert rows == []
+        elif name in ("op5_mixing", "op6_packing"):
+            assert set(ids) <= {"1", "2", "3", "4", "5", "None"} and rows
+        else:
+            assert ids == ["1", "1", "1", "2", "3", "4", "5", "None", "None"]
