@@ -6,6 +6,7 @@ import json
 import math
 import os
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -246,6 +247,105 @@ def test_nodes_and_actions(spark):
     assert spark.createDataFrame([("enter[2][a[0], b]",)], "t string").select(explore.parse_nested_actions("t")).first()[0][0]["value"] == "a[0], b"
 
 
+def test_deep_and_long_pages(spark):
+    began = time.perf_counter()
+    for html, n in (("<div>" * 50_000 + "<a>x</a>" + "</div>" * 50_000, 50_001), ("<p>x</p>" * 100_000, 0), ("<a " * 50_000, 0), ("<x>" * 20_000 + "</y>" * 20_000 + "<b onclick=1>t", 20_001)):
+        assert len([r for r in dom._page(html) if r[3] != ""]) in (n, n - 1)
+    assert time.perf_counter() - began < 30
+
+
+def test_values_options_and_addresses(spark):
+    html = "<main><select id='s'><option value='1'>one<option>two<option value='' selected>three</select><textarea> a\n b</textarea><input value='v'><input type='radio' value='r'><select></select></main>"
+    nodes = dom.page_nodes(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string"))
+    rows = [r for r in nodes.orderBy("node_id").collect() if r["address"]]
+    assert [(r["tag"], r["input_value"], r["options"] and len(r["options"]), r["address"]) for r in rows] == [("SELECT", None, 3, "main--"), ("TEXTAREA", " a\n b", None, "main--"), ("INPUT", "v", None, "main--"), ("INPUT", None, None, "main--"), ("SELECT", None, [], "main--")]
+    values = dom.select_values(dom.options_of(nodes)).collect()
+    assert [r["values"] for r in values] == [["1", "two", "three"]]
+
+
+def test_takes_are_accepted_by_their_events(spark):
+    schema = "id string, take_no int, take_id string, pass_flag boolean, is_init_scroll boolean, old_moments array<double>, new_moments array<double>, actions_detail array<string>, duration double, name string"
+    takes = spark.createDataFrame([
+        ("r", 0, "t0", True, True, None, None, None, 4.0, "init"), ("r", 1, "t1", True, False, [1.0], [2.0], ["a", "b"], 5.0, "one"), ("r", 2, "t1", True, False, [], [2.0], ["a"], 5.0, "few"),
+        ("r", 3, "t1", False, False, [1.0], [2.0], ["a", "b"], 5.0, "failed"), ("r", 4, "t1", True, None, [1.0, 2.0], None, ["c", "d"], 5.0, "last"), ("r", 5, "none", True, False, [], [1.0], ["a"], 5.0, "without"),
+    ], schema)
+    row = "take_id string, event_no int, type string, start double, end double, scroll_end double, if_scroll boolean"
+    marks = spark.createDataFrame([("t1", 0, "point", 0.5, 0.5, 0.75, True), ("t1", 1, "duration", 1.0, 2.0, None, False)], row)
+    green = spark.createDataFrame([("t0", 0, "duration", 0.25, 1.0, 1.0, True), ("t0", 1, "duration", 2.0, 3.5, None, False)], row)
+    found = timeline.take_events(takes, marks, green)
+    ok = timeline.accept_takes(takes, found)
+    assert sorted(r["take_no"] for r in ok.collect()) == [0, 1, 4]
+    line = timeline.assemble_timeline(takes.where("pass_flag"), ok)
+    assert [(r["segment_index"], r["segment_start_time"], r["segment_end_time"]) for r in line.orderBy("segment_index").collect()] == [(0, 0.0, 4.0), (1, 4.0, 9.0), (3, 9.0, 14.0)]
+    ops = timeline.assemble_operations(line, found, takes).orderBy("segment_index", "op_idx").collect()
+    assert [(o["type"], o["subtype"], o["is_duration"], o["if_scroll"], o["global_start_time"], o["global_end_time"], o["global_scroll_end_time"], o["duration_seconds"], o["action_detail"]) for o in ops] == [
+        ("Init Scroll Operation", "init_scroll", True, True, 0.25, 3.5, 3.5, 3.25, None),
+        ("Old Operation", "click", True, True, 5.5, 4.5, 4.75, None, "a"), ("New Operation", "input_duration", True, False, 5.0, 6.0, None, 1.0, "b"),
+        ("Old Operation", "click", True, True, 10.5, 9.5, 9.75, None, "c"), ("Old Operation", "input_duration", True, False, 10.0, 11.0, None, 1.0, "d"),
+    ]
+
+
+def test_long_recordings_are_split_in_proportion(spark):
+    rows = spark.range(3).select(F.col("id").cast("string").alias("id"), F.expr("transform(sequence(0, 3999), i -> named_struct('seg_idx', i, 'ops', array(named_struct('op_idx', 0, 'if_scroll', i % 3 = 0))))").alias("segments"))
+    timeline.split_recordings(rows.limit(1)).count()  # compile first
+    began = time.perf_counter()
+    got = timeline.split_recordings(rows).select("id", "part", F.size("segments").alias("n")).collect()
+    assert time.perf_counter() - began < 10
+    parts = model_parts([4 if i % 3 == 0 else 1 for i in range(4000)])
+    assert sorted((r["part"], r["n"]) for r in got if r["id"] == "1") == sorted((p, parts.count(p)) for p in set(parts))
+
+
+def test_conversations_tell_tools_and_hold_their_record(spark):
+    prompt = assemble.system_prompt([{"name": "é", "a": [1]}, None, {"name": "b"}])
+    assert '<tools>\n{"name": "é", "a": [1]}\n{"name": "b"}\n</tools>' in prompt and "{tool_text}" not in prompt and prompt.endswith("...\n</tool_call>")
+    schema = "id string, video_path string, clip_video_list array<string>, clip_urls array<string>, question string, payload string, rest string, answer string, shard_uuid string, reference string"
+    r = spark.createDataFrame([("1", "a/v.mp4", ["c/1.mp4"], ["u"], "q", '{"b": 1.50,\n "a": [1, "é"]}', "r", "x", "s", "ref"), ("2", None, None, None, "q", None, None, "x", None, None)], schema)
+    info = spark.createDataFrame([("v.mp4", 7, 9, 2.9)], "name string, h int, w int, sec double")
+    rows = {x["id"]: x for x in assemble.to_conversations(r, info, prompt).collect()}
+    one = rows["1"]
+    assert one["metadata"]["source_path"] == "a/v.mp4" and "reference" not in json.loads(one["metadata"]["orig_video_dict"]) and one["media_size"] == {"video0": [7, 9, 2], "video1": [0, 0, 0]}
+    assert one["conversations"][0]["text"] == prompt and json.loads(one["conversations"][2]["tool_call"])["arguments"] == '{"b":1.5,"a":[1,"é"]}'
+    assert rows["2"]["conversations"] is None
+
+
+def test_compact_json_like_the_standard_library(spark):
+    draw = random.Random(11)
+
+    def value(depth):
+        kind = draw.randint(0, 6 if depth else 4)
+        if kind < 5:
+            return draw.choice([None, True, draw.randint(-9, 10**20), draw.random() * 1e9, "é\n\"x\\ ", ""])
+        return [value(depth - 1) for _ in range(draw.randint(0, 3))] if kind == 5 else {draw.choice("abcé"): value(depth - 1) for _ in range(draw.randint(0, 3))}
+
+    texts = [json.dumps(value(3), indent=draw.choice([None, 1])) for _ in range(200)] + ["{not\n   json", "", "[1,\n 2", '{"a": 1, "a": 2}']
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(assemble.compact_json("t")).collect()]
+    for text, mine in zip(texts[:200], got[:200], strict=True):
+        assert mine == json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False)
+    assert got[200:] == ["{not" + "json", "", "[1,2", '{"a":2}']
+
+
+def test_frame_sets_and_shards_with_manifests(spark, tmp_path):
+    f = spark.createDataFrame([("t", s, o) for s in ("segment_10", "segment_2", "segment_x") for o in ("operation_11", "operation_3", "operation_3")], "id string, segment_name string, operation_name string")
+    assert [(s["segment_name"], list(s["operations"])) for s in scores.frame_sets(f).first()["segments"]] == [(s, ["operation_3", "operation_11"]) for s in ("segment_2", "segment_10", "segment_x")]
+    records = spark.createDataFrame([("1", 1, "v/1.mp4", ["c/1.mp4"]), ("2", 2, "v/2.mp4", None)], "id string, part int, video_path string, clip_video_list array<string>")
+    manifest = package.media_manifest(records, spark.createDataFrame([("v/1.mp4",)], "path string"))
+    io.write_shards(records, str(tmp_path / "s"), manifest=manifest)
+    back = spark.read.schema("id string, name string, present boolean, part int").json(str(tmp_path / "s-manifest"))
+    assert sorted((r["part"], r["name"], r["present"]) for r in back.collect()) == [(1, "1.mp4", False), (1, "1.mp4", True), (2, "2.mp4", False)]
+    for path in ("run/task_7/segment_0/operation_12", "run/task_7/segment_0/operation_2", "run/other"):
+        (tmp_path / path).mkdir(parents=True)
+        (tmp_path / path / "r.json").write_text(json.dumps({"global_verification": {"functional_score": "success", "visual_score": 1}}))
+    reports = io.read_reports(spark, str(tmp_path / "run"), "synthesis")
+    assert sorted((r["dir"], r["task_id"], r["segment"], r["operation"], r["functional_score"]) for r in reports.collect()) == [("run", "7", 0, 2, "success"), ("run", "7", 0, 12, "success")]
+
+
+def test_merged_outputs_are_numbered_in_order(spark):
+    a = spark.createDataFrame([("10", "x"), ("b", "y")], "id string, v string")
+    b = spark.createDataFrame([("9",), ("a",), ("-1",)], "id string")
+    got = {r["place"]: (r["id"], r["v"]) for r in io.placed(io.merge_worker_outputs([a, b])).collect()}
+    assert got == {1: ("-1", None), 2: ("9", None), 3: ("10", "x"), 4: ("a", None), 5: ("b", "y")}
+
+
 def test_states_differ_from_the_third_link_on(spark, tmp_path):
     page = '<a href="/a">a</a><a href="/b">b</a><a href="/{0}">{0}</a>'
     spark.createDataFrame([(i, f"http://h/{i}", page.format(x)) for i, x in enumerate("ccd")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
