@@ -195,11 +195,12 @@ class Model:
         return found
 
     def score(self, text: str | None) -> float:
+        """How likely some word of the restored text is a toxic one, each different token being evidence of its own."""
         text = (text or "").lower()
-        best = max(map(self.weight, set(_TOKEN(text))), default=0.0)
-        if best < 0.99:
-            best = max([best, *(self.weight(x) for x in set(_spaced(text)))])
-        return best or self.rest
+        clean = math.prod(1 - self.weight(x) for x in sorted(set(_TOKEN(text))))
+        if clean > 0.01:
+            clean *= math.prod(1 - self.weight(x) for x in sorted(set(_spaced(text))))
+        return 1 - clean if clean < 1 else self.rest
 
 
 def _known(text: str | None, language: np.ndarray, cache: dict) -> dict[str, str]:
