@@ -300,7 +300,8 @@ def _blocks(probes: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
     for each pair. Of the links of a class within a part one is enough.
     """
     parts = lambda df: df.groupBy("comp").agg(F.ceil(F.count("*") / part).cast("long").alias("n"))
-    sizes = parts(named.join(probes.select("comp").distinct(), "comp", "left_semi")).withColumnRenamed("n", "cs").join(parts(probes).withColumnRenamed("n", "ps"), "comp")
+    # written, as in _across: a large component's classes can then go to several tasks
+    sizes = written(parts(named).withColumnRenamed("n", "cs").join(parts(probes).withColumnRenamed("n", "ps"), "comp"), "sizes")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = probes.join(sizes, "comp").withColumn("p", F.pmod(F.xxhash64("a"), F.col("ps"))).withColumn("c", spread("cs")).join(sets.withColumnRenamed("key", "a"), "a")
     right = named.join(sizes, "comp").withColumn("c", F.pmod(F.xxhash64("key"), F.col("cs"))).withColumn("p", spread("ps")).join(sets, "key")
@@ -392,7 +393,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, text
         found = components(edges)
     named = rows.select("doc_id", "n", *extra, F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     named = named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
-    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    # components of one row are named by it; the others are a table, so a large one's rows can go to several tasks
+    least = named.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows"))
+    least = written(least.where("rows > 1").drop("rows"), "least")
     out = named.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra, *([F.coalesce("comp", "text_id").alias("class_id")] if texts else []))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
