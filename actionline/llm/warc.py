@@ -30,9 +30,10 @@ def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
     p = p.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     # only digests that occur more than once go into the join
     copies = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
+    copies = written(copies, "copies")  # so that a hot digest's pages can go to several tasks
     # which pages are revisits is found on ids and digests alone; pages then meet that by both, so a page that is
-    # copied very often is no hot key. Revisits grow with the pages, so they are never broadcast.
-    revisits = p.where(F.col("bytes") >= least).select("page_id", "digest").distinct().join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("last")))
+    # copied very often is no hot key. Copies and revisits grow with the pages, so they are never broadcast.
+    revisits = p.where(F.col("bytes") >= least).select("page_id", "digest").distinct().join(copies.hint("merge"), "digest").where(~F.col("page_id").eqNullSafe(F.col("last")))
     key = F.coalesce("page_id", F.lit(-1))
     revisits = revisits.select(key.alias("key"), F.col("page_id").isNull().alias("none"), "digest", F.col("last").alias("refers"))
     p = p.withColumn("key", key).withColumn("none", F.col("page_id").isNull())
@@ -180,12 +181,11 @@ def archived(pages: DataFrame, compression: str = "gzip") -> DataFrame:
     sizes = sizes.join(records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct(), ["page_id", "digest"], "left_semi")
     if bad.limit(1).count():
         raise ValueError("a payload read back has another digest than its header")
-    lost = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct().join(sizes, ["page_id", "digest"], "left_anti")
-    if lost.limit(1).count():
-        raise ValueError("a revisit refers to a response that the archives don't hold")
     r, s = records.alias("r"), sizes.alias("s")
     out = r.join(s, (F.col("r.refers_to") == F.col("s.page_id")) & (F.col("r.digest") == F.col("s.digest")), "left")
-    return out.select("r.page_id", F.coalesce("s.full", "r.bytes").alias("payload_bytes"), F.col("r.digest").alias("payload_digest"), "r.record_type", "r.refers_to")
+    lost = F.raise_error(F.lit("a revisit refers to a response that the archives don't hold")).cast("long")
+    full = F.when(F.col("r.record_type") == "revisit", F.coalesce(F.col("s.full"), lost)).otherwise(F.col("r.bytes"))
+    return out.select("r.page_id", full.alias("payload_bytes"), F.col("r.digest").alias("payload_digest"), "r.record_type", "r.refers_to")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
