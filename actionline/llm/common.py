@@ -44,12 +44,17 @@ def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataF
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     if instead is not None:
-        for file in {x.rsplit("/", 1)[0] for x in instead.inputFiles()}:
-            old = spark._jvm.org.apache.hadoop.fs.Path(file)
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        deleted(spark, instead)
     return out
 
 
+def deleted(spark: SparkSession, what: DataFrame | str) -> None:
+    """The files of a folder, or of a result of ``written`` that nothing reads any more, go."""
+    for folder in [what] if isinstance(what, str) else {x.rsplit("/", 1)[0] for x in what.inputFiles()}:
+        old = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns that most operators need, by name; other columns, also with clashing names, stay out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

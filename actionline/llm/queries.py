@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from actionline.llm.compression import op12_codes
 from actionline.llm.lattice import op3_lattice
 from actionline.llm.minhash import op8_minhash
 from actionline.llm.mixing import OP5_SQL, op5_mixing
 from actionline.llm.ogg import op10_ogg
 from actionline.llm.packing import op6_packing
+from actionline.llm.resampling import OP11_SQL, op11_resampling
 from actionline.llm.secrets import op7_secrets
 from actionline.llm.tokens import op1_tokens
 from actionline.llm.toxicity import op2_toxicity
@@ -28,7 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_warc": op9_warc,
     "op10_ogg": op10_ogg,
+    "op11_resampling": op11_resampling,
+    "op12_codes": op12_codes,
 }
 
 #: Twins in SQL, where SQL can express the result.
-ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_warc": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_mixing": OP5_SQL, "op9_warc": OP9_SQL, "op11_resampling": OP11_SQL}
