@@ -12,6 +12,7 @@ from actionline.llm.minhash import op8_minhash
 from actionline.llm.mixing import OP5_SQL, op5_mixing
 from actionline.llm.ogg import op10_ogg
 from actionline.llm.packing import op6_packing
+from actionline.llm.quality import op13_quality
 from actionline.llm.resampling import OP11_SQL, op11_resampling
 from actionline.llm.secrets import op7_secrets
 from actionline.llm.tokens import op1_tokens
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ogg": op10_ogg,
     "op11_resampling": op11_resampling,
     "op12_codes": op12_codes,
+    "op13_quality": op13_quality,
 }
 
 #: Twins in SQL, where SQL can express the result.
