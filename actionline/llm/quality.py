@@ -119,7 +119,7 @@ def lines(texts: pa.StringArray) -> Lines:
     }
     measures["seen"][keep] = ~_new(text_hash[keep], row[keep])
     steps = np.stack([np.searchsorted(np.array(bounds, float), measures[name][keep].astype(float), "left") for name, bounds in STEPS.items()], 1)
-    return Lines(row[keep], steps.astype(np.uint8), (count.sum(1) - count[:, 6])[keep])
+    return Lines(row[keep], steps.astype(np.uint8), (count.sum(1) - count[:, 6] - np.bincount(of[breaks], minlength=m))[keep])
 
 
 def _new(hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
