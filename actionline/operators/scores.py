@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actionline.functions.rounding import exact_ratio, fixed
+
 
 def parse_scores(df: DataFrame, column: str = "output") -> DataFrame:
     """visual_score from the first \\score{...} (-1 stays, others clamp to 0..100, unreadable gives 0) and
@@ -42,32 +44,42 @@ def resolve_candidates(entries: DataFrame) -> DataFrame:
 
 def task_scores(entries: DataFrame) -> DataFrame:
     """Per (dir, task_id) the visual mean over successes, with the mean homepage score as one more point
-    where there is any normal one, and the functional mean over all entries."""
+    where there is any normal one, and the functional mean over all entries. Scores are whole numbers; means
+    are rounded on the exact ratio, ties to even."""
     won = F.col("functional") == "success"
     g = entries.groupBy("dir", "task_id").agg(
         F.count("*").alias("n_entries"), F.count_if(won).alias("n_success"), F.count(F.when(won, F.col("visual"))).alias("n_visual"),
-        F.sum(F.when(won, F.col("visual"))).alias("visual_sum"), F.avg("homepage").alias("home"), F.sum("no_action").alias("n_no_action"),
+        F.coalesce(F.sum(F.when(won, F.col("visual")).cast("long")), F.lit(0)).alias("visual_sum"), F.count("homepage").alias("n_home"),
+        F.coalesce(F.sum(F.col("homepage").cast("long")), F.lit(0)).alias("home_sum"), F.sum("no_action").alias("n_no_action"),
     )
-    extra = F.col("home").isNotNull().cast("int")
-    visual = F.when(F.col("n_visual") > 0, F.bround((F.col("visual_sum") + F.coalesce("home", F.lit(0.0))) / (F.col("n_visual") + extra), 2))
+    # with the homepage's mean as one more point, all over its count
+    some, n = F.col("n_home") > 0, F.greatest(F.col("n_home"), F.lit(1))
+    top = F.col("visual_sum") * n + F.when(some, F.col("home_sum")).otherwise(0)
+    visual = F.when(F.col("n_visual") > 0, exact_ratio(top, n * (F.col("n_visual") + some.cast("int")), 2))
     return g.select(
-        "dir", "task_id", "n_entries", "n_success", "n_visual", visual.alias("visual_mean"), F.bround(F.col("n_success") / F.col("n_entries"), 4).alias("functional_mean"),
+        "dir", "task_id", "n_entries", "n_success", "n_visual", visual.alias("visual_mean"), exact_ratio(F.col("n_success"), F.col("n_entries"), 4).alias("functional_mean"),
         F.format_string("%d/%d", "n_success", "n_entries").alias("rate"), F.col("n_no_action").cast("long").alias("n_no_action"),
     )
 
 
+def _mean(column: str, digits: int) -> Column:
+    """The mean of rounded values, from the exact sum of their last places."""
+    return exact_ratio(F.sum(fixed(F.col(column), digits)), F.count(column) * 10**digits, digits)
+
+
 def dir_scores(tasks: DataFrame) -> DataFrame:
-    """E5: means of the rounded task means of a directory, with the counts of tasks behind them."""
+    """E5: means of the rounded task means of a directory, with the counts of tasks behind them; exact sums,
+    ties to even, so no order of the tasks gives another mean."""
     return tasks.groupBy("dir").agg(
-        F.bround(F.avg("visual_mean"), 2).alias("visual_mean"), F.bround(F.avg("functional_mean"), 4).alias("functional_mean"),
+        _mean("visual_mean", 2).alias("visual_mean"), _mean("functional_mean", 4).alias("functional_mean"),
         F.count("*").alias("n_tasks"), F.count("visual_mean").alias("n_tasks_visual"),
     )
 
 
 def global_scores(dirs: DataFrame) -> DataFrame:
-    """Means of directory means."""
+    """Means of directory means, by the same rule."""
     return dirs.agg(
-        F.bround(F.avg("visual_mean"), 2).alias("visual_mean"), F.bround(F.avg("functional_mean"), 4).alias("functional_mean"),
+        _mean("visual_mean", 2).alias("visual_mean"), _mean("functional_mean", 4).alias("functional_mean"),
         F.count("*").alias("n_dirs"), F.coalesce(F.sum("n_tasks"), F.lit(0)).alias("n_tasks"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from actionline.functions.rounding import exact_ratio_sql, fixed_sql
 from actionline.operators import scores as S
 from actionline.plans.registry import query
 
@@ -14,13 +15,21 @@ ENTRIES = """e AS (SELECT dir, task_id, base_timeline, is_candidate, path, no_ac
     coalesce(visual_score <> -1 AND visual_score >= 60, false) AS is_match FROM v_reports)"""
 RESOLVED = f"""{ENTRIES}, l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY dir, task_id, base_timeline, is_candidate ORDER BY path DESC) = 1),
 r AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY dir, task_id, base_timeline ORDER BY coalesce(functional = 'success', false) DESC, is_candidate) = 1)"""
+HOME = "greatest(n_home, 1)"
+VISUAL = exact_ratio_sql(f"vs * {HOME} + hs", f"{HOME} * (n_visual + (n_home > 0)::INT)", 2)
 TASKS = f"""{RESOLVED}, g AS (SELECT dir, task_id, count(*) AS n_entries, count_if(functional = 'success')::BIGINT AS n_success,
-    count(CASE WHEN functional = 'success' THEN visual END) AS n_visual, sum(CASE WHEN functional = 'success' THEN visual END) AS vs, avg(homepage) AS home, sum(no_action)::BIGINT AS n_no_action
+    count(CASE WHEN functional = 'success' THEN visual END) AS n_visual, coalesce(sum(CASE WHEN functional = 'success' THEN visual END), 0) AS vs,
+    count(homepage) AS n_home, coalesce(sum(homepage), 0) AS hs, sum(no_action)::BIGINT AS n_no_action
   FROM r GROUP BY dir, task_id),
-t AS (SELECT dir, task_id, n_entries, n_success, n_visual,
-    CASE WHEN n_visual > 0 THEN round_even((vs + coalesce(home, 0)) / (n_visual + (home IS NOT NULL)::INT), 2) END AS visual_mean,
-    round_even(n_success / n_entries, 4) AS functional_mean, concat(n_success, '/', n_entries) AS rate, n_no_action FROM g)"""
-DIRS = f"""{TASKS}, d AS (SELECT dir, round_even(avg(visual_mean), 2) AS visual_mean, round_even(avg(functional_mean), 4) AS functional_mean,
+t AS (SELECT dir, task_id, n_entries, n_success, n_visual, CASE WHEN n_visual > 0 THEN {VISUAL} END AS visual_mean,
+    {exact_ratio_sql("n_success", "n_entries", 4)} AS functional_mean, concat(n_success, '/', n_entries) AS rate, n_no_action FROM g)"""
+
+
+def _mean(column: str, digits: int) -> str:
+    return exact_ratio_sql(f"sum({fixed_sql(column, digits)})", f"count({column}) * {10**digits}", digits)
+
+
+DIRS = f"""{TASKS}, d AS (SELECT dir, {_mean("visual_mean", 2)} AS visual_mean, {_mean("functional_mean", 4)} AS functional_mean,
     count(*) AS n_tasks, count(visual_mean) AS n_tasks_visual FROM t GROUP BY dir)"""
 
 
@@ -55,7 +64,7 @@ def e05(v: DataFrame) -> DataFrame:
     return S.dir_scores(S.task_scores(_resolved(v)))
 
 
-@query("e06_global_scores", "v_reports", sql=f"WITH {DIRS} SELECT round_even(avg(visual_mean), 2) AS visual_mean, round_even(avg(functional_mean), 4) AS functional_mean, count(*) AS n_dirs, coalesce(sum(n_tasks), 0)::BIGINT AS n_tasks FROM d")
+@query("e06_global_scores", "v_reports", sql=f"WITH {DIRS} SELECT {_mean('visual_mean', 2)} AS visual_mean, {_mean('functional_mean', 4)} AS functional_mean, count(*) AS n_dirs, coalesce(sum(n_tasks), 0)::BIGINT AS n_tasks FROM d")
 def e06(v: DataFrame) -> DataFrame:
     return S.global_scores(S.dir_scores(S.task_scores(_resolved(v))))
 
