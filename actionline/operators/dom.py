@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actionline.sources.shared import stored
+
 #: Elements that a user can act on, input types among them, roles, parts of class names.
 TAGS = frozenset(("button", "a", "select", "textarea", "label"))
 INPUTS = frozenset("button submit reset radio checkbox range file color date time month week email tel password text search number url".split())
@@ -219,20 +221,45 @@ def rematch(actions: DataFrame, nodes: DataFrame, order: str = "node_id") -> Dat
     return out.select("page_id", F.col("node_id").alias("old_id"), F.coalesce("same_tag", "same_text").alias("new_id"))
 
 
-def visual_changes(old: DataFrame, new: DataFrame, tolerance: int = 2) -> DataFrame:
+#: Elements of a text in a stripe from which on the stripe is cut by the other measures too.
+CROWD = 2000
+
+
+def visual_changes(old: DataFrame, new: DataFrame, tolerance: int = 2, crowd: int = CROWD) -> DataFrame:
     """Elements of new (page_id, el, text, tag, x, y, w, h) that no element of old matches.
 
-    A match has the same text and tag and lies within ``tolerance`` in every measure. The band on y stays
-    an equality join: old elements go under their stripe and both neighbours, so hot texts spread."""
+    A match has the same text and tag and lies within ``tolerance`` in every measure. The band on y stays an
+    equality join: old places go under their stripe and both neighbours. A first count tells the stripes in
+    which one text has more than ``crowd`` elements; these are cut by x, w and h as well, so at most
+    (4 * tolerance + 1) ** 4 old places ever meet in a cell, however often a text is repeated. Null measures
+    match nothing."""
     width = 4 * tolerance + 1
+    keys, sides, spot = ["page_id", "text", "tag"], [-1, 0, 1], ["x", "y", "w", "h"]
     stripe = lambda c: F.floor(F.col(c) / width)
-    o = old.select("page_id", "text", "tag", *[F.col(c).alias(f"o{c}") for c in "xywh"]).withColumn("stripe", F.explode(F.array(*[stripe("oy") + k for k in (-1, 0, 1)])))
+    o = old.select(*keys, *spot).withColumn("stripe", F.explode(F.array(*[stripe("y") + k for k in sides])))
     n = new.withColumn("stripe", stripe("y"))
-    near = [F.abs(F.col(c) - F.col(f"o{c}")) <= tolerance for c in "xywh"]
-    cond = (n["page_id"] == o["page_id"]) & n["text"].eqNullSafe(o["text"]) & n["tag"].eqNullSafe(o["tag"]) & (n["stripe"] == o["stripe"])
-    for c in near:
-        cond = cond & c
-    return n.join(o, cond, "left_anti").drop("stripe")
+    count = o.select(*keys, "stripe", F.lit(1).alias("o"), F.lit(0).alias("n")).union(n.select(*keys, "stripe", F.lit(0), F.lit(1))).groupBy(*keys, "stripe").agg(F.sum("o").alias("o"), F.sum("n").alias("n"))
+    full = stored(count.where(F.greatest("o", "n") > crowd).select(*[F.col(c).alias(f"__{c}") for c in [*keys, "stripe"]]), "crowds")
+    n_full = full.count()
+
+    def celled(d: DataFrame, around: bool) -> DataFrame:
+        if not n_full:
+            return d.withColumn("cell", F.lit(""))
+        f = F.broadcast(full) if n_full <= 100_000 else full
+        d = d.join(f.withColumn("__crowded", F.lit(True)), [d[c].eqNullSafe(f[f"__{c}"]) for c in [*keys, "stripe"]], "left")
+        at = [stripe(c) for c in ("x", "w", "h")]
+        cells = [F.concat_ws(",", at[0] + a, at[1] + b, at[2] + c) for a in sides for b in sides for c in sides] if around else [F.concat_ws(",", *at)]
+        d = d.withColumn("cell", F.explode(F.when(F.col("__crowded"), F.array(*cells)).otherwise(F.array(F.lit("")))))
+        return d.drop("__crowded", *[f"__{c}" for c in [*keys, "stripe"]])
+
+    o = celled(o.distinct() if n_full else o, True).select(*[F.col(c).alias(f"o_{c}") for c in [*keys, "stripe", "cell", *spot]])
+    n = celled(n, False)
+    cond = (n["page_id"] == o["o_page_id"]) & n["text"].eqNullSafe(o["o_text"]) & n["tag"].eqNullSafe(o["o_tag"]) & (n["stripe"] == o["o_stripe"])
+    if n_full:
+        cond = cond & (n["cell"] == o["o_cell"])
+    for c in spot:
+        cond = cond & (F.abs(n[c] - o[f"o_{c}"]) <= tolerance)
+    return n.join(o, cond, "left_anti").drop("stripe", "cell")
 
 
 def change_clusters(changes: DataFrame, viewport: int = 720, margin: int = 100) -> DataFrame:

@@ -39,3 +39,41 @@ def detect_events(frames: DataFrame, only_green: bool = False, noise: float = 0.
     scrolls = marks.where(~event & (F.col("event_no") >= 0)).groupBy("take_id", "event_no").agg(F.max("end").alias("scroll_end"))
     out = marks.where(event).join(scrolls, ["take_id", "event_no"], "left")
     return out.select("take_id", F.col("event_no").cast("int").alias("event_no"), "type", "start", "end", "scroll_end", F.col("scroll_end").isNotNull().alias("if_scroll"))
+
+
+def detect_events_in_chunks(frames: DataFrame, noise: float = 0.1, chunk: int = 100_000) -> DataFrame:
+    """T16 for takes of any length: the rows of ``detect_events``, by a scan over chunks of ``chunk`` frames.
+
+    Every chunk gives a small state: its last status, its first change, its last time and how many events it
+    counts. States of a take are combined in order, and each chunk is finished from what the chunks before
+    and after it give, so no task holds a take. frame_no counts the frames of a take from 0."""
+    key = ["take_id", "chunk"]
+    chunks = Window.partitionBy("take_id").orderBy("chunk")
+    f = frames.select("take_id", "frame_no", ((F.col("frame_no") + 1) / F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)).alias("t"), "status")
+    f = f.withColumn("chunk", F.floor(F.col("frame_no") / chunk))
+    state = f.groupBy(*key).agg(F.max_by("status", "frame_no").alias("last"), F.max("t").alias("last_t"))
+    state = state.withColumn("before", F.lag("last").over(chunks)).withColumn("last_t", F.max("last_t").over(Window.partitionBy("take_id"))).drop("last")
+    w = Window.partitionBy(*key).orderBy("frame_no")
+    f = f.withColumn("prev", F.lag("status").over(w)).join(state, key)
+    prev = F.coalesce("prev", "before")
+    runs = f.where(prev.isNull() | (prev != F.col("status"))).select(*key, "frame_no", "t", "status", "last_t")
+
+    first = runs.groupBy(*key).agg(F.min(F.struct("frame_no", "t", "status")).alias("first"))
+    first = first.select(*key, F.lead("first").over(chunks).alias("after"))
+    runs = runs.withColumn("next", F.lead(F.struct("frame_no", "t", "status")).over(w)).join(first, key).withColumn("next", F.coalesce("next", "after"))
+    stop, open_ = F.coalesce("next.t", "last_t"), F.col("next").isNull()
+    green = (F.col("status") == "green") & (open_ | (F.col("next.status") == "red") | (F.col("next.t") - F.col("t") > noise))
+    red, orange = F.col("status") == "red", F.col("status") == "orange"
+    at_frame = F.when(red, F.col("frame_no")).otherwise(F.coalesce("next.frame_no", F.lit((1 << 62) - 1)))  # an open run ends after all
+    marks = runs.where(green | red | orange).select(
+        "take_id", F.floor(at_frame / chunk).alias("chunk"), F.when(red, F.col("t")).otherwise(stop).alias("at"), F.when(red, 1).when(orange, 2).when(open_, 3).otherwise(0).alias("rank"),
+        F.when(red, "point").when(orange, "scroll").otherwise("duration").alias("type"), F.when(orange, stop).otherwise(F.col("t")).alias("start"), F.when(red, F.col("t")).otherwise(stop).alias("end"),
+    )
+    event = F.col("type") != "scroll"
+    count = marks.groupBy(*key).agg(F.count_if(event).alias("n"))
+    count = count.select(*key, F.coalesce(F.sum("n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("events_before"))
+    marks = marks.withColumn("here", F.sum(event.cast("int")).over(Window.partitionBy(*key).orderBy("at", "rank"))).join(count, key)
+    marks = marks.withColumn("event_no", F.col("events_before") + F.col("here") - 1)
+    scrolls = marks.where(~event & (F.col("event_no") >= 0)).groupBy("take_id", "event_no").agg(F.max("end").alias("scroll_end"))
+    out = marks.where(event).join(scrolls, ["take_id", "event_no"], "left")
+    return out.select("take_id", F.col("event_no").cast("int").alias("event_no"), "type", "start", "end", "scroll_end", F.col("scroll_end").isNotNull().alias("if_scroll"))

@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_shards(df: DataFrame, key: str = "id", limit: int = 1000, ranges: int = 200) -> DataFrame:
-    """Part (from 1) of each row, ``limit`` rows a part in the order of the key.
-
-    No task sees all rows: the key range is cut at a bounded, seeded sample of keys, each range is counted,
-    and rows are numbered within their range from its offset. Rows with equal keys follow by their content.
-    The sample is taken when the frame is made, which runs a small job; more ranges keep each one's window
-    small on very large tables, but one key that is repeated very often stays one range.
+def assign_shards(df: DataFrame, key: str = "id", limit: int = 1000, ranges: int = 200, sample: int = 40) -> DataFrame:
+    """Part (from 1) of each row, ``limit`` rows a part in the order of the key. Rows with equal keys follow
+    by their content, null keys come first.
+
+    No task sees all rows: ranges of (key, content) are cut at every ``sample``-th of a bounded, seeded sample of
+    rows, so ranges have about equally many rows and a key that is repeated very often is split like any other;
+    each range is counted, and rows are numbered within their range from its offset. The bounds are a subquery
+    of the plan: nothing runs when the frame is made. Only rows that are equal in all columns stay together.
     """
+    place = df.select("*", F.struct(F.col(key).alias("k"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("h")).alias("__place"))
     # the sample bounds only where ranges begin; all rows are numbered
-    cuts = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(ranges).collect())
-    bounds = F.array(*map(F.lit, cuts)).cast(f"array<{df.schema[key].dataType.simpleString()}>")
-    placed = df.withColumn("__range", F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col(key))), F.lit(0)))
+    drawn = place.select("__place").orderBy(F.xxhash64("__place"), "__place").limit(ranges * sample)
+    drawn = drawn.agg(F.sort_array(F.collect_list("__place")).alias("b"))
+    bounds = drawn.select(F.filter("b", lambda x, i: i % F.greatest(F.lit(1), F.ceil(F.size("b") / ranges)) == 0).alias("b")).scalar()
+    placed = place.withColumn("__bounds", bounds).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__place")))).drop("__bounds")
     counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     # one row for each range at most
     offsets = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    rn = F.row_number().over(Window.partitionBy("__range").orderBy(key, tie))
+    rn = F.row_number().over(Window.partitionBy("__range").orderBy("__place"))
     numbered = placed.join(F.broadcast(offsets), "__range").withColumn("__i", F.col("__offset") + rn - 1)
-    return numbered.withColumn("part", (F.floor(F.col("__i") / limit) + 1).cast("long")).drop("__range", "__offset", "__i")
+    return numbered.withColumn("part", (F.floor(F.col("__i") / limit) + 1).cast("long")).drop("__range", "__offset", "__i", "__place")
 
 
 def media_manifest(records: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -37,9 +39,10 @@ def media_manifest(records: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def media_index(manifest: DataFrame, media: DataFrame) -> DataFrame:
-    """Part, name, md5, size of present files. media: path, content (as binaryFile reads them)."""
-    sums = media.select("path", F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("size"))
-    return manifest.where("present").join(sums, "path").select("part", "name", "md5", "size")
+    """Part, name, md5, size of present files. media: path with md5 and size, as ``read_digests`` finds them,
+    or with content."""
+    sums = media if "md5" in media.columns else media.select("path", F.md5("content").alias("md5"), F.octet_length("content").cast("long").alias("size"))
+    return manifest.where("present").join(sums.select("path", "md5", "size"), "path").select("part", "name", "md5", "size")
 
 
 def duplicate_names(manifest: DataFrame) -> DataFrame:

@@ -161,6 +161,40 @@ def apply_cuts(t: Column, cuts: Column) -> Column:
     return F.greatest(F.lit(0.0), t - F.coalesce(gone, F.lit(0.0)))
 
 
+def cut_times(times: DataFrame, cuts: DataFrame, column: str = "start", block: float = 600.0) -> DataFrame:
+    """T10 as tables: times (id, column, any others) with ``column`` shifted by the cuts (id, start, end) of its id.
+
+    A sweep: cuts open and close between the times, and a running window over them tells how much has closed
+    and what is open. No pair of a time and a cut is ever made. The sweep goes by blocks of ``block`` seconds,
+    so a recording of any length is spread over tasks; a block takes what came before it from the sums of the
+    earlier blocks, of which there is one row each. A null time stays null; a null id has no cuts."""
+    rows = times.select(F.col("id").alias("__id"), F.col(column).cast("double").alias("__at"), F.struct("*").alias("__row"))
+    length, none = F.col("end") - F.col("start"), F.lit(None).cast(rows.schema["__row"].dataType)
+    marks = cuts.where((length > 0) & F.col("id").isNotNull()).select(
+        F.col("id").alias("__id"),
+        F.explode(F.array(
+            F.struct(F.col("start").cast("double").alias("__at"), F.lit(0.0).alias("__gone"), F.lit(1).alias("__open"), F.col("start").cast("double").alias("__since")),
+            F.struct(F.col("end").cast("double").alias("__at"), length.cast("double").alias("__gone"), F.lit(-1).alias("__open"), (-F.col("start")).cast("double").alias("__since")),
+        )).alias("__m"),
+    ).select("__id", "__m.*", none.alias("__row"))
+    sweep = rows.select("__id", "__at", F.lit(0.0).alias("__gone"), F.lit(0).alias("__open"), F.lit(0.0).alias("__since"), "__row").union(marks.select("__id", "__at", "__gone", "__open", "__since", "__row"))
+    sums = ["__gone", "__open", "__since"]
+    sweep = sweep.withColumn("__block", F.floor(F.col("__at") / block))
+    earlier = Window.partitionBy("__id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    # a block that cuts touch brings its sums along; the next ones take them from the latest such block
+    carry = sweep.where("__row is null").groupBy("__id", "__block").agg(*(F.sum(c).alias(c) for c in sums))
+    carry = carry.select("__id", "__block", *((F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(c)).alias(f"{c}_by") for c in sums))
+    blocks = sweep.select("__id", "__block").distinct().join(carry, ["__id", "__block"], "left")
+    before = [F.last(f"{c}_by", ignorenulls=True).over(earlier).alias(f"{c}_before") for c in sums]
+    within = Window.partitionBy("__id", "__block").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = sweep.join(blocks.select("__id", "__block", *before), ["__id", "__block"], "left")
+    gone, count, since = (F.coalesce(f"{c}_before", F.lit(0)) + F.sum(c).over(within) for c in sums)
+    out = out.select("__row", "__at", gone.alias("gone"), count.alias("open"), since.alias("since")).where("__row is not null")
+    shifted = F.greatest(F.lit(0.0), F.col("__at") - F.col("gone") - F.when(F.col("open") > 0, F.col("open") * F.col("__at") - F.col("since")).otherwise(0.0))
+    shifted = F.when(F.col("__at").isNotNull(), F.coalesce(shifted, F.greatest(F.lit(0.0), F.col("__at"))))
+    return out.select(*(shifted.alias(c) if c == column else F.col("__row")[c].alias(c) for c in times.columns))
+
+
 def keep_intervals(cuts: DataFrame, durations: DataFrame, least: float = 0.1) -> DataFrame:
     """What the cuts leave of [0, duration): id, start, end; pieces of ``least`` seconds or less go."""
     marks = cuts.select("id", "start", "end").unionByName(durations.select("id", F.col("duration").alias("start"), F.col("duration").alias("end"))).repartition("id")

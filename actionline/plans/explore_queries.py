@@ -94,7 +94,7 @@ def x08b(links: DataFrame) -> DataFrame:
     return D.nodes_by_id(n, n.select("page_id", (F.col("page_id") % 6).cast("int").alias("node_id")).distinct()).select("page_id", "node_id", "text")
 
 
-@query("x08_select_values", "v_forms", sql="WITH z AS (SELECT 1) SELECT page_id, 'one|none|three' AS texts, '1|none|three' AS vals FROM pages WHERE page_id % 5 = 3")
+@query("x08_select_values", "v_forms", sql="SELECT page_id, 'one|none|three' AS texts, '1|none|three' AS vals FROM pages WHERE page_id % 5 = 3")
 def x08c(forms: DataFrame) -> DataFrame:
     o = D.options_of(D.page_nodes(forms))
     return D.select_values(o).join(D.select_values(o.withColumn("value", F.lit(""))).withColumnRenamed("values", "texts"), ["page_id", "node_id"]).select("page_id", F.array_join("texts", "|").alias("texts"), F.array_join("values", "|").alias("vals"))
@@ -132,6 +132,11 @@ def x12(old: DataFrame, new: DataFrame) -> DataFrame:
     return D.visual_changes(old, new)
 
 
+@query("x12_crowded_texts", "v_snap_old", "v_snap_new", sql=f"WITH {CHANGES} SELECT * FROM vc")
+def x12b(old: DataFrame, new: DataFrame) -> DataFrame:
+    return D.visual_changes(old, new, crowd=3)  # nearly every stripe is cut by all four measures
+
+
 @query("x13_change_clusters", "v_snap_old", "v_snap_new", sql=f"""WITH {CHANGES}, o AS (SELECT *, y - lag(y + h) OVER (PARTITION BY page_id ORDER BY y, el) AS gap FROM vc WHERE y + h < -100 OR y > 820),
   c AS (SELECT *, sum(CASE WHEN gap >= 360 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY y, el) AS cluster FROM o)
   SELECT page_id, cluster::BIGINT AS cluster, count(*) AS n, min(y) AS top, max(y + h) AS bottom, (min(y) + max(y + h)) / 2 AS centre, greatest(0, (min(y) + max(y + h)) / 2 - 360) AS scroll_to FROM c GROUP BY page_id, cluster""")

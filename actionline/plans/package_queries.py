@@ -11,6 +11,8 @@ from actionline.operators import timeline as T
 from actionline.operators.frames import plan_clips
 from actionline.plans.frame_queries import OPS
 from actionline.plans.registry import query
+from actionline.sources import files
+from actionline.sources.shared import shared_folder
 
 SHARDS = "sh AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 100 + 1 AS part FROM (SELECT DISTINCT id FROM v_code))"
 
@@ -44,6 +46,16 @@ def m15(ops: DataFrame, media: DataFrame) -> DataFrame:
     return P.media_index(P.media_manifest(_records(ops), media), content)
 
 
+@query("m15_media_files", "v_ops", "v_media", sql=f"WITH {MANIFEST} SELECT part, name, md5(concat(path, length)) AS md5, length(concat(path, length)) AS size FROM mf JOIN v_media USING (path) WHERE present AND path LIKE './videos/%'")
+def m15c(ops: DataFrame, media: DataFrame) -> DataFrame:
+    """The recordings' own files: written to the shared folder, their digests read back from there."""
+    spark, folder = ops.sparkSession, shared_folder(ops.sparkSession, "media")
+    own = media.where("path like './videos/%'")
+    files.write_files(own.select("path", F.concat("path", F.col("length").cast("string")).alias("content")), folder)
+    found = files.read_digests(spark, folder).withColumn("path", F.concat(F.lit("./"), "path"))
+    return P.media_index(P.media_manifest(_records(ops), own), found)
+
+
 @query("m15_duplicate_names", "v_ops", "v_media", sql=f"WITH {MANIFEST}, hf AS (SELECT part, name, path FROM mf UNION ALL SELECT part, name, concat('again/', path) FROM mf WHERE part = 2) SELECT part, name, count(DISTINCT path) AS n FROM hf GROUP BY ALL HAVING count(DISTINCT path) > 1")
 def m15b(ops: DataFrame, media: DataFrame) -> DataFrame:
     m = P.media_manifest(_records(ops), media)

@@ -9,7 +9,7 @@ from actionline.operators import package
 from actionline.operators import scores as E
 from actionline.plans.registry import query
 from actionline.plans.timeline_queries import RUNS
-from actionline.sources import io
+from actionline.sources import files, io
 from actionline.sources.shared import shared_folder
 from actionline.streaming import stream
 
@@ -58,7 +58,7 @@ def r03(results: DataFrame) -> DataFrame:
     return stream.stream_progress(results)
 
 
-@query("s01_read_recordings", "v_ops", sql="WITH z AS (SELECT 1) SELECT id, seg_idx, op_idx, subtype, action, if_scroll, global_start_time, dom_text, input_val FROM v_ops")
+@query("s01_read_recordings", "v_ops", sql="SELECT id, seg_idx, op_idx, subtype, action, if_scroll, global_start_time, dom_text, input_val FROM v_ops")
 def s01(ops: DataFrame) -> DataFrame:
     detail = F.struct("action", "input_val", "value", F.struct(F.col("dom_text").alias("visible_text")).alias("dom_info")).alias("action_detail")
     o = ops.groupBy("id", "seg_idx").agg(F.sort_array(F.collect_list(F.struct("op_idx", "subtype", "if_scroll", "global_start_time", detail))).alias("operations"))
@@ -118,3 +118,30 @@ def r02(frames: DataFrame) -> DataFrame:
     out = stream.stream_events(spark.readStream.schema(timed.schema).parquet(f"{folder}/in"), timeout="1 minute")
     out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.EVENTS).parquet(f"{folder}/out")
+
+
+#: Reports of customers: (columns of the layout, the same in the twin).
+REPORT = """concat('run_', c_nationkey % 3) AS dir, concat(c_custkey % 41) AS task_id, CASE WHEN c_custkey % 3 = 0 THEN 'failed' ELSE 'success' END AS functional_score,
+  CASE WHEN c_custkey % 7 <> 0 THEN cast(c_custkey % 101 AS int) END AS visual_score, CASE WHEN c_custkey % 5 = 0 THEN cast(c_custkey % 60 AS int) END AS homepage_score, cast(c_custkey % 2 AS int) AS no_action, concat('r', c_custkey) AS name"""
+REAL = "concat('timeline_', c_custkey % 12) AS base_timeline, c_custkey % 4 = 1 AS is_candidate"
+SYNTHESIS = "cast(c_custkey % 50 AS int) AS segment, cast(floor(c_custkey / 50) AS int) AS operation"
+
+
+def _reports(customer: DataFrame, layout: str, columns: str) -> DataFrame:
+    """Reports written as a tree and read back; those of every ninth customer lie elsewhere, of every 13th are broken."""
+    paths = files.report_paths(customer.select(F.expr(f"struct({columns}, {REPORT}) AS r")).select("r.*"), layout)
+    key = F.regexp_extract("path", r"/r(\d+)\.json$", 1).cast("long")
+    paths = paths.select(F.when(key % 9 == 0, F.concat(F.lit("other/"), F.element_at(F.split("path", "/"), -1))).otherwise(F.col("path")).alias("path"), F.when(key % 13 == 0, "{ broken").otherwise(F.col("content")).alias("content"))
+    folder = shared_folder(customer.sparkSession, "reports")
+    files.write_files(paths, folder)
+    return io.read_reports(customer.sparkSession, folder, layout).withColumn("name", F.regexp_extract("path", r"([^/]+)\.json$", 1)).drop("path")
+
+
+@query("s06_read_reports_real", "customer", sql=f"SELECT {REAL}, {REPORT} FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 13 <> 0")
+def s06(customer: DataFrame) -> DataFrame:
+    return _reports(customer, "real", REAL)
+
+
+@query("s06_read_reports_synthesis", "customer", sql=f"SELECT {SYNTHESIS}, {REPORT} FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 13 <> 0")
+def s06b(customer: DataFrame) -> DataFrame:
+    return _reports(customer, "synthesis", SYNTHESIS)

@@ -53,7 +53,7 @@ def _parts(ops: DataFrame, media: DataFrame) -> DataFrame:
     return T.part_bounds(T.split_recordings(_dataset(ops, media)), media)
 
 
-@query("t01_normalize_time", "v_ops", sql=f"WITH z AS (SELECT 1) SELECT id, seg_idx, op_idx, coalesce({_grid('global_end_time')}, 0) AS t FROM v_ops")
+@query("t01_normalize_time", "v_ops", sql=f"SELECT id, seg_idx, op_idx, coalesce({_grid('global_end_time')}, 0) AS t FROM v_ops")
 def t01(ops: DataFrame) -> DataFrame:
     return ops.select("id", "seg_idx", "op_idx", T.normalize_time(F.col("global_end_time")).alias("t"))
 
@@ -127,6 +127,13 @@ def t10(ops: DataFrame, media: DataFrame) -> DataFrame:
     return d.select("id", "seg_idx", "o.op_idx", F.round(T.apply_cuts(F.col("o.start"), F.col("cuts")), 4).alias("start"))
 
 
+@query("t10_apply_cuts_table", "v_ops", "v_media", sql=f"""WITH {SEGMENTS}, {CUTS} SELECT m.id, seg_idx, op_idx, round(greatest(0, m.start - coalesce(sum(CASE WHEN m.start >= c."end" THEN c."end" - c.start ELSE m.start - c.start END), 0)), 4) AS start
+  FROM m LEFT JOIN c ON c.id = m.id AND c.start < m.start GROUP BY m.id, seg_idx, op_idx, m.start""")
+def t10b(ops: DataFrame, media: DataFrame) -> DataFrame:
+    times = _dataset(ops, media).select("id", F.explode("segments").alias("s")).select("id", "s.seg_idx", F.explode("s.ops").alias("o")).select("id", "seg_idx", "o.op_idx", "o.start")
+    return T.cut_times(times, _cuts(ops, media), block=60.0).withColumn("start", F.round("start", 4))
+
+
 @query("t11_keep_intervals", "v_ops", "v_media", sql=f"""WITH {SEGMENTS}, {CUTS}, a AS (SELECT id, start, "end" FROM c UNION ALL SELECT id, duration, duration FROM v_media),
   k AS (SELECT id, coalesce(lag("end") OVER (PARTITION BY id ORDER BY start, "end"), 0) AS s, start AS e FROM a) SELECT id, round(s, 4) AS start, round(e, 4) AS "end" FROM k WHERE e - s > 0.1""")
 def t11(ops: DataFrame, media: DataFrame) -> DataFrame:
@@ -208,6 +215,11 @@ def t16(frames: DataFrame) -> DataFrame:
     return EV.detect_events(frames)
 
 
+@query("t16_detect_events_in_chunks", "v_frames", sql=f"WITH {RUNS} SELECT * FROM ev")
+def t16c(frames: DataFrame) -> DataFrame:
+    return EV.detect_events_in_chunks(frames, chunk=40)
+
+
 @query("t16_only_green", "v_frames", sql=f"WITH {GREEN} SELECT * FROM gn")
 def t16b(frames: DataFrame) -> DataFrame:
     return EV.detect_events(frames, only_green=True)
