@@ -402,6 +402,41 @@ def test_near_vectors(spark):
     assert lattice.near_vectors(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("d", "sizes"), [(16, (1e-170, 1.0, 1e170, 5e-324 * 2**60, 1e300)), (1600, (1.0, 1e-160))])
+def test_near_vectors_of_any_magnitude(spark, d, sizes):
+    """Pairs near the threshold, some in doubt on the grid, tiny and huge alike, very long ones, a vec_id that repeats."""
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(24, d))
+    other = draw.normal(size=(24, d))
+    other -= (other * x).sum(1)[:, None] / (x * x).sum(1)[:, None] * x  # at right angles
+    other *= np.sqrt((x * x).sum(1) / (other * other).sum(1))[:, None]
+    cos = np.concatenate([np.full(18, 0.93) + np.linspace(-4e-4, 4e-4, 18), [0.5, 0.9299999, 0.9300001, 0.99, 1.0, 0.931]])
+    y = x * cos[:, None] + other * np.sqrt(1 - cos**2)[:, None]
+    base = np.concatenate([x, y])
+    rows, want = [], {}
+    for k, size in enumerate(sizes):
+        v = base / np.abs(base).max() * size
+        rows += [(1000 * k + i, list(map(float, r)), k, 1.0, "b") for i, r in enumerate(v)]
+        exact = v / size
+        near = exact @ exact.T / np.sqrt((exact**2).sum(1)[:, None] * (exact**2).sum(1)[None])
+        for i in range(len(v)):
+            want[1000 * k + i] = int((near[i] >= 0.93).sum() - 1)
+    rows.append((3, rows[3][1], 0, 1.0, "b"))  # the same vec_id and vector once more
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, a double, key string")).collect()
+    for n in (3, 27):
+        want[n] += n == 3 or near_to(rows, 3, 27)
+    found = {}
+    for r in got:
+        found.setdefault(r["vec_id"], set()).add(r["n_links"])
+    assert len(got) == len(rows) and found == {k: {n} for k, n in want.items()}
+
+
+def near_to(rows, i, j):
+    a, b = np.array(rows[i][1]), np.array(rows[j][1])
+    a, b = a / np.abs(a).max(), b / np.abs(b).max()
+    return bool(a @ b / np.sqrt(a @ a * (b @ b)) >= 0.93)
+
+
 def plain_shingles(text):
     """The contract's words and shingles, by a pattern and tuples."""
     words = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
