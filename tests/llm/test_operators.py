@@ -294,15 +294,72 @@ def test_wrapper_alignment():
     assert both[0][5][0][:3] == ["li", False, True]
 
 
-def test_wrapper_texts_that_all_pages_share_are_the_templates(spark):
-    page = "<body><article><h1>Same title</h1><p>{0} one</p><p>{0} two</p><div class='x'><p>Printed with care.</p></div></article><div>foot</div></body>"
-    htmls = [page.format(f"words {i}") for i in range(20)]
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 30])
+def test_article_text_stays_however_many_pages_share_it(spark, n):
+    page = "<body><article><h1>Same title</h1><p>{0} one</p><p>Markets closed mixed on Friday</p><p>{0} two</p></article><div>foot</div></body>"
+    htmls = [page.format(f"words {i}") for i in range(n)]
     got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, htmls)).collect()}
-    assert got == {i: f"Same title\nwords {i} one\nwords {i} two" for i in range(20)}
-    few = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, htmls[:5] * 6)).collect()}
-    assert few[0].endswith("Printed with care.")  # five different pages are too few to tell
-    other = htmls[:19] + [page.format("words").replace("Printed with care.", "Printed elsewhere.")]
-    assert {r["text"].splitlines()[-1] for r in wrappers.main_text(pages(spark, other)).collect()} == {"Printed with care.", "Printed elsewhere."}
+    assert got == {i: f"Same title\nwords {i} one\nMarkets closed mixed on Friday\nwords {i} two" for i in range(n)}
+
+
+def test_text_that_differs_between_pages_tells_the_place_of_articles(spark):
+    """No article, no main, no telling names: a long list that all pages share, and short texts that are their own."""
+    shared = "".join(f"<li>a rather long entry number {i} of the list that each page has</li>" for i in range(30))
+    page = "<body><div class='x'><ul>" + shared + "</ul></div><div class='y'><p>{}</p><p>{}</p></div></body>"
+    got = [r["text"] for r in wrappers.main_text(pages(spark, [page.format(f"first {i}", f"second {i}") for i in range(6)])).orderBy("page_id").collect()]
+    assert got == [f"first {i}\nsecond {i}" for i in range(6)]
+
+
+def test_words_of_boilerplate_inside_of_other_names(spark):
+    """Compound names that only contain such a word are content; short numbers keep columns apart; teasers go."""
+    body = "<html><body>{}</body></html>"
+    htmls = {
+        body.format("<article><div class='article-header'><h1>Title</h1></div><p class='share-price'>Up</p><section id='comment-on-trade'><p>Sub 0</p></section><p>a <b class='social-contract'>deal</b> made</p><p>end</p></article>"): "Title\nUp\nSub 0\na deal made\nend",
+        body.format("<article><p>one <span class='ad'>buy</span>two</p><div class='site-footer'>x</div><div class='post-comments'>y</div><div class='ad-banner top'>z</div></article>"): "one two",
+        body.format("<article><h1>Long story</h1><p>many words of it</p></article><article class='teaser'><h2>Other</h2><p>short</p></article><article><a href='/b'><h2>Third story</h2></a><p>x</p></article>"): "Long story\nmany words of it",
+        body.format("<article class='teaser'><h2>Only</h2><p>this</p></article>"): "Only\nthis",
+        body.format("<article><p>one</p></article><article><p>two</p></article>"): "one\ntwo",
+    }
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, list(htmls))).collect()}
+    assert [got[i] for i in range(len(htmls))] == list(htmls.values())
+    columns = [body.format(f"<div class='col1'><p>menu text of some length {i // 9}</p></div><div class='col2'><p>{'words and ' * 40}{i}</p></div><div class='col3'><p>links</p></div>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, columns)).collect()}
+    assert got == {i: f"{'words and ' * 40}{i}" for i in range(8)}
+
+
+def test_hosts_against_a_plain_model(spark):
+    """Random hosts from templates with known places of their text: what main_text returns is that text."""
+    draw = random.Random(12)
+    words = lambda n: " ".join(draw.choice(["stone", "river &amp; sea", "path", "wind", "<i>leaf</i>"]) for _ in range(n))
+    plain = lambda x: re.sub(r"<[^>]*>", "", x).replace("&amp;", "&")
+    rows, want = [], {}
+    for host in range(12):
+        kind = draw.choice(["article", "main", "div"])
+        opened, closed = {"article": ("<article>", "</article>"), "main": ("<main>", "</main>"), "div": ("<div class='story-1'>", "</div>")}[kind]
+        menu, side, foot = ("".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(draw.randint(1, 6))) for _ in range(3))
+        for page in range(draw.randint(2, 14)):
+            blocks = [words(draw.randint(12, 30)) + f" {page}" for _ in range(draw.randint(2, 6))]
+            mine = "".join(draw.choice(["<p>{}</p>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>"]).format(b) for b in blocks)
+            ad = draw.choice(["", "<div class='ad'>buy</div>", "<aside>more</aside>"])
+            i = len(rows)
+            rows.append((i, f"http://h{host}.example/{page}", f"<html><body><nav><ul>{menu}</ul></nav><div class='sidebar'>{side}</div><div class='w'>{opened}{mine}{ad}{closed}</div><footer>{foot}</footer></body></html>"))
+            want[i] = "\n".join(plain(b) for b in blocks)
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert got == want
+
+
+def test_pages_of_their_own_class_names_take_time_in_proportion(spark, monkeypatch):
+    htmls = [f"<body><div class='p{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}'><p>text {i}</p></div></body>" for i in range(4000)]
+    one = [wrappers.expression(wrappers.parse(x)) for x in htmls]
+    began = time.perf_counter()
+    whole = wrappers.merged(iter(one))
+    assert time.perf_counter() - began < 10 and wrappers._size(whole) <= 3 * wrappers.MANY
+    assert wrappers._mass(whole, (), False) == sum(wrappers._mass(x, (), False) for x in one)
+    monkeypatch.setattr(wrappers, "FAN", 5)  # several rounds of groups
+    rows = spark.createDataFrame([("h", x) for x in htmls[:300]], "host string, html string")
+    assert wrappers.infer(rows).count() == 1
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(pages(spark, htmls[:40])).collect()}
+    assert got == {i: f"text {i}" for i in range(40)}
 
 
 def test_wrappers_are_the_same_for_any_layout(spark):
