@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from actionline.operators.membership import not_in
+
 #: What an operation acts on when the page gives no text.
 GENERIC = {"click": "a button", "input": "an input field", "select": "a select box"}
 #: Kinds of frames and what they show; all others are transitions.
@@ -101,8 +103,13 @@ def _label_of(kind: Column) -> Column:
     return F.coalesce(F.element_at(names, kind), F.lit("transition"))
 
 
-def remaining(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
-    """Rows whose key is not among the finished ones; null keys match null keys."""
+def remaining(items: DataFrame, done: DataFrame, key: str = "id", large: bool = False) -> DataFrame:
+    """Rows whose key is not among the finished ones; null keys match null keys.
+
+    large: for sets of finished keys that no task can hold; a filter keeps rows that are surely left from
+    being shuffled."""
+    if large:
+        return not_in(items, done, key)
     d = done.select(F.col(key).alias("__done")).distinct()
     return items.join(d, items[key].eqNullSafe(d["__done"]), "left_anti")
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from actionline.operators.membership import not_in
 from actionline.sources.shared import stored
 
 #: Elements that a user can act on, input types among them, roles, parts of class names.
@@ -202,11 +203,14 @@ def state_hash(nodes: DataFrame, order: str = "node_id", *fields: str) -> DataFr
     return nodes.groupBy("page_id").agg(F.md5(F.to_json(listed).cast("binary")).alias("state"))
 
 
-def dedup_states(states: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The first page of each state, without those of states seen before."""
+def dedup_states(states: DataFrame, seen: DataFrame | None = None, large: bool = False) -> DataFrame:
+    """The first page of each state, without those of states seen before. large: for seen states that no
+    task can hold; states that are surely new are not shuffled again."""
     w = Window.partitionBy("state").orderBy("page_id")
     out = states.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
-    return out if seen is None else out.join(seen.select("state"), "state", "left_anti")
+    if seen is None:
+        return out
+    return not_in(out, seen, "state") if large else out.join(seen.select("state"), "state", "left_anti")
 
 
 def rematch(actions: DataFrame, nodes: DataFrame, order: str = "node_id") -> DataFrame:

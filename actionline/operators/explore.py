@@ -24,6 +24,27 @@ def element_coverage(steps: DataFrame, approx: bool = False) -> DataFrame:
     return steps.withColumn("__s", sign).groupBy("id").agg(count("__s").alias("tried"), count(F.when(F.col("pass_flag"), F.col("__s"))).alias("passed"))
 
 
+#: Registers of a sketch, as a power of two, and the relative error that their number gives (one standard deviation).
+SKETCH_LOG2 = 11
+SKETCH_ERROR = 1.04 / (1 << SKETCH_LOG2) ** 0.5
+
+
+def coverage_sketches(steps: DataFrame, run: str = "run_id") -> DataFrame:
+    """For each run and id a sketch of the elements tried and of those passed, to be stored with the run."""
+    sign = F.xxhash64("element_text", F.col("element_id").cast("string"))
+    sketch = lambda c: F.hll_sketch_agg(c, SKETCH_LOG2)
+    return steps.groupBy(run, "id").agg(sketch(sign).alias("tried"), sketch(F.when(F.col("pass_flag"), sign)).alias("passed"))
+
+
+def coverage_of_sketches(sketches: DataFrame) -> DataFrame:
+    """About how many different elements were tried and passed over all runs, from their sketches alone.
+
+    Sketches of a new run are united with the old ones; no run is read again. Estimates are off by SKETCH_ERROR
+    of the count in one standard deviation."""
+    count = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    return sketches.groupBy("id").agg(count("tried"), count("passed"))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """Counts by outcome."""
     return results.groupBy("type").agg(F.count("*").alias("n"))

@@ -83,6 +83,11 @@ def p06(think: DataFrame, code: DataFrame) -> DataFrame:
     return A.remaining(think, code).select("id", "line_no")
 
 
+@query("p06_remaining_large", "v_think", "v_code", sql="SELECT id, line_no FROM v_think ANTI JOIN v_code USING (id)")
+def p06b(think: DataFrame, code: DataFrame) -> DataFrame:
+    return A.remaining(think.select("id", "line_no"), code, large=True)
+
+
 @query("p07_run_rounds", "v_calls", sql="SELECT id, CASE WHEN length(function_call_generate) % 3 = 0 THEN 0 WHEN length(function_call_generate) % 3 = 1 THEN 1 END AS round FROM v_calls WHERE length(function_call_generate) % 3 < 2")
 def p07(calls: DataFrame) -> DataFrame:
     step = lambda left, k: left.where(F.length("function_call_generate") % 3 == k).select("id", F.lit(k).alias("round"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from actionline.operators import dom as D
 from actionline.operators import explore as X
 from actionline.plans.registry import query
+from actionline.sources.shared import stored
 
 
 @query("x01_pass_stats", "v_steps", sql="""SELECT id, count(*) AS trials, count_if(pass_flag)::BIGINT AS passed, round(count_if(pass_flag) / count(*), 6) AS pass_rate,
@@ -21,6 +22,15 @@ def x02(steps: DataFrame) -> DataFrame:
     return X.element_coverage(steps)
 
 
+@query("x02_coverage_over_runs", "v_steps", sql="""SELECT id, count(DISTINCT concat(element_text, ':', element_id)) AS tried, count(DISTINCT CASE WHEN pass_flag THEN concat(element_text, ':', element_id) END) AS passed, true AS near FROM v_steps GROUP BY id""")
+def x02b(steps: DataFrame) -> DataFrame:
+    """Sketches of five runs, stored and united, beside the exact counts; near: within the sketches' error bound."""
+    sketches = stored(X.coverage_sketches(steps.withColumn("run_id", F.col("step_idx") % 5)), "sketches")
+    about = X.coverage_of_sketches(sketches).withColumnsRenamed({"tried": "t", "passed": "p"})
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 4 * X.SKETCH_ERROR * F.col(b))
+    return X.element_coverage(steps).join(about, "id").select("id", "tried", "passed", (near("t", "tried") & near("p", "passed")).alias("near"))
+
+
 @query("x03_run_summary", "v_results", sql="SELECT type, count(*) AS n FROM v_results GROUP BY 1")
 def x03(results: DataFrame) -> DataFrame:
     return X.run_summary(results)
@@ -116,6 +126,12 @@ def x10(links: DataFrame) -> DataFrame:
     return D.dedup_states(D.state_hash(_links(links), "node_id", "text")).select("page_id")
 
 
+@query("x10_dedup_seen_states", "v_links", sql="WITH st AS (SELECT page_id, string_agg(concat(pos, text), '|' ORDER BY pos) AS s FROM v_links GROUP BY page_id) SELECT min(page_id) AS page_id FROM st WHERE s NOT IN (SELECT s FROM st WHERE page_id % 10 = 0) GROUP BY s")
+def x10b(links: DataFrame) -> DataFrame:
+    states = D.state_hash(_links(links), "node_id", "text")
+    return D.dedup_states(states, states.where("page_id % 10 = 0"), large=True).select("page_id")
+
+
 @query("x11_rematch", "v_links", sql="""WITH n AS (SELECT page_id - 1 AS page_id, pos * 2 AS node_id, text, CASE WHEN pos % 2 = 0 THEN 'A' ELSE 'BUTTON' END AS tag FROM v_links WHERE page_id > 0), a AS (SELECT page_id, pos AS node_id, text, 'A' AS tag FROM v_links)
   SELECT a.page_id, a.node_id AS old_id, coalesce((SELECT min(n.node_id) FROM n WHERE n.page_id = a.page_id AND n.text = a.text AND n.tag = a.tag), (SELECT min(n.node_id) FROM n WHERE n.page_id = a.page_id AND n.text = a.text)) AS new_id
   FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.page_id = a.page_id AND n.node_id = a.node_id)""")

@@ -11,7 +11,7 @@ from actionline.plans.registry import query
 from actionline.plans.timeline_queries import RUNS
 from actionline.sources import files, io
 from actionline.sources.shared import shared_folder
-from actionline.streaming import stream
+from actionline.streaming import ordered, stream
 
 
 @query("s04_load_urls", "v_urls", sql="SELECT min(line_no) AS line_no, trim(url) AS url FROM v_urls WHERE trim(coalesce(url, '')) <> '' GROUP BY 2")
@@ -53,6 +53,19 @@ def s07b(ops: DataFrame, media: DataFrame) -> DataFrame:
     return io.missing_media(_paths(ops), media)
 
 
+@query("r02_stream_events_in_order", "v_frames", sql=f"WITH {RUNS} SELECT * FROM ev")
+def r02b(frames: DataFrame) -> DataFrame:
+    """Frames dealt to three batches by a hash, so each take comes in any order, and a batch that ends the stream."""
+    spark, folder = frames.sparkSession, shared_folder(frames.sparkSession, "stream")
+    timed = frames.select("take_id", F.col("frame_no").cast("long").alias("frame_no"), "fps", "status", F.timestamp_seconds(1_600_000_000 + F.col("frame_no") * 60).alias("ts"))
+    for k in range(3):
+        timed.where(F.pmod(F.xxhash64("take_id", "frame_no"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/in")
+    ordered.with_end(timed, days=90).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    ordered.started(spark, ordered.stream_events_in_order(source, late="40 days", end="1 day"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(stream.EVENTS).parquet(f"{folder}/out").where("take_id is not null")
+
+
 @query("r03_stream_progress", "v_results", sql="SELECT type, count(*) AS n FROM v_results GROUP BY 1")
 def r03(results: DataFrame) -> DataFrame:
     return stream.stream_progress(results)
