@@ -3,6 +3,11 @@
 A token whose letters were replaced, spaced out or repeated is a lattice of characters: each observed
 character may stand for itself, for the letters that it looks like, or for nothing. The likeliest path
 under a character trigram model of the whole corpus (Viterbi) is what is scored, beside the plain words.
+
+Which stretches of a text go into a lattice is no matter of patterns: a text is folded to the letters that
+its characters may stand for, without all that may be a spacer and without repeats, and a learned word
+found in there, anywhere that it doesn't stand openly, marks a stretch. Whether it is the word that stands
+there, or only its letters in a row, the model decides.
 """
 
 from __future__ import annotations
@@ -27,13 +32,54 @@ LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "¥": "y", "(": "c", "<": "c", "#": "h",
 }
-SPACERS = " ._-*~,/"
+LOOKS |= {chr(ord(c) + 0xFEE0): c for c in "abcdefghijklmnopqrstuvwxyz"}  # the full-width forms
+#: Letters of other alphabets, by the letter that they look like.
+LOOKS |= {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
+}
+#: What parts letters, or looks like a letter but may do so too, and signs without width.
+SPACERS = " ._-*~,/:;'\"`=\\^·•…–—&%"
+EITHER, HIDDEN = "|+!", "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 K = len(LETTERS) + 1
 _CODE = np.zeros(0x10000, np.int64)
 _CODE[[ord(c) for c in LETTERS]] = np.arange(1, K)
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 #: Costs of the channel, as negative logarithms: a look-alike, a dropped repeat, a dropped spacer, any other dropped sign.
-LIKE, REPEAT, SPACER, DROP = 1.0, 1.0, 0.5, 4.0
+LIKE, REPEAT, SPACER, DROP = 1.0, 1.0, 0.5, 8.0
+#: A spacer that does part words, by the longer of the pieces beside it: words of few letters are rarer.
+PARTS = (3.0, 3.0, 2.0, 1.5, 0.5)
+#: A dropped spacer beside a piece that is long enough to be a word.
+JOIN = 5.0
+
+
+def _folded() -> np.ndarray:
+    """For each code point the number of the letter that it may stand for, 0 for what may part letters. Letters that
+    one sign looks like are one."""
+    same = {"i": "l", "g": "b"}
+    out = np.zeros(0x10000, np.uint8)
+    for c in LETTERS:
+        out[ord(c)] = _INDEX[same.get(c, c)]
+    for c, letters in LOOKS.items():
+        out[ord(c)] = _INDEX[same.get(letters[0], letters[0])]
+    return out
+
+
+_FOLD = _folded()
+_FOLD_EITHER = _FOLD.copy()
+_FOLD_EITHER[[ord(c) for c in EITHER]] = 0
+
+
+def skeleton(text: str, fold: np.ndarray = _FOLD) -> tuple[str, np.ndarray]:
+    """The letters that a text in lower case may stand for, without spacers and repeats, and the place of each."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = fold[np.where(raw < 0x10000, raw, 0)]
+    at = np.flatnonzero(code)
+    code = code[at]
+    if len(at):
+        keep = np.concatenate([[True], code[1:] != code[:-1]])
+        at, code = at[keep], code[keep]
+    return code.tobytes().decode("latin-1"), at
 
 _TOKEN = re.compile(r"\S+").findall
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -42,6 +88,8 @@ _RUN = re.compile(r"(?<![^\W\d_])[^\s._*~,/-](?:[ ._*~,/-]+[^\s._*~,/-]){2,}(?![
 #: Runs of letters by ones and twos.
 _SHORT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,2}(?:(?:\s{1,3}|[._*~/-])[^\W\d_]{1,2}){2,}(?![^\W\d_])").findall
 _WIDE = re.compile(r"[ ._*~,/-]{2,}").split
+_PIECE = re.compile(rf"([\s{re.escape(SPACERS)}]+)").split
+_DOUBLE = re.compile(r"(.)\1").search
 _TWICE = re.compile(r"([^\W\d_])\1").finditer
 _DISGUISED = re.compile(r"[^\W\d_][^\s]*?[0-9@$!|+€£¥(<#.*_~-]|[0-9@$!|+€£¥(<#]+[^\W\d_]|([^\W\d_])\1\1").search
 _EDGE = ".,;:!?\"'`*%&#)]}([{<>"
@@ -92,6 +140,8 @@ def language_model_of(counts: np.ndarray) -> np.ndarray:
 def options(token: str) -> list[list[tuple[str, float]]]:
     """The lattice of a token in lower case: for each character what it may stand for and at what cost."""
     out = []
+    pieces = [len(x) for x in _PIECE(token)]  # of letters and spacers in turn
+    longer = [max(pieces[k - 1], pieces[k + 1]) if k % 2 else 0 for k, n in enumerate(pieces) for _ in range(n)]
     for i, c in enumerate(token):
         here: list[tuple[str, float]] = []
         if c in _INDEX:
@@ -100,9 +150,12 @@ def options(token: str) -> list[list[tuple[str, float]]]:
                 here.append(("", REPEAT))
         elif c in LOOKS:
             here += [(x, LIKE) for x in LOOKS[c]]
-            here.append(("", DROP if i == 0 or token[i - 1] != c else REPEAT))
-        elif c in SPACERS:
-            here += [("", SPACER), (" ", SPACER)]
+            if not c.isalpha() or i and token[i - 1] == c:
+                here.append(("", 2 * LIKE if c in EITHER else DROP if i == 0 or token[i - 1] != c else REPEAT))
+        elif c in HIDDEN:
+            here.append(("", 0.0))
+        elif c in SPACERS or c.isspace():
+            here += [("", SPACER if longer[i] < len(PARTS) - 1 else JOIN), (" ", PARTS[min(longer[i], len(PARTS) - 1)])]
         else:
             here += [(" ", 0.0), ("", DROP)]
         out.append(here)
@@ -177,14 +230,57 @@ def _hash(text: str) -> int:
 
 @dataclass
 class Model:
-    """language: the character model. weights: feature hash -> share of toxic among the documents that have it."""
+    """language: the character model. weights: feature hash -> share of toxic among the documents that have it.
+    words: the words of the sample that have such a feature; where their letters stand, the lattice decides."""
 
     language: np.ndarray
     weights: dict[int, float] = field(default_factory=dict)
     rest: float = 0.0
+    words: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         self.cache: dict[str, float] = {}
+        self.found = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "cache": {}, "found": None}  # each worker builds its own
+
+    def hidden(self, text: str) -> set[str]:
+        """The stretches of a text in lower case in which a word may be hidden: from the beginning of the token that
+        its first letter is in to the end of that of its last."""
+        if self.found is None:
+            import ahocorasick
+
+            self.found = ahocorasick.Automaton()
+            for w in self.words:
+                letters, _ = skeleton(w)
+                if len(letters) >= 3:
+                    self.found.add_word(letters, len(letters))
+            self.found.make_automaton()
+        out: set[str] = set()
+        if not len(self.found):
+            return out
+        for fold in (_FOLD, _FOLD_EITHER)[: 1 + any(c in text for c in EITHER)]:
+            letters, at = skeleton(text, fold)
+            for end, n in self.found.iter(letters):
+                i, j = int(at[end - n + 1]), int(at[end]) + 1
+                if (part := text[i:j]).isalpha() and all(c in _INDEX for c in part) and not _DOUBLE(part):
+                    continue  # it stands openly, within a token
+                while i and text[i - 1] in _INDEX:
+                    i -= 1
+                while j < len(text) and (text[j] in _INDEX or text[j] == text[j - 1]):
+                    j += 1
+                out.add(text[i:j])
+        return out
+
+    def restored(self, part: str) -> float:
+        """The weight of what the likeliest reading of a stretch has beside its plain words."""
+        key = f" {part}"  # no token begins with a blank
+        if (found := self.cache.get(key)) is None:
+            plain, get = set(_WORDS(part)), self.weights.get
+            words = (w for w in viterbi(part, self.language).split() if w not in plain)
+            found = self.cache[key] = max((get(_hash(f), 0.0) for w in words for f in features(w)), default=0.0)
+        return found
 
     def weight(self, token: str) -> float:
         if (found := self.cache.get(token)) is None:
@@ -198,8 +294,7 @@ class Model:
         """How likely some word of the restored text is a toxic one, each different token being evidence of its own."""
         text = (text or "").lower()
         clean = math.prod(1 - self.weight(x) for x in sorted(set(_TOKEN(text))))
-        if clean > 0.01:
-            clean *= math.prod(1 - self.weight(x) for x in sorted(set(_spaced(text))))
+        clean *= math.prod(1 - self.restored(x) for x in sorted(self.hidden(text)))
         return 1 - clean if clean < 1 else self.rest
 
 
@@ -274,7 +369,18 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least: int = 5,
         ratio = p * math.log(rate / base) + n * math.log((1 - rate) / (1 - base))
         if rate >= share and ratio > math.log(1e5):
             weights[f] = rate
-    model = Model(language, weights)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for w in set(_WORDS((text or "").lower())) - seen:
+                    if any(_hash(f) in weights for f in features(w)):
+                        seen.add(w)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["word"])
+
+    # a word has to come often enough to be learned, so there are fewer than words in the sample by far
+    known = rows.where("toxic = 1").select("text").mapInArrow(words, "word string").distinct().orderBy("word").collect()
+    model = Model(language, weights, words=tuple(r["word"] for r in known))
     scored = rows.select("toxic", _scorer(model)("text").alias("score")).where("score < 0.5").agg(F.avg("toxic")).first()[0]
     model.rest = min(0.49, scored or 0.0)
     return model

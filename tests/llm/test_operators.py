@@ -658,3 +658,46 @@ def test_mixing_counts_and_edges(spark):
     assert all(1 <= c <= 3 for c in chosen.values()) and mixing.mixed(d.limit(0)).count() == 0
     total, used = sum(len((t or "").split()) for t in texts), mixing.chosen(d).selectExpr("sum(n * copies)").first()[0]
     assert 0.6 * total < used <= 0.81 * total
+
+
+LEET, ALIKE = str.maketrans("oieastl", "013@$71"), str.maketrans("acekmoptxyiβ", "асекмортхуіβ")
+FORMS = {
+    "blanks": " ".join, "double blanks": "  ".join, "tabs": "\t".join, "lines": "\n".join, "dots": ".".join, "pipes": "|".join, "plus": "+".join, "zero width": "​".join, "no-break": "\xa0".join,
+    "twos": lambda w: " ".join(w[i : i + 2] for i in range(0, len(w), 2)), "threes": lambda w: "\n".join(w[i : i + 3] for i in range(0, len(w), 3)), "halves": lambda w: f"{w[: len(w) // 2]} {w[len(w) // 2 :]}",
+    "doubled": lambda w: "".join(c * 2 for c in w), "repeats": lambda w: "".join(c * 3 for c in w), "leet": lambda w: w.translate(LEET), "leet and blanks": lambda w: " ".join(w.translate(LEET)),
+    "other letters": lambda w: w.translate(ALIKE), "full width": lambda w: "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in w), "capitals and dashes": lambda w: "-".join(w.upper()), "quoted": lambda w: f'"{" ".join(w)}"',
+}
+
+
+def test_every_way_of_parting_and_disguising_is_decoded(spark):
+    from actionline.llm.common import table
+
+    d, y = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    model = toxicity.fit(d, y)
+    known = [w for w in model.words if model.weights.get(toxicity._hash(f"{w}$"), 0) >= 0.9 and len(w) >= 4]
+    assert len(known) >= 10
+    around = [("The and thanedble ", ", anea and thanea."), ("Nicht aulich für ", " sch erüver."), ("Of thndouha thre ", " atre with.")]
+    for name, form in FORMS.items():
+        hit = sum(model.score(a + form(w) + b) >= 0.5 for k, w in enumerate(known) for a, b in [around[k % 3]])
+        assert hit >= 0.85 * len(known), (name, hit, len(known))
+    # what the lattice finds between the words of clean documents is next to nothing
+    clean = [r["text"].lower() for r in d.join(y.where("toxic = 0"), "doc_id").where("text is not null").limit(1500).collect()]
+    assert sum(any(model.restored(p) > 0.5 for p in model.hidden(t)) for t in clean) <= 3
+
+
+def test_hidden_words_are_found_wherever_their_letters_stand():
+    """Every stretch whose folded letters are a word's, unless it stands openly, against all stretches of a text."""
+    draw = random.Random(10)
+    model = toxicity.Model(np.zeros((toxicity.K,) * 3), {}, 0.0, ("abba", "cde", "tide"))
+    fold = lambda t: re.sub(r"(.)\1+", r"\1", "".join({"i": "l", "1": "l", "@": "a"}.get(c, c) for c in t if c in "abcdeitl1@"))
+    for _ in range(400):
+        text = "".join(draw.choice("aabbcdeitl1@ .​\t") for _ in range(draw.randint(1, 14)))
+        want = False
+        for i, j in itertools.combinations(range(len(text) + 1), 2):
+            part = text[i:j]
+            if fold(part) in {fold(w) for w in model.words} and not (part.isalpha() and part == fold(part).replace("l", part[part.find("l")] if "l" in part else "i") and not re.search(r"(.)\1", part)):
+                want = want or fold(part[:1]) != "" and fold(part[-1:]) != ""
+        open_ = {w for w in re.findall("[a-z]+", text)}
+        if not any(fold(w) in fold(o) for w in model.words for o in open_):
+            assert bool(model.hidden(text)) == want, (text, model.hidden(text))
+    assert model.hidden("so c d e x") == {"c d e"} and model.hidden("cde") == set() and model.hidden("xc.d​e1") == {"xc.d​e1"[:-1]}
