@@ -37,7 +37,7 @@ def m02(think: DataFrame, code: DataFrame) -> DataFrame:
 
 @query("m02_merge_branches_late", "v_think", "v_code", sql=f"WITH {MERGED} SELECT id, line_no, reason, md5(merged) AS merged_md5 FROM mg")
 def m02b(think: DataFrame, code: DataFrame) -> DataFrame:
-    return M.merge_branches_late(M.last_by_id(think), M.last_by_id(code)).select("id", "line_no", "reason", F.md5(F.col("merged").cast("binary")).alias("merged_md5"))
+    return M.merge_branches_late(think, code).select("id", "line_no", "reason", F.md5(F.col("merged").cast("binary")).alias("merged_md5"))
 
 
 @query("m03_merge_stats", "v_think", "v_code", sql=f"WITH {MERGED} SELECT coalesce(reason, 'merged') AS reason, count(*) AS n FROM mg GROUP BY 1")
