@@ -1,9 +1,11 @@
 """Operator 8: near-duplicates by banded MinHash with sequential Bayesian verification.
 
 Only classes of equal shingle sets are compared, so exact copies cost one row each. Candidates come
-from band buckets, but never as all pairs of a bucket: first each bucket's smallest class is held
-against the others; then only pairs across different components so far remain, and these are pruned
-inside tasks, batch by batch of the signature, before a row is made of them.
+from band buckets: first each bucket's smallest class is held against the others, which leaves most
+buckets with one component. In the rest only classes of different components meet, in blocks of bounded
+size inside tasks, where batch after batch of the signature prunes them before a row is made of any. So
+a bucket costs its size, but for one with many classes that are in no link with each other: there, time
+and what is sent grow with the square of their number over BLOCK, as no link may be lost.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actionline.llm.common import id_text, only, table, written
+from actionline.llm.common import deleted, id_text, only, table, written
 from actionline.llm.graph import components
 
 BANDS, ROWS, BATCH = 32, 4, 32
@@ -197,8 +199,8 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int, group: int = 64) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> DataFrame:
-    """Candidate pairs between different components within a bucket, by signature.
+def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> DataFrame | None:
+    """Candidate pairs between different components within a bucket, by signature; None if no bucket has two.
 
     members: bucket, key, comp, n, sig. In a bucket, the component with most members is the large side;
     all others are held against it and against each other, in blocks of BLOCK x BLOCK rows. best: (a, b),
@@ -209,6 +211,9 @@ def _across(members: DataFrame, similarity: float, miss: float, best: bool) -> D
     size = size.groupBy("bucket").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("c"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
     # written, so that the join below meets it as a table of known size, and can deal a hot bucket's rows to several tasks
     size = written(size.select("bucket", "top", F.ceil(F.col("total") / BLOCK).cast("long").alias("alls"), F.ceil((F.col("total") - F.col("c")) / BLOCK).cast("long").alias("smalls")), "buckets")
+    if size.isEmpty():
+        deleted(members.sparkSession, size)
+        return None
     m = members.join(size, "bucket").withColumn("small", F.col("comp") != F.col("top")).withColumn("h", F.xxhash64("key"))
     # block (s, l): the s-th part of the smaller components against the l-th part of all rows
     as_small = m.where("small").select("*", F.pmod("h", F.col("smalls")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("alls") - 1)).alias("l"), F.lit(0).alias("side"))
@@ -344,6 +349,23 @@ def _blocks(probes: DataFrame, named: DataFrame, sets: DataFrame, percent: int,
     return rows.repartition(*order).sortWithinPartitions(*order, "kind", "key").mapInArrow(run, "a long, b long")
 
 
+def _united(found: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of the components found so far, joined where links (a, b) between them say so: only their
+    roots are run through again, as there are few such links."""
+    root = lambda x: found.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    named = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    between = written(named.where("a != b").distinct(), "between")
+    if between.isEmpty():
+        deleted(found.sparkSession, between)
+        return found
+    joined = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    known = found.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    alone = joined.join(found.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    out = written(known.union(alone), "roots")
+    deleted(found.sparkSession, between)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, texts: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -377,20 +399,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4, text
 
     star = members.where("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
     star = star.join(sig("a"), "a").join(sig("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    edges = written(_exact(written(_bayes(star, similarity, miss), "pairs"), sets, percent), "links")
-    found = components(edges)
+    candidates = written(_bayes(star, similarity, miss), "pairs")
+    links = written(_exact(candidates, sets, percent), "links")
+    found, gone = components(links), [candidates, links, members, nodes, sets]
     # each bucket's pivot has been held against all others by now, so most buckets are done
     rest = members.where("key != pivot")
     for best in (True, False):
         named = rest.join(found, rest.key == found.node, "left").select("bucket", "key", F.coalesce("root", "key").alias("comp"))
-        pairs = written(_across(named.join(nodes.select("key", "n", "sig"), "key"), similarity, miss, best), "pairs")
+        pairs = _across(named.join(nodes.select("key", "n", "sig"), "key"), similarity, miss, best)
+        if pairs is None:
+            break
+        pairs = written(pairs, "pairs")
         if best:
             more = _exact(pairs, sets, percent)
         else:
             classes_of = nodes.select("key").join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("comp"))
             more = _blocks(pairs, classes_of, sets, percent)
-        edges = edges.union(written(more, "links"))
-        found = components(edges)
+        links = written(more, "links")
+        found, gone = _united(found, links), [*gone, pairs, links]
+    for table_ in gone:
+        deleted(docs.sparkSession, table_)
     named = rows.select("doc_id", "n", *extra, F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"))
     named = named.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("root", "key"))
     # components of one row are named by it; the others are a table, so a large one's rows can go to several tasks
