@@ -77,8 +77,8 @@ def chosen(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS,
     Documents with equal doc_id stand or fall together. Null language, source or doc_id count as empty
     strings; null and empty texts have no words and go with the prefix. Empty table: empty result. Where
     the order of a leaf is cut is found by prefix sums over two digits of the hash after another: a leaf
-    gives 256 sums a step, and only the rows that share six digits with the cut are put in order, so no
-    task holds a whole leaf. Documents are then filtered where they are: no text is shuffled.
+    gives 256 sums a step, and only the rows that share four digits with the cut, one in 65,536, are put in
+    order, so no task holds a whole leaf. Documents are then filtered where they are: no text is shuffled.
     """
     rows = tree(docs, domains)
     narrow = written(rows.select(*LEVELS, "id", "n"), "words")
@@ -88,7 +88,7 @@ def chosen(docs: DataFrame, weights: Mapping[str, Mapping[str, int]] = WEIGHTS,
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("whole") + 1).cast("string"), "id").cast("binary"))
     edge = plan.select(*LEVELS, "whole", F.lit("").alias("prefix"), F.col("more").alias("left"))
     near = narrow.join(edge, LEVELS).withColumn("h", order)
-    for digits in (2, 4, 6):
+    for digits in (2, 4):
         sums = near.groupBy(*LEVELS, F.substring("h", 1, digits).alias("bucket")).agg(F.sum("n").alias("sum"), F.first("whole").alias("whole"), F.first("left").alias("left"))
         sums = sums.withColumn("before", F.sum("sum").over(Window.partitionBy(*LEVELS).orderBy("bucket")) - F.col("sum"))
         # the first bucket that doesn't fit as a whole, and what is left for its own rows

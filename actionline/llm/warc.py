@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actionline.llm.common import shared_dir, table, written
+from actionline.operators.membership import may_be_in
 
 MAGIC, LINE, CLOSE = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 LEAST = 1000
@@ -32,12 +33,15 @@ def marked(pages: DataFrame, least: int = LEAST) -> DataFrame:
     copies = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
     copies = written(copies, "copies")  # so that a hot digest's pages can go to several tasks
     # which pages are revisits is found on ids and digests alone; pages then meet that by both, so a page that is
-    # copied very often is no hot key. Copies and revisits grow with the pages, so they are never broadcast.
+    # copied very often is no hot key. Copies and revisits grow with the pages, so they are never broadcast; but a
+    # filter of fixed size keeps the pages that are surely none, which are most, from being shuffled and sorted.
     revisits = p.where(F.col("bytes") >= least).select("page_id", "digest").distinct().join(copies.hint("merge"), "digest").where(~F.col("page_id").eqNullSafe(F.col("last")))
-    key = F.coalesce("page_id", F.lit(-1))
-    revisits = revisits.select(key.alias("key"), F.col("page_id").isNull().alias("none"), "digest", F.col("last").alias("refers"))
-    p = p.withColumn("key", key).withColumn("none", F.col("page_id").isNull())
-    return p.join(revisits.hint("merge"), ["key", "none", "digest"], "left").drop("key", "none")
+    mark = F.concat_ws(":", "page_id", "digest")
+    revisits = written(revisits.select(mark.alias("mark"), F.col("last").alias("refers")), "revisits")
+    p = p.withColumn("mark", mark)
+    hit = may_be_in(revisits, "mark", p["mark"])
+    maybe = p.where(hit).join(revisits.hint("merge"), "mark", "left")
+    return p.where(~hit).withColumn("refers", F.lit(None).cast("long")).unionByName(maybe).drop("mark")
 
 
 def write_warc(pages: DataFrame, compression: str = "gzip") -> str:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import random
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from actionline.llm import minhash, secrets
+from actionline.llm import minhash, secrets, toxicity
 from actionline.llm.common import written
 from actionline.llm.queries import ORACLES, QUERIES
+from tests.llm.test_operators import brute, crc, ids_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twins(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rel = db.execute(ORACLES[name])
     names = [c[0] for c in rel.description]
@@ -84,12 +88,13 @@ def test_stages_on_odd_rows_and_clashing_columns(spark, stage):
     assert f(spark, d.limit(0), SF).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_tokens", "op2_toxicity", "op5_mixing", "op6_packing", "op7_secrets", "op8_minhash", "op10_ogg"])
+@pytest.mark.parametrize("name", ["op1_tokens", "op2_toxicity", "op5_mixing", "op6_packing", "op7_secrets", "op8_minhash", "op10_ogg", "op11_resampling", "op13_quality"])
 def test_queries_on_odd_tables(spark, tmp_path, name):
     """Each query over documents with odd rows and clashing columns, and over none, beside the other tables."""
     for folder, d in ((tmp_path / "odd", odd(spark)), (tmp_path / "none", odd(spark).limit(0))):
         d.write.parquet(f"{folder}/documents.parquet")
-        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{folder}/{t}.parquet")
         rows = QUERIES[name](spark, str(folder)).collect()
         ids = sorted(str(r["doc_id"]) for r in rows)
         if folder.name == "none":
@@ -98,3 +103,81 @@ def test_queries_on_odd_tables(spark, tmp_path, name):
             assert set(ids) <= {"1", "2", "3", "4", "5", "None"} and rows
         else:
             assert ids == ["1", "1", "1", "2", "3", "4", "5", "None", "None"]
+
+
+def test_equal_rows_but_for_other_columns_stay_alike_in_any_layout(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, lang, "s", n) for lang in ("en", "de", None) for n in (3, 1, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {tuple(corpus_pipeline.drop_near_duplicates(spark, docs.orderBy(F_hash(k)).repartition(1 + k), SF).collect()) for k in range(4)}
+    assert len(found) == 1 and len(found.pop()) == 1
+
+
+def F_hash(seed):
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(F.col("lang"), F.col("n_chars"), F.lit(seed))
+
+
+def test_the_whole_pipeline_against_plain_steps(spark, tmp_path):
+    """A small corpus, from documents to packed pieces: every stage's decisions by plain Python and by the twin in SQL."""
+    draw = random.Random(11)
+    plain = ["the", "river", "runs", "over", "stones", "and", "under", "bridges", "while", "birds", "sing", "songs", "about", "summer", "wind"]
+    rows, bad = [], []
+    for i in range(700):
+        words = [draw.choice(plain) + (str(draw.randint(0, 300)) if draw.random() < 0.7 else "") for _ in range(draw.randint(3, 70))]
+        bad.append(i % 5 == 0)
+        if bad[i]:
+            words.insert(draw.randrange(len(words)), draw.choice(["idiot", "idiot", "scumbag", "scumbag", "1d1ot", "i d i o t"]))
+        if i % 11 == 0:
+            words.append("password = abcdef123456")
+        text = " ".join(words)
+        if i % 7 == 3 and rows:
+            text = rows[-1][1] + " end" if i % 2 else rows[-1][1]
+            bad[i] = bad[i - 1]
+        rows.append((i, text, draw.choice(["en", "de", None]), f"src{i % 4}", len(text)))
+    rows += [(700, None, "en", "src0", None), (701, "", "en", "src1", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(x)) for i, x in enumerate(bad)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}.parquet")
+    # toxicity: every text by the model alone
+    model = toxicity.fit(read("documents"), read("labels"))
+    left = [r for r in rows if model.score(r[1]) < 0.5]
+    assert {r[0] for r in rows} - {r[0] for r in left} and not any("idiot" in (r[1] or "") for r in left)
+    # near duplicates: all pairs of shingle sets
+    found = brute({r[0]: r[1] for r in left})
+    left = [r for r in left if found[r[0]][1] == r[0]]
+    # secrets: the contract's base patterns leave nothing
+    left = [(*r[:1], secrets.redact(r[1]), *r[2:]) for r in left]
+    assert not any(re.search("password = [a-z0-9]{6}", r[1] or "") for r in left)
+    # mixing: the twin over what is left
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [r[:4] for r in left])
+    rel = db.execute(ORACLES["op5_mixing"])
+    at = {c[0]: k for k, c in enumerate(rel.description)}
+    copies = {r[at["doc_id"]]: r[at["copies"]] for r in rel.fetchall()}
+    # packing: each use of a document in pieces that hold its ids once, in windows of at most 1024
+    want = Counter()
+    for doc_id, text, *_ in left:
+        if doc_id in copies:
+            ids = ids_of(text, "byte_bpe_50k.json", 0)
+            want[doc_id, len(ids), crc(ids) if len(ids) <= 1024 else None] += copies[doc_id]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"] if r["length"] == r["doc_tokens"] else None) for r in pieces if r["start"] == 0)
+    assert sum(want.values()) > 50 and {(i, n) for i, n, _ in want} == {(i, n) for i, n, _ in got}
+    assert _by(want) == _by(got)
+    whole = Counter({k: v for k, v in got.items() if k[2] is not None})
+    assert all(want[k] >= v for k, v in whole.items())
+    filled = Counter()
+    for r in pieces:
+        filled[r["sequence_id"]] += r["length"]
+    assert sum(filled.values()) == sum(n * k for (_, n, _), k in want.items()) and max(filled.values()) <= 1024
+
+
+def _by(counts):
+    out: dict = {}
+    for (doc_id, n, _), k in counts.items():
+        out[doc_id, n] = out.get((doc_id, n), 0) + k
+    return out
