@@ -23,13 +23,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest doc_id stays, with null ids all.
 
     Rows that repeat a doc_id are told apart by their texts: of near-duplicates among them one row stays,
-    the one whose text has the least hash, and rows with unrelated texts are judged and kept each by itself.
+    the one whose text has the least hash, and of rows with one text the first by their other columns as JSON;
+    rows with unrelated texts are judged and kept each by itself.
     Null and empty texts are like nothing, so they stay, once for each doc_id. All columns stay, whatever their
     names; an empty table stays empty.
     """
     kept = minhash.near_duplicates(docs, texts=True).where("kept").groupBy("doc_id", "class_id").agg(F.min("text_id").alias("text_id"))
-    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"))
-    out = named.join(kept.select("doc_id", "text_id"), ["doc_id", "text_id"], "left_semi").dropDuplicates(["doc_id", "text_id"])
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    named = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_id"), rest.alias("rest"))
+    out = named.join(kept.select("doc_id", "text_id"), ["doc_id", "text_id"], "left_semi").groupBy("doc_id", "text_id").agg(F.min_by("row", "rest").alias("row"))
     return out.select("row.*").union(docs.where("doc_id is null"))
 
 
