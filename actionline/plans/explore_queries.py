@@ -70,6 +70,19 @@ def x05b(v: DataFrame) -> DataFrame:
     return v.select("doc_id", X.format_actions(X.parse_nested_actions(F.array_join(X.extract_boxed("output"), ","))).alias("actions"))
 
 
+@query("x05_nested_values", "v_verifier", sql="""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat('click[', doc_id % 30, '], enter[', doc_id % 7, '][x[', doc_id % 9, ']y]') WHEN 1 THEN concat('select[a[', doc_id, '[b]]][c]')
+  WHEN 2 THEN concat('scroll[down], click[[[', doc_id, ']]]') WHEN 3 THEN concat('enter[1][', doc_id, ', [2], 3]') END AS actions FROM v_verifier""")
+def x05c(v: DataFrame) -> DataFrame:
+    """Actions whose targets and values hold brackets and commas; an unknown action spoils all."""
+    i = lambda n=1 << 62: (F.col("doc_id") % n).cast("string")
+    text = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("click["), i(30), F.lit("], enter ["), i(7), F.lit("]['x["), i(9), F.lit("]y'],")))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("select[a["), i(), F.lit("[b]]][c]"))).when(F.col("doc_id") % 5 == 2, F.concat(F.lit(" scroll[down],click[[["), i(), F.lit("]]]")))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit("enter[1]["), i(), F.lit(", [2], 3]"))).otherwise(F.concat(F.lit("click[1],drag["), i(), F.lit("]")))
+    )
+    return v.select("doc_id", X.format_actions(X.parse_nested_actions(text)).alias("actions"))
+
+
 @query("x06_format_actions", "v_verifier", sql=f"WITH {ACTIONS}, s AS (SELECT doc_id, bool_and(action <> '') AS ok, string_agg(concat(action, '[', target, ']', CASE WHEN value <> '' THEN concat('[', value, ']') ELSE '' END), ', ' ORDER BY k) AS t FROM a GROUP BY doc_id) SELECT v.doc_id, CASE WHEN ok THEN t END AS actions FROM v_verifier v LEFT JOIN s USING (doc_id)")
 def x06(v: DataFrame) -> DataFrame:
     joined = v.withColumn("seq", F.array_join(X.extract_boxed("output"), ","))
@@ -104,7 +117,7 @@ def x08b(links: DataFrame) -> DataFrame:
     return D.nodes_by_id(n, n.select("page_id", (F.col("page_id") % 6).cast("int").alias("node_id")).distinct()).select("page_id", "node_id", "text")
 
 
-@query("x08_select_values", "v_forms", sql="SELECT page_id, 'one|none|three' AS texts, '1|none|three' AS vals FROM pages WHERE page_id % 5 = 3")
+@query("x08_select_values", "v_selects", sql="SELECT page_id, concat('one ', page_id, '|none ', length(coalesce(url, '')), '|three') AS texts, concat(page_id % 4, '|none ', length(coalesce(url, '')), '|three') AS vals FROM pages")
 def x08c(forms: DataFrame) -> DataFrame:
     o = D.options_of(D.page_nodes(forms))
     return D.select_values(o).join(D.select_values(o.withColumn("value", F.lit(""))).withColumnRenamed("values", "texts"), ["page_id", "node_id"]).select("page_id", F.array_join("texts", "|").alias("texts"), F.array_join("values", "|").alias("vals"))
