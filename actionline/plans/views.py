@@ -74,7 +74,7 @@ SELECT page_id, replace(coalesce(html, ''), '<body>', concat('<body>', CASE page
   WHEN 3 THEN '</p><select id="s"><option value="1">one<option value="">none</option><option selected>three</select></div>' ELSE '</p><textarea>a b</textarea><button>send</button></div>' END)) AS html FROM pages
 """,
     "v_selects": r"""
-SELECT page_id, concat('<form><select id="s"><option value="', page_id % 4, '">one ', page_id, '<option value="">none ', length(coalesce(url, '')), '</option><option selected>three</select></form>', coalesce(html, '')) AS html FROM pages
+SELECT page_id, replace(coalesce(html, ''), '<body>', concat('<body><div><select id="s"><option value="', page_id % 4, '">one ', page_id, '<option value="">none ', length(coalesce(url, '')), '</option><option selected>three</select></div>')) AS html FROM pages
 """,
     "v_urls": r"""
 SELECT page_id * 2 AS line_no, CASE WHEN page_id % 9 = 0 THEN '   ' ELSE concat(' ', url, ' ') END AS url FROM pages
