@@ -11,8 +11,7 @@ from pyspark.sql.types import DoubleType
 def py_round(c: Column, digits: int = 2) -> Column:
     """round(x, digits) of the exact double, ties to even: 2.675 gives 2.67, where bround gives 2.68.
 
-    bround differs only on ties that binary can't hold, stays in generated code and is what the score
-    operators use; this is for strict parity."""
+    bround differs only on ties that binary can't hold and stays in generated code; this is for strict parity."""
 
     @F.pandas_udf(DoubleType())
     def rounded(x: pd.Series) -> pd.Series:
