@@ -166,5 +166,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op10_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and empty texts: 64 zero bytes. Null doc_id and repeated rows: each its own file. Empty table: empty
-    result. Long texts are kept whole; one task holds one batch of texts and their files."""
+    result. Long texts are kept whole; one task holds one batch of texts and their files. Ties: equal texts, equal
+    values. Other columns, clashing names among them, are ignored."""
     return media_features(write_media(table(spark, sf_dir, "documents")))

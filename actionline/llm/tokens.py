@@ -156,5 +156,6 @@ def read_document(spark: SparkSession, folder: str, doc_id: int) -> list[list[in
 
 def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes documents and reads them back. Null text: empty, so the end id alone. Null doc_id: first in
-    order. Repeated rows and ties: each row its own document, ordered by text. Empty table: empty result."""
+    order. Repeated rows and ties: each row its own document, ordered by text. Very long texts: encoded whole, a frame
+    each. Other columns, clashing names among them, are ignored. Empty table: empty result."""
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents")))

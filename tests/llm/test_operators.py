@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -229,6 +230,21 @@ def test_warc_with_magic_inside_payloads(spark):
     assert warc.archived(pages(spark, [])).count() == 0
 
 
+def test_warc_on_odd_rows(spark):
+    """Null page_id and url, repeated rows, line ends in urls, clashing columns."""
+    long, other = "x" * 1200, "y" * 1500
+    rows = [(None, None, long), (None, "u", long), (4, "a\r\nb: c", long), (4, "a", long), (2, "b", long), (2, "b", long), (None, "b", other), (7, None, None), (8, "c", "z" * 999), (9, "c", "z" * 999)]
+    schema = "page_id long, url string, html string, key string, none int, digest string, mark string, refers int, bytes int, file string, start int"
+    d = spark.createDataFrame([(*r, "k", 1, "d", "m", 2, 3, "f", 4) for r in rows], schema).repartition(3)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.archived(d).collect())
+    want = Counter()
+    for i, _, h in rows:
+        data = (h or "").encode()
+        again = h == long and i != 4
+        want[i, len(data), "revisit" if again else "response", 4 if again else None, hashlib.sha1(data).hexdigest()] += 1
+    assert got == want
+
+
 def test_warc_chain_across_many_splits(spark):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
@@ -535,7 +551,7 @@ def test_near_duplicates(spark, monkeypatch):
             for _ in range(draw.randint(0, 9)):
                 copy[draw.randrange(len(copy))] = f"n{draw.randint(0, 10**6)}"
             texts.append(" ".join(copy))
-    d = docs(spark, texts, extra=[(None, texts[-1], None, None, 1, 1, 1.0, "", 1), (3, texts[-1], None, None, 1, 1, 1.0, "", 1)][:1])
+    d = docs(spark, texts, extra=[(None, texts[-1], None, None, 1, 1, 1.0, "", 1)])
     got = {r["doc_id"]: r for r in minhash.near_duplicates(d).collect()}
     for i, (n, c) in brute(dict(enumerate(texts))).items():
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, c, c == i), i
@@ -543,6 +559,20 @@ def test_near_duplicates(spark, monkeypatch):
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_a_doc_id_that_repeats(spark):
+    """Rows of one doc_id are judged each by its own text; a component is named by the least doc_id of its rows."""
+    words = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(5, words("a")), (5, words("b")), (9, words("a") + " x"), (5, words("a")), (2, words("b") + " y"), (7, words("c")), (7, None)]
+    d = docs(spark, [], extra=[(i, t, None, None, 1, 1, 1.0, "", 1) for i, t in rows])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect())
+    by_row = brute(dict(enumerate(t for _, t in rows)))
+    want = []
+    for k, (i, _) in enumerate(rows):
+        least = min(rows[j][0] for j in range(len(rows)) if by_row[j][1] == by_row[k][1])
+        want.append((i, by_row[k][0], least, i == least))
+    assert got == sorted(want)
+
+
 def test_copies_in_one_task_and_keys_that_several_sets_share(spark, monkeypatch):
     long = " ".join(f"w{i}" for i in range(80))
     texts = [long] * 30 + [long + " end"] * 30 + ["quite another text of more than five words", "and one more text that is like none of them"] * 10
