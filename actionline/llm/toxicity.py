@@ -241,10 +241,17 @@ class Model:
     def __post_init__(self) -> None:
         self.cache: dict[str, float] = {}
         self.found = None
+        # the features themselves, by their words; all of a word's begin with its first three letters
+        self.shares = {f: self.weights[h] for w in self.words for f in features(w) if (h := _hash(f)) in self.weights}
+        self.heads = {f[:3] for f in self.shares}
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "cache": {}, "found": None}  # each worker builds its own
 
+    def share(self, word: str) -> float:
+        """The largest share among the features of a word."""
+        return max((self.shares.get(f, 0.0) for f in features(word)), default=0.0)
+
     def hidden(self, text: str) -> set[str]:
         """The stretches of a text in lower case in which a word may be hidden: from the beginning of the token that
         its first letter is in to the end of that of its last."""
@@ -252,7 +259,7 @@ class Model:
             import ahocorasick
 
             self.found = ahocorasick.Automaton()
-            for w in self.words:
+            for w in {*self.words, *(f for f in self.shares if len(f) >= 5 and f[-1] != "$")}:
                 letters, _ = skeleton(w)
                 if len(letters) >= 3:
                     self.found.add_word(letters, len(letters))
@@ -274,26 +281,20 @@ class Model:
         return out
 
     def restored(self, part: str) -> float:
-        """The weight of what the likeliest reading of a stretch has beside its plain words."""
-        key = f" {part}"  # no token begins with a blank
-        if (found := self.cache.get(key)) is None:
-            plain, get = set(_WORDS(part)), self.weights.get
-            words = (w for w in viterbi(part, self.language).split() if w not in plain)
-            found = self.cache[key] = max((get(_hash(f), 0.0) for w in words for f in features(w)), default=0.0)
-        return found
-
-    def weight(self, token: str) -> float:
-        if (found := self.cache.get(token)) is None:
+        """The share of what the likeliest reading of a stretch has beside its plain words."""
+        if (found := self.cache.get(part)) is None:
             if len(self.cache) > 500_000:
                 self.cache.clear()
-            get = self.weights.get
-            found = self.cache[token] = max((get(_hash(f), 0.0) for w in readings(token, self.language) for f in features(w)), default=0.0)
+            plain = set(_WORDS(part))
+            found = self.cache[part] = max((self.share(w) for w in viterbi(part, self.language).split() if w not in plain), default=0.0)
         return found
 
     def score(self, text: str | None) -> float:
-        """How likely some word of the restored text is a toxic one, each different token being evidence of its own."""
+        """How likely some word of the restored text is a toxic one, each different word being evidence of its own:
+        the plain words, and what the lattice reads in the stretches that may hide one."""
         text = (text or "").lower()
-        clean = math.prod(1 - self.weight(x) for x in sorted(set(_TOKEN(text))))
+        heads = self.heads
+        clean = math.prod(1 - self.share(w) for w in sorted({w for w in _WORDS(text) if w[:3] in heads or len(w) < 3 and f"{w}$" in heads}))
         clean *= math.prod(1 - self.restored(x) for x in sorted(self.hidden(text)))
         return 1 - clean if clean < 1 else self.rest
 
