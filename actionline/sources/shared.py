@@ -8,16 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir. Where that is unset a session in one process sets a
-    temporary one; on a cluster that would lose data, so it is an error there."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a session in
+    one process sets a temporary one; on a cluster that would lose data, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/actionline-{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_root(spark)}/actionline-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
