@@ -7,14 +7,15 @@ import ctypes
 import gc
 import json
 import re
-import tempfile
-import uuid
 from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from actionline.sources.shared import shared_root as shared_dir  # noqa: F401
+from actionline.sources.shared import stored
+
 #: Code points that Unicode calls white space (fixed values; Python's own \s has four more).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -23,28 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset a session
-    in one process sets a temporary one; on a cluster that would lose data, so it is an error there."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage and survives lost executors.
 
     instead: a result of this function that nothing reads any more once df is written; its files go."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/actionline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = stored(df, name)
     if instead is not None:
-        deleted(spark, instead)
+        deleted(df.sparkSession, instead)
     return out
 
 
