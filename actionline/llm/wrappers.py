@@ -1,13 +1,14 @@
 """Operator 4: main text of pages by wrappers, one union-free expression for each host.
 
 A page is a stream of block tags and text slots. Folding equal neighbours into repeated groups gives its
-own expression; two expressions are aligned tag by tag, what only one of them has becomes optional, and a
-slot whose texts differ is content, one whose texts are equal so far belongs to the template. Pages of one
-shape are summed up first, in any order; the shapes of a host are then aligned in a tree, near its leaves by
-their order, which gives the host's wrapper, the same for any layout of the table. The wrapper tells where the
-host's pages hold their articles: by their tags, and by the place in which the text that differs between pages
-lies. Every page is read from the first of these places that holds text in it; nothing inside is dropped for
-being equal on other pages.
+own expression. A host's places are the paths of labels that its pages have; at each place the streams of the
+children are aligned tag by tag, what only some of them have becomes optional, and a slot whose texts differ is
+content, one whose texts are equal so far belongs to the template. Together that is the host's wrapper, kept as a
+table of places, so none is too large. Streams of one shape are summed up first, in any order; the shapes are then
+aligned along the bits of their hashes, which gives the same for any layout, for any number of groups and beside
+any other hosts. The wrapper tells where the host's pages hold their articles: by their tags, and by the place in
+which the text that differs between pages lies. Every page is read from the first of these places that holds text
+in it; nothing inside is dropped for being equal on other pages.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ SCOPES = frozenset("table td th button body html".split())
 
 #: Elements nested deeper than this are read as children of the element at this depth.
 DEEP = 200
-#: Shapes that are aligned in one group; groups are aligned in groups again until a host has one.
+#: Shapes of a place that are aligned in one group; groups are aligned in groups again until a place has one.
 FAN = 1000
-#: Items of a wrapper from which on those with less than a thousandth of its characters are summed up as others.
+#: Items of an overview (``merged``) from which on those with less than a thousandth of its characters are summed up.
 MANY = 2000
 OTHERS = "~"
 
@@ -241,7 +242,7 @@ def expression(node: Node) -> list:
 
 def _both(a: int, b: int) -> int:
     """The value of two texts of one page in one slot: that of the pair, as each page may have the same."""
-    return _hash(f"{a} {b}")
+    return _hash(f"{a} {b}") if a and b else 0
 
 
 def _same(a: int, b: int) -> int:
@@ -300,8 +301,8 @@ def _size(items: list) -> int:
 
 
 def thinned(items: list) -> list:
-    """A wrapper of more than MANY items with all that have less than a thousandth of its characters, what they
-    hold included, summed up as one item of others at each place; no such item can be where articles are."""
+    """An expression of more than MANY items with all that have less than a thousandth of its characters, what they
+    hold included, summed up as one item of others at each place. For overviews: no result of the operator reads it."""
     if _size(items) <= MANY:
         return items
     whole: dict[int, int] = {}
@@ -325,7 +326,8 @@ def thinned(items: list) -> list:
 
 
 def merged(parts: Iterator[list]) -> list:
-    """The wrapper of many, aligned two and two in a tree, so each goes through as many as the count has digits."""
+    """An overview of many expressions, aligned two and two in a tree and thinned. The operator's wrappers are whole:
+    it aligns the streams of each place by ``aligned``."""
     stack: list[tuple[int, list]] = []
     for one in parts:
         rank = 0
@@ -338,6 +340,52 @@ def merged(parts: Iterator[list]) -> list:
     return out
 
 
+def aligned(parts: Iterator[tuple[int, list]]) -> list:
+    """The expression that covers all of (hash, expression), in ascending order of the hashes.
+
+    Those whose hashes have most of their first bits in common are aligned first. So the tree is that of the bits,
+    and groups of equal first bits, aligned each by itself and then by these bits, give the same."""
+    stack: list[tuple[int, list]] = []
+
+    def fold() -> None:
+        right = stack.pop()[1]
+        common, left = stack.pop()
+        stack.append((common, align(left, right)))
+
+    last = 0
+    for h, one in parts:
+        common = -(last ^ h).bit_length()
+        while len(stack) > 1 and stack[-1][0] > common:
+            fold()
+        stack.append((common, one))
+        last = h
+    while len(stack) > 1:
+        fold()
+    return stack[0][1]
+
+
+def places(items: list) -> dict[tuple[str, ...], list]:
+    """The streams of children at each place of an expression, by the labels that lead there.
+
+    Elements of one place that are no neighbours are folded like neighbours, so a page has one stream of each."""
+    found: dict[tuple[str, ...], list] = {}
+
+    def walk(items: list, path: tuple[str, ...]) -> None:
+        level = [[*x[:5], [], x[6]] for x in items]
+        found[path] = align(found[path], level, _both) if path in found else level
+        for x in items:
+            if not x[3] and x[0] != "#":
+                walk(x[5], (*path, x[0]))
+
+    walk(items, ())
+    return found
+
+
+def _told(path: tuple[str, ...], items: list) -> bool:
+    """Whether a place tells something: it holds text, is an article or main, or is the page."""
+    return not path or path[-1].split(" ")[0] in ("article", "main") or any(x[0] == "#" for x in items)
+
+
 def _shape(items: list, counts: list, values: list) -> list:
     """An expression without its characters and values, which go to the two lists in the order of the items."""
     out = []
@@ -358,25 +406,16 @@ def _mass(items: list, without: tuple, differing: bool) -> int:
     return sum((x[4] if not differing or x[0] != "#" or not x[6] else 0) + _mass(x[5], without, differing) for x in items if not x[3] and x[0].split(" ")[0] not in without)
 
 
-def _tags(items: list, tag: str) -> bool:
-    return any(not x[3] and (x[0].split(" ")[0] == tag or _tags(x[5], tag)) for x in items)
-
-
-def main_roots(wrapper: list) -> list:
-    """Which elements hold the article in this wrapper, first choice first: article and main, where it has
-    them, and at last the path to the element that the descent by the larger share of the other text outside
-    boilerplate ends in. Text that differs between pages counts; where none does, all of it."""
-    tags = tuple(t for t in ("article", "main") if _tags(wrapper, t))
-    differing = _mass(wrapper, tags, True) > 0
-    path, items = [], wrapper
-    while True:
-        inside = [(_mass([x], tags, differing), x) for x in items if not x[3] and x[0] not in ("#", OTHERS)]
-        total = _mass(items, tags, differing)
-        heavy = max(inside, key=lambda p: p[0], default=(0, None))
-        if not total or heavy[0] < 0.6 * total or heavy[1][0].split(" ")[0] in ("p", "li", "td"):
-            return [*tags, path]
-        path.append(heavy[1][0])
-        items = heavy[1][5]
+def descents(rows: Iterator[tuple]) -> Iterator[tuple[str, list]]:
+    """Which elements hold the article of each host, first choice first: article and main, where the host has them,
+    and at last the path to the element that the descent by three fifths or more of the other text outside
+    boilerplate ends in. rows: (host, path, weight, article, main), sorted; those of a host begin with the page."""
+    for host, level in groupby(rows, key=lambda r: r[0]):
+        _, path, total, article, main = next(level)
+        for _, here, weight, *_ in level:
+            if here[:-1] == path and 10 * weight >= 6 * total and here[-1].split(" ")[0] not in ("p", "li", "td"):
+                path, total = here, weight
+        yield host, [*(t for t, has in (("article", article), ("main", main)) if has), path]
 
 
 def _within(page: Node, hit: Callable[[Node, list[str]], bool] | None, header: bool = False, teasers: bool = True) -> str:
@@ -459,18 +498,27 @@ def _added(a: tuple, b: tuple) -> tuple:
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, roots) from all pages (host, html). Tasks sum up the shapes of their pages, then equal shapes meet, and
-    those of a host are aligned in groups of FAN or so, the groups in groups again until one is left: a task
-    holds the shapes of its own pages, or the few wrappers of a group. The result depends on the rows alone."""
+    """(host, roots) from all pages (host, html). Tasks sum up the shapes of their pages and cut them into places, then
+    equal streams of a place meet and are aligned in groups of FAN or so, the groups in groups again until one is
+    left: a task holds the shapes of its own pages, or the few expressions of a group. Where articles are is told by
+    sums over places. A host's result depends on its rows alone, and groups don't change it."""
     dump = lambda x: json.dumps(x, separators=(",", ":"), ensure_ascii=False)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple, tuple] = {}
 
         def out() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.string(), *[pa.list_(pa.int64())] * 2]
-            cols = zip(*((*key, *sums) for key, sums in found.items()), strict=True) if found else [[]] * 4
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "shape", "counts", "values"])
+            rows: dict[tuple, tuple] = {}
+            for (host, shape), (counts, values) in found.items():
+                for path, items in places(_filled(json.loads(shape), iter(counts), iter(values))).items():
+                    if _told(path, items):
+                        c: list = []
+                        v: list = []
+                        key = host, path, dump(_shape(items, c, v))
+                        rows[key] = _added(rows[key], (c, v)) if key in rows else (c, v)
+            kinds = [pa.string(), pa.list_(pa.string()), pa.string(), *[pa.list_(pa.int64())] * 2]
+            cols = zip(*((*key, *sums) for key, sums in rows.items()), strict=True) if rows else [[]] * 5
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "shape", "counts", "values"])
             found.clear()
             return batch
 
@@ -483,29 +531,59 @@ def infer(pages: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
+    def grouped(batches: Iterator[pa.RecordBatch], one: Callable[[Iterator[tuple]], Iterator[tuple[int, list]]]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.list_(pa.string()), pa.int64(), pa.string()]
+        for (host, path, g), rows in groupby(_rows(batches), key=lambda r: r[:3]):
+            cols = [host], [path], [g], [dump(aligned(one(r[3:] for r in rows)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "path", "g", "wrapper"])
+
     def of_shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (host, g), rows in groupby(_rows(batches), key=lambda r: r[:2]):
-            sums = ((shape, reduce(_added, (r[3:] for r in same))) for shape, same in groupby(rows, key=lambda r: r[2]))
-            yield pa.RecordBatch.from_pydict({"host": [host], "g": [g], "wrapper": [dump(merged(_filled(json.loads(shape), iter(c), iter(v)) for shape, (c, v) in sums))]})
+        def one(rows: Iterator[tuple]) -> Iterator[tuple[int, list]]:
+            for (h, shape), same in groupby(rows, key=lambda r: r[:2]):
+                c, v = reduce(_added, (r[2:] for r in same))
+                yield h, _filled(json.loads(shape), iter(c), iter(v))
+
+        return grouped(batches, one)
 
     def of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (host, g), rows in groupby(_rows(batches), key=lambda r: r[:2]):
-            yield pa.RecordBatch.from_pydict({"host": [host], "g": [g], "wrapper": [dump(merged(json.loads(r[3]) for r in rows))]})
+        return grouped(batches, lambda rows: ((g, json.loads(wrapper)) for g, wrapper in rows))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slots = [[x for x in json.loads(w) if x[0] == "#"] for w in b.column(2).to_pylist()]
+            every, differing = ([sum(x[4] for x in s if not d or not x[6]) for s in slots] for d in (False, True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(every, pa.int64()), pa.array(differing, pa.int64())], ["host", "path", "every", "differing"])
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for host, wrapper in _rows(batches):
-            yield pa.RecordBatch.from_pydict({"host": [host], "roots": [dump(main_roots(json.loads(wrapper)))]})
-
-    shapes = written(pages.select("host", "html").mapInArrow(own, "host string, shape string, counts array<long>, values array<long>"), "shapes")
-    most = shapes.groupBy("host").agg(F.count_distinct(F.xxhash64("shape")).alias("n")).agg(F.max("n")).first()[0] or 0
-    groups = max(1, -(-most // FAN))
-    out = shapes.select("host", F.pmod(F.xxhash64("shape"), F.lit(groups)).alias("g"), "shape", "counts", "values").repartition("host", "g").sortWithinPartitions("host", "g", "shape")
-    out = out.mapInArrow(of_shapes, "host string, g long, wrapper string")
-    while groups > 1:
-        groups = -(-groups // FAN)
-        out = out.select("host", F.pmod("g", F.lit(groups)).alias("into"), "g", "wrapper").repartition("host", "into").sortWithinPartitions("host", "into", "g")
-        out = out.mapInArrow(of_groups, "host string, g long, wrapper string")
-    return out.select("host", "wrapper").mapInArrow(roots, "host string, roots string")
+        for host, found in descents(_rows(batches)):
+            yield pa.RecordBatch.from_pydict({"host": [host], "roots": [dump(found)]})
+
+    streams = written(pages.select("host", "html").mapInArrow(own, "host string, path array<string>, shape string, counts array<long>, values array<long>"), "shapes")
+    streams = streams.withColumn("h", F.shiftrightunsigned(F.xxhash64("shape"), 1))
+    most = streams.groupBy("host", "path").agg(F.count_distinct("h").alias("n")).agg(F.max("n")).first()[0] or 0
+    bits, step = max(0, -(-most // FAN) - 1).bit_length(), max(1, FAN.bit_length() - 1)
+    out = streams.select("host", "path", F.shiftright("h", 63 - bits).alias("g"), "h", "shape", "counts", "values").repartition("host", "path", "g").sortWithinPartitions("host", "path", "h", "shape")
+    kinds = "host string, path array<string>, g long, wrapper string"
+    out = out.mapInArrow(of_shapes, kinds)
+    while bits:
+        less = min(bits, step)
+        bits -= less
+        out = out.select("host", "path", F.shiftright("g", less).alias("into"), "g", "wrapper").repartition("host", "path", "into").sortWithinPartitions("host", "path", "g")
+        out = out.mapInArrow(of_groups, kinds)
+    out = out.select("host", "path", "wrapper").mapInArrow(sums, "host string, path array<string>, every long, differing long")
+    # each place adds to all that it lies in; text inside of article and main doesn't count, as the host has these tags
+    of_tag = lambda tag: F.exists("path", lambda x: F.substring_index(x, " ", 1) == tag)
+    out = out.withColumn("article", of_tag("article")).withColumn("main", of_tag("main"))
+    inside, page = F.col("article") | F.col("main"), F.array().cast("array<string>")
+    above = F.when(inside, F.array(page)).otherwise(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k)))
+    out = out.select("host", F.explode(above).alias("path"), *(F.when(inside, 0).otherwise(F.col(c)).alias(c) for c in ("every", "differing")), "article", "main")
+    out = written(out.groupBy("host", "path").agg(F.sum("every").alias("every"), F.sum("differing").alias("differing"), F.max("article").alias("article"), F.max("main").alias("main")), "places")
+    whole = out.where(F.size("path") == 0).select("host", (F.col("differing") > 0).alias("differs"), F.greatest(F.lit(1), F.when(F.col("differing") > 0, F.col("differing")).otherwise(F.col("every"))).alias("total"))
+    out = out.join(whole, "host").withColumn("weight", F.when(F.col("differs"), F.col("differing")).otherwise(F.col("every")))
+    # each step of the descent keeps three fifths at least, so places with less than all steps would leave are off it
+    out = out.where((F.size("path") == 0) | (F.col("weight") >= F.col("total") * F.pow(F.lit(0.599), F.size("path"))))
+    out = out.select("host", "path", "weight", "article", "main").repartition("host").sortWithinPartitions("host", "path")
+    return out.mapInArrow(roots, "host string, roots string")
 
 
 def main_text(pages: DataFrame) -> DataFrame:

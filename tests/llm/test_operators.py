@@ -378,6 +378,33 @@ def test_pages_of_their_own_class_names_take_time_in_proportion(spark, monkeypat
     assert got == {i: f"text {i}" for i in range(40)}
 
 
+def test_an_article_counts_however_large_its_host_is(spark):
+    """An article with less than a thousandth of a host's text, beside few pages and beside many of own classes."""
+    mine = "<body><article>few</article><div class='meta'>words about the page, and more of them</div></body>"
+    own = [f"<body><div class='p{chr(97 + i % 26)}{chr(97 + i // 26)}'><p>{'words and ' * 20}{i}</p></div></body>" for i in range(676)]
+    for n in (2, 676):
+        rows = pages(spark, [mine, *own[:n]])
+        got = {r["page_id"]: r["text"] for r in wrappers.main_text(rows).collect()}
+        assert got == {0: "few"} | {i + 1: f"{'words and ' * 20}{i}" for i in range(n)}
+
+
+def test_wrappers_are_the_same_for_any_groups_and_beside_any_hosts(spark, monkeypatch):
+    draw = random.Random(7)
+    bits = ["<div>{}</div>", "<ul><li>{}</li><li>x</li></ul>", "{}", "<p>{}</p>", "<section class='s'>{}<p>{}</p></section>"]
+    htmls = ["<body>" + "".join(draw.choice(bits).format(*["y" * draw.randint(0, 3)] * 2) for _ in range(draw.randint(1, 9))) + "</body>" for _ in range(150)]
+    one = sorted((wrappers._hash(x), wrappers.expression(wrappers.parse(x))) for x in set(htmls))
+    whole = wrappers.aligned(iter(one))
+    for shift in (62, 60, 57):
+        groups = [(g, wrappers.aligned(iter(list(x)))) for g, x in itertools.groupby(one, key=lambda x: x[0] >> shift)]
+        assert wrappers.aligned(iter(groups)) == whole
+    found = set()
+    for fan, more in ((1000, 0), (3, 0), (3, 100), (1000, 40)):
+        monkeypatch.setattr(wrappers, "FAN", fan)
+        rows = [("h", x) for x in htmls] + [("g", f"<body><div class='c{chr(97 + i % 26)}{chr(97 + i // 26)}'></div>x</body>") for i in range(more)]
+        found |= {(fan, more, r["roots"]) for r in wrappers.infer(spark.createDataFrame(rows, "host string, html string")).where("host = 'h'").collect()}
+    assert len(found) == 4 and len({x[2] for x in found}) == 1
+
+
 def test_wrappers_are_the_same_for_any_layout(spark):
     draw = random.Random(6)
     bits = ["<div>{}</div>", "<ul><li>{}</li><li>x</li></ul>", "<h2>{}</h2>", "<p>{}</p>", "<section class='s'><p>{}</p></section>", "<table><tr><td>{}</td></tr></table>"]
