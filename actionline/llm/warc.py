@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actionline.llm.common import shared_dir, table, written
+from actionline.operators.membership import may_be_in
 
 MAGIC, LINE, CLOSE = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 LEAST = 1000
@@ -97,7 +98,7 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
                 at += len(piece) + n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts, pa.int64()), b.column(2)], ["file", "split", "local", "piece"])
 
-    before = written(before, "splits")  # one row for each split of a file
+    before = F.broadcast(written(before, "splits"))  # one row for each split of a file, not of a record
     local = rows.mapInArrow(run, "file string, split long, local long, piece binary")
     return local.join(before, ["file", "split"]).select("file", (F.col("before") + F.col("local")).alias("start"), "piece").where("start >= 0")
 
@@ -106,7 +107,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
     """The candidates (file, start, next) that the chain from start 0 of each file reaches.
 
     Pointer jumping: with each round the marked set follows pointers that reach twice as far, so rounds
-    grow as the logarithm of the records in a file. Each round is written to the shared folder.
+    grow as the logarithm of the records in a file. Each round is written to the shared folder, the one before it goes.
     """
     jump = written(candidates.select("file", "start", "next", (F.col("start") == 0).alias("on")), "chain")
     while True:
@@ -114,7 +115,7 @@ def reachable(candidates: DataFrame) -> DataFrame:
         told = jump.where("on").select("file", F.col("next").alias("start"), F.lit(True).alias("told")).distinct()
         after = jump.join(there, ["file", "next"], "left").join(told, ["file", "start"], "left")
         # a pointer past the last candidate stays where it is, beyond all starts
-        after = written(after.select("file", "start", F.coalesce("far", F.col("next")).alias("next"), (F.col("on") | F.coalesce("told", F.lit(False))).alias("on"), (F.col("far").isNotNull()).alias("moved")), "chain")
+        after = written(after.select("file", "start", F.coalesce("far", F.col("next")).alias("next"), (F.col("on") | F.coalesce("told", F.lit(False))).alias("on"), (F.col("far").isNotNull()).alias("moved")), "chain", instead=jump)
         more = after.where("moved").limit(1).count()
         jump = after.drop("moved")
         if not more:
@@ -142,11 +143,16 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     inside = owner.withColumn("record", F.last(F.when(F.col("kind") == 0, F.col("start")), True).over(w)).where("kind = 1 and record is not null")
     inside = written(inside.select("file", "start", "record"), "inside")
     cut = inside.select("file", F.col("record").alias("start")).distinct()
-    # records of one piece are read where they are; only those of several pieces meet by their record
-    single = pieces.join(false, ["file", "start"], "left_anti").join(cut, ["file", "start"], "left_anti").select("file", "start", "piece", F.lit(None).cast("array<binary>").alias("rest"))
-    rest = pieces.join(inside, ["file", "start"]).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("rest"))
+    # records of one piece are read where they are; only those of several pieces meet by their record. A filter of
+    # fixed size tells the pieces that surely are no part of such, so those are never shuffled, whatever the sizes
+    mark = F.concat_ws(":", "file", "start")
+    hit = may_be_in(false.union(cut).select(mark.alias("mark")), "mark", mark)
+    maybe = written(pieces.where(hit), "maybe")
+    alone = maybe.join(false, ["file", "start"], "left_anti").join(cut, ["file", "start"], "left_anti")
+    single = pieces.where(~hit).unionByName(alone).select("file", "start", "piece", F.lit(None).cast("array<binary>").alias("rest"))
+    rest = maybe.join(inside, ["file", "start"]).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("rest"))
     rest = rest.select("file", F.col("record").alias("start"), F.transform("rest", lambda x: x["piece"]).alias("rest"))
-    whole = single.union(pieces.join(rest, ["file", "start"]).select("file", "start", "piece", "rest"))
+    whole = single.union(maybe.join(rest, ["file", "start"]).select("file", "start", "piece", "rest"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

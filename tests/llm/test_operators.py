@@ -256,6 +256,27 @@ def test_warc_chain_across_many_splits(spark):
     assert {r["page_id"]: r["payload_digest"] for r in rows} == {i: hashlib.sha1(h.encode()).hexdigest() for i, h in enumerate(htmls)}
 
 
+def test_warc_payloads_are_not_shuffled_to_be_read(spark):
+    """At sizes where no join is broadcast, too: below no exchange of the plan are the archives read."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = warc.read_warc(spark, warc.write_warc(pages(spark, [f"text {i}" for i in range(20)])))
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert sorted(r["page_id"] for r in found.collect()) == list(range(20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    above, seen = [], 0
+    for line in plan:
+        depth = len(re.match(r"[\s:+-]*", line)[0])
+        above = [(d, name) for d, name in above if d < depth]
+        above.append((depth, line[depth:]))
+        if "FileScan text" in line or "Scan text" in line:
+            seen += 1
+            assert not [name for _, name in above if name.startswith("Exchange")], "\n".join(plan)
+    assert seen
+
+
 def test_wrappers(spark):
     page = "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/a'>A</a></li><li>B</li></ul></nav><!-- ad --><div class='ad'>buy</div>{}<footer>&copy; x</footer></body></html>"
     htmls = [
