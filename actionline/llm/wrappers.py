@@ -592,7 +592,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     Null or empty html and pages without article text: empty text, 0. Null urls, and urls without a host,
     share one wrapper. Where the host's roots hold nothing in a page, its other text outside boilerplate
     counts. Nothing in an article goes for being equal on other pages. Null page_id and repeated rows: kept. Ties
-    don't occur: shapes are aligned in the order of their texts. Very long pages take time in proportion; elements
+    don't occur: shapes are aligned in the order of their hashes, then texts. Very long pages take time in proportion; elements
     nested deeper than DEEP are read at that depth. Other columns, clashing names among them, are ignored; an
     empty table gives an empty result. Host tables are joined by size: a small one is broadcast, a large one
     makes Spark split hot hosts.
