@@ -132,9 +132,9 @@ def rebase_times(segments: Column, offset: Column, names: tuple[str, ...] = OP_T
 
 def prepend_init_scroll(parts: DataFrame, recordings: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Parts (id, part, begin, segments) that lack the recording's first init_scroll segment get it,
-    rebased to 0, in front; their own times move by begin less its length."""
-    is_init = lambda s: s["ops"][0]["subtype"] == "init_scroll"
-    init = recordings.select("id", F.expr("filter(segments, s -> s.ops[0].subtype = 'init_scroll')[0]").alias("init"))
+    rebased to 0, in front; their own times move by begin less its length. A recording without one gives them nothing."""
+    is_init = lambda s: F.get(s["ops"], F.lit(0))["subtype"].eqNullSafe("init_scroll")
+    init = recordings.select("id", F.get(F.filter("segments", is_init), F.lit(0)).alias("init"))  # null where there is none
     p = parts.join(init, "id", "left")
     start = F.col("init.ops")[0]["start"]
     length = F.coalesce(F.element_at(F.col("init.ops"), -1)["end"], start + 3.0) - start
