@@ -18,9 +18,14 @@ def assign_shards(df: DataFrame, key: str = "id", limit: int = 1000, ranges: int
     place = df.select("*", F.struct(F.col(key).alias("k"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("h")).alias("__place"))
     # the sample bounds only where ranges begin; all rows are numbered
     drawn = place.select("__place").orderBy(F.xxhash64("__place"), "__place").limit(ranges * sample)
-    drawn = drawn.agg(F.sort_array(F.collect_list("__place")).alias("b"))
-    bounds = drawn.select(F.filter("b", lambda x, i: i % F.greatest(F.lit(1), F.ceil(F.size("b") / ranges)) == 0).alias("b")).scalar()
-    placed = place.withColumn("__bounds", bounds).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col("__place")))).drop("__bounds")
+    # numbered as rows: in a lambda over the sorted list each element would sort it anew
+    at, n = F.row_number().over(Window.orderBy("__place")) - 1, F.count("*").over(Window.partitionBy())
+    drawn = drawn.select("__place", (at % F.greatest(F.lit(1), F.ceil(n / ranges))).alias("__at")).where("__at = 0")
+    bounds = drawn.agg(F.sort_array(F.collect_list("__place"))).scalar()
+    # a row's place is bound to a name of its own, so that its content is hashed once and not for each bound
+    below = F.transform(F.array("__place"), lambda p: F.size(F.filter("__bounds", lambda b: b <= p)))
+    # never null, else the join's check for nulls would compute ranges for all rows that df is made from
+    placed = place.withColumn("__bounds", bounds).withColumn("__range", F.coalesce(F.get(below, F.lit(0)), F.lit(0))).drop("__bounds")
     counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     # one row for each range at most
     offsets = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"))

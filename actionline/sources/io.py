@@ -104,10 +104,12 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_shards(df: DataFrame, path: str, part: str = "part", manifest: DataFrame | None = None) -> None:
     """One folder of JSON lines for each part; with a manifest (M14, M15) one of its rows for each part
-    beside it, in <path>-manifest."""
-    df.repartition(part).write.partitionBy(part).json(path, ignoreNullFields=False)
+    beside it, in <path>-manifest. A folder is made by one task, and folders are dealt over a fixed number of tasks: small
+    rows would else be drawn together into one that makes all of them."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(tasks, part).write.partitionBy(part).json(path, ignoreNullFields=False)
     if manifest is not None:
-        manifest.repartition(part).write.partitionBy(part).json(f"{path}-manifest", ignoreNullFields=False)
+        manifest.repartition(tasks, part).write.partitionBy(part).json(f"{path}-manifest", ignoreNullFields=False)
 
 
 def first_occurrence(df: DataFrame, key: str, order: str) -> DataFrame:

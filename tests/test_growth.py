@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 
-from actionline.operators import timeline
+from pyspark.sql import functions as F
+
+from actionline.operators import package, timeline
+from actionline.sources import io
 
 OPS = "array<struct<op_idx:int,subtype:string,start:double,end:double,finish:double>>"
 
@@ -20,3 +24,22 @@ def test_recordings_without_an_init_scroll(spark):
         ("with", 0): (False, 0.0, [(0, 1.0, 3.5)]), ("with", 1): (True, 5.5, [(0, 0.0, 2.5), (1, 3.5, 5.5)]),
         ("without", 0): (False, 0.0, [(0, 2.0, 4.0)]), ("without", 1): (False, 8.0, [(1, 1.0, 3.0)]),
     }
+
+
+def test_ranges_are_found_once_for_each_row(spark):
+    """No list is sorted anew for each of its elements, and ranges are not computed for the rows that df is made from."""
+    df = spark.range(3000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("n")).select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("id"), "n")
+    out = package.assign_shards(df, limit=7, ranges=9, sample=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"filter\(sort_array|Filter isnotnull\((transform|size|coalesce)", plan)
+    want = {k: i // 7 + 1 for i, k in enumerate(sorted(f"r{k}" for k in range(1000)))}
+    assert {r["id"]: r["part"] for r in out.collect()} == want
+
+
+def test_folders_of_shards_are_made_by_many_tasks(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 40 + 1).alias("part"))
+    io.write_shards(df, str(tmp_path / "s"), manifest=df)
+    for name in ("s", "s-manifest"):
+        found = list((tmp_path / name).glob("part=*/*.json"))
+        assert len(found) == 40 and len({p.name[:10] for p in found}) > 1
+        assert sum(len(p.read_text().splitlines()) for p in found) == 400
