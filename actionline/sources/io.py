@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actionline.operators.assemble import last_by_id, strip  # noqa: F401
 from actionline.schemas import RECORDING, REPORT
+from actionline.sources import files
 from actionline.sources.shared import stored
 
 
@@ -71,13 +72,26 @@ LAYOUTS = {
 }
 
 
+def parsed(texts: DataFrame, schema: str) -> DataFrame:
+    """The rows that Spark's reader of whole JSON files finds in texts (path, content), malformed ones dropped: the value
+    of a file, or each element where it is a list; a file with a malformed element goes as a whole."""
+    items = F.when(F.col("content").rlike(r"^[ \t\r\n]*\["), F.from_json("content", "array<string>")).otherwise(F.array("content"))
+    rows = F.transform(items, lambda x: F.from_json(x, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    df = texts.select("path", rows.alias("rows")).where(F.forall("rows", lambda r: r.isNotNull() & r["_bad"].isNull()))
+    return df.select("path", F.inline("rows")).drop("_bad")
+
+
 def read_reports(spark: SparkSession, path: str, layout: str = "real") -> DataFrame:
     """Reports below a folder with the parts of their path; files elsewhere are left out.
 
     real: dir, task_id, base_timeline, is_candidate, path and the scores that E2 takes."""
     pattern, names = LAYOUTS[layout]
-    df = spark.read.schema(REPORT).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    df = df.select("*", F.col("_metadata.file_path").alias("path"))
+    found = files.read_texts(spark, path, ".json", pattern)
+    if found is None:  # a store that only Spark can list, a pattern of paths, or no such folder
+        df = spark.read.schema(REPORT).option("multiLine", True).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+        df = df.select("*", F.col("_metadata.file_path").alias("path"))
+    else:
+        df = parsed(found, REPORT)
     for i, n in enumerate(names):
         df = df.withColumn(n, F.regexp_extract("path", pattern, i + 1))
     df = df.where(F.col("task_id") != "").withColumn("dir", F.regexp_extract("path", r"([^/]+)/task_[^/]+/", 1))

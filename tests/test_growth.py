@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from actionline.operators import package, timeline
-from actionline.sources import io
+from actionline.sources import files, io
 
 OPS = "array<struct<op_idx:int,subtype:string,start:double,end:double,finish:double>>"
 
@@ -43,3 +44,38 @@ def test_folders_of_shards_are_made_by_many_tasks(spark, tmp_path):
         found = list((tmp_path / name).glob("part=*/*.json"))
         assert len(found) == 40 and len({p.name[:10] for p in found}) > 1
         assert sum(len(p.read_text().splitlines()) for p in found) == 400
+
+
+ODD = {
+    "run/task_1/timeline_1/a.json": b'{"summary": {"no_action": 2},\r\n "global_verification": {"visual_score": 7, "functional_score": "success"}}',
+    "run/task_1/timeline_1_candidate/b c%20\xc3\xbc#.json".encode("latin-1").decode(): b'\xef\xbb\xbf{"homepage_similarity": {"visual_score": 3}}',
+    "run/task_2/timeline_3/deep/er/utf16.json": '{"summary": {"no_action": 1}}'.encode("utf-16"),
+    "run/task_2/timeline_3/list.json": b' [{"summary": {"no_action": 4}}, {"summary": {"no_action": 5}}]',
+    "run/task_2/timeline_3/half.json": b'[{"summary": {"no_action": 4}}, {"summary": {"no_action": "x"}}]',
+    "run/task_2/timeline_3/empty.json": b"", "run/task_2/timeline_3/blank.json": b" \n", "run/task_2/timeline_3/null.json": b"null", "run/task_2/timeline_3/none.json": b"[]",
+    "run/task_2/timeline_3/kind.json": b'{"summary": {"no_action": "x"}}', "run/task_2/timeline_3/more.json": b'{"summary": {"no_action": 6}} trailing',
+    "run/task_2/timeline_3/bytes.json": b'{"global_verification": {"functional_score": "\xff"}}', "run/task_2/timeline_3/line.json": b'{"global_verification": {"functional_score": "a\nb"}}',
+    "run/task_2/timeline_3/other.txt": b"{}", "run/task_2/timeline_3/_hidden.json": b"{}", "run/.task_3/timeline_3/x.json": b"{}", "run/_task_3/timeline_3/x.json": b"{}", "else/x.json": b"{}", "x.json": b"{}",
+}
+
+
+@pytest.mark.parametrize(("enough", "wide"), [(1000, 10_000), (1, 10_000), (1000, 1)])
+def test_trees_are_walked_by_tasks(spark, tmp_path, monkeypatch, enough, wide):
+    """The rows of Spark's own reader, while the plan holds no list of files."""
+    monkeypatch.setattr(files, "FOLDERS", enough)
+    monkeypatch.setattr(files, "WIDE", wide)
+    for name, content in ODD.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    for root in (f"file://{tmp_path}", f"{tmp_path}/", f"{tmp_path}/run/task_2"):
+        got = io.read_reports(spark, root)
+        assert not got.inputFiles()
+        with monkeypatch.context() as m:
+            m.setattr(files, "read_texts", lambda *_: None)
+            want = io.read_reports(spark, root)
+        assert got.dtypes == want.dtypes
+        rows = sorted(map(repr, got.collect()))
+        assert rows == sorted(map(repr, want.collect())) and len(rows) >= 4
+    assert io.read_reports(spark, f"{tmp_path}/r*n").inputFiles()  # a pattern of paths is Spark's to list
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        io.read_reports(spark, f"{tmp_path}/none")
