@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actionline.operators import package, timeline
+from actionline.plans import registry
 from actionline.sources import files, io
 
 OPS = "array<struct<op_idx:int,subtype:string,start:double,end:double,finish:double>>"
@@ -79,3 +80,9 @@ def test_trees_are_walked_by_tasks(spark, tmp_path, monkeypatch, enough, wide):
     assert io.read_reports(spark, f"{tmp_path}/r*n").inputFiles()  # a pattern of paths is Spark's to list
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         io.read_reports(spark, f"{tmp_path}/none")
+
+
+@pytest.mark.parametrize("name", ["s06_read_reports_real", "s06_read_reports_synthesis"])
+def test_plans_of_report_queries_list_no_files(spark, name):
+    df = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert not df.inputFiles() and df.count() > 100
